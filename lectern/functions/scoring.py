@@ -12,25 +12,28 @@ def _no_golds(golds: Column) -> Column:
 
 
 def anls(pred: Column, golds: Column, threshold: float = 0.5) -> Column:
-    p = T.clean(pred)
+    def one(p: Column, g: Column) -> Column:
+        def of(dist: Column) -> Column:
+            return F.when(dist < threshold, 1.0 - dist).otherwise(F.lit(0.0))
 
-    def one(gold: Column) -> Column:
-        g = T.clean(gold)
         longest = F.greatest(F.length(p), F.length(g))
-        dist = F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(p, g) / longest)
-        return F.when(dist < threshold, 1.0 - dist).otherwise(F.lit(0.0))
+        return T.bind(F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(p, g) / longest), of)
 
-    return F.coalesce(F.array_max(F.transform(_no_golds(golds), one)), F.lit(0.0))
+    cleaned = F.transform(_no_golds(golds), T.clean)
+    return F.coalesce(T.bind(T.clean(pred), lambda p: F.array_max(F.transform(cleaned, lambda g: one(p, g)))), F.lit(0.0))
+
+
+def _normalized(golds: Column) -> Column:
+    return F.transform(_no_golds(golds), T.normalize)
 
 
 def exact_match(pred: Column, golds: Column) -> Column:
-    p = T.normalize(pred)
-    return F.exists(_no_golds(golds), lambda g: T.normalize(g) == p).cast("double")
+    return F.array_contains(_normalized(golds), T.normalize(pred)).cast("double")
 
 
 def contains_match(pred: Column, golds: Column) -> Column:
-    p = T.normalize(pred)
-    return F.exists(_no_golds(golds), lambda g: (T.normalize(g) != "") & F.contains(p, T.normalize(g))).cast("double")
+    return T.bind(T.normalize(pred), lambda p: F.exists(
+        _normalized(golds), lambda g: (g != "") & F.contains(p, g))).cast("double")
 
 
 def score_item(pred: Column, golds: Column) -> Column:
@@ -49,55 +52,65 @@ def score_item(pred: Column, golds: Column) -> Column:
 def answer_in_text(golds: Column, text: Column) -> Column:
     """Is any gold answer somewhere in the text, ignoring case, whitespace and table bars?"""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s|]+", " ")
-    return F.exists(_no_golds(golds), lambda g: (T.normalize(g) != "") & F.contains(
-        flat, F.regexp_replace(T.normalize(g), r"(?U)[\s|]+", " ")))
+    wanted = F.transform(_normalized(golds), lambda g: F.regexp_replace(g, r"(?U)[\s|]+", " "))
+    return T.bind(flat, lambda t: F.exists(wanted, lambda g: (g != "") & F.contains(t, g)))
 
 
 def is_right(scores: Column) -> Column:
     return F.coalesce(scores["contains"] == 1.0, F.lit(False))
 
 
-def token_f1(a: Column, b: Column) -> Column:
-    """Multiset F1 of two token arrays, for short arrays (claims). Longer texts: ``support.page_similarity``."""
-    common = F.aggregate(
+def multiset_common(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two short token arrays."""
+    return F.aggregate(
         F.array_intersect(a, b), F.lit(0),
         lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
-    return f1_from_counts(common, F.size(a), F.size(b))
+
+
+def token_f1(a: Column, b: Column) -> Column:
+    """Multiset F1 of two token arrays, for short arrays (claims). Longer texts: ``support.page_similarity``."""
+    return f1_from_counts(multiset_common(a, b), F.size(a), F.size(b))
 
 
 def f1_from_counts(common: Column, n_a: Column, n_b: Column) -> Column:
+    """F1 of precision common/n_a and recall common/n_b, 0 when nothing is shared."""
     p, r = common / n_a, common / n_b
-    return F.when((common == 0) | (n_a == 0) | (n_b == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
+    return F.when((common == 0) | (n_a == 0) | (n_b == 0), F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
+
+
+def claim_label(f1, ctx, wordless, contained, same_text, nums_differ) -> Column:
+    """Label of a pair of claims. ``ctx`` is the F1 over words alone, ``wordless`` that neither side has words."""
+    return (F.when(nums_differ & ((ctx >= 0.3) | wordless), "conflict")
+            .when(same_text | contained | (f1 >= 0.8), "agree").when(f1 >= 0.4, "partial").otherwise("none"))
 
 
-def claim_label(common, n_a, n_b, words_common, w_a, w_b, contained, same_text, nums_differ, any_nums) -> Column:
-    """Label and score of a pair of claims from their token counts."""
-    f1 = f1_from_counts(common, n_a, n_b)
-    ctx = f1_from_counts(words_common, w_a, w_b)
-    conflict = any_nums & nums_differ & ((ctx >= 0.3) | ((w_a == 0) & (w_b == 0)))
-    agree = same_text | contained | (f1 >= 0.8)
-    label = (F.when(conflict, "conflict").when(agree, "agree").when(f1 >= 0.4, "partial").otherwise("none"))
-    raised = F.when(contained, F.greatest(f1, F.lit(0.8))).otherwise(f1)
-    score = F.when(label == "agree", raised).otherwise(f1)
-    return F.struct(label.alias("label"), F.bround(score, 3).alias("score"))
+def claim_score(label, f1, contained) -> Column:
+    return F.bround(F.when((label == "agree") & contained, F.greatest(f1, F.lit(0.8))).otherwise(f1), 3)
 
 
 def compare_claims(a: Column, b: Column) -> Column:
     """Struct(label, score) of two claims given as text: agree, partial, conflict or none."""
-    na_, nb_ = T.norm_text(a), T.norm_text(b)
-    ta, tb = T.tokens_of_norm(na_), T.tokens_of_norm(nb_)
-    wa = F.filter(ta, lambda t: ~T.is_number(t))
-    wb = F.filter(tb, lambda t: ~T.is_number(t))
-    xa, xb = T.numbers_of_norm(na_), T.numbers_of_norm(nb_)
-
-    def common(x, y):
-        return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, t: acc + F.least(
-            F.size(F.filter(x, lambda v: v == t)), F.size(F.filter(y, lambda v: v == t))))
-
-    contained = ((F.size(ta) > 0) & (F.size(tb) > 0)
-                 & ((F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0)))
-    return claim_label(common(ta, tb), F.size(ta), F.size(tb), common(wa, wb), F.size(wa), F.size(wb), contained,
-                       na_ == nb_, F.array_sort(xa) != F.array_sort(xb), (F.size(xa) > 0) | (F.size(xb) > 0))
+    def parts(norm: Column) -> Column:
+        return T.bind(T.tokens_of_norm(norm), lambda t: F.struct(
+            norm.alias("norm"), t.alias("toks"), F.filter(t, lambda x: ~T.is_number(x)).alias("words"),
+            F.array_sort(T.numbers_of_norm(norm)).alias("nums")))
+
+    def measures(x: Column, y: Column) -> Column:
+        tx, ty = x["toks"], y["toks"]
+        return F.struct(
+            f1_from_counts(multiset_common(tx, ty), F.size(tx), F.size(ty)).alias("f1"),
+            f1_from_counts(multiset_common(x["words"], y["words"]), F.size(x["words"]), F.size(y["words"])).alias("ctx"),
+            ((F.size(x["words"]) == 0) & (F.size(y["words"]) == 0)).alias("wordless"),
+            ((F.size(tx) > 0) & (F.size(ty) > 0) & (
+                (F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0))).alias("contained"),
+            (x["norm"] == y["norm"]).alias("same"), (x["nums"] != y["nums"]).alias("differ"))
+
+    def verdict(m: Column) -> Column:
+        return T.bind(claim_label(m["f1"], m["ctx"], m["wordless"], m["contained"], m["same"], m["differ"]),
+                      lambda lab: F.struct(lab.alias("label"), claim_score(lab, m["f1"], m["contained"]).alias("score")))
+
+    return T.bind(T.bind_all(lambda x, y: measures(x, y), T.bind(T.norm_text(a), parts), T.bind(T.norm_text(b), parts)),
+                  verdict)
 
 
 def recommended_correct(recommended: Column, vlm_pred: Column, ocr_pred: Column, golds: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind, bind_all
+
 # --- fixed values: characters that are read as one another, and the two-letter forms read as one letter -----------
 CONFUSABLE = (
     ("I", "l"), ("l", "1"), ("I", "1"), ("i", "l"), ("O", "0"), ("o", "0"), ("D", "0"), ("Q", "O"), ("S", "5"),
@@ -88,7 +90,8 @@ def all_lookalike(pairs: Column) -> Column:
 
 def is_lookalike(true: Column, read: Column) -> Column:
     """At least one edit, and every edit between characters of the same shape."""
-    return F.coalesce((swap_count(true, read) > 0) & all_lookalike(swaps(true, read)), F.lit(False))
+    same_length = F.length(true) == F.length(read)
+    return F.coalesce(bind(swaps(true, read), lambda p: ((F.size(p) > 0) | ~same_length) & all_lookalike(p)), F.lit(False))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -119,29 +122,28 @@ def within_ratio(a: Column, b: Column, cutoff: float) -> Column:
     return F.levenshtein(a, b) <= F.floor(F.lit(1.0 - cutoff + 1e-9) * (F.length(a) + F.length(b)))
 
 
-def lookalike_reading(key: Column, word: Column) -> Column:
-    """A word that is ``key`` with only look-alike characters exchanged, and not too many of them."""
-    most = F.greatest(F.lit(2), F.floor(F.length(key) / 2))
-    return is_lookalike(key, word) & (swap_count(key, word) <= most)
-
-
 def near_score(key: Column, word: Column, cutoff: float) -> Column:
     """Struct(kind, ratio) when ``word`` is a likely misreading of ``key``, else NULL. Kind 1: only look-alike characters
-    differ; kind 0: similar enough, and no digits are involved (another number is another value, not a misreading)."""
+    differ, and not too many; kind 0: similar enough, and no digits are involved (another number is another value, not a
+    misreading)."""
     usable = ((word != key) & (F.length(key) >= 3) & (F.abs(F.length(key) - F.length(word)) <= 2))
     digits = key.rlike("[0-9]") | word.rlike("[0-9]")
-    alike = lookalike_reading(key, word)
-    maybe = within_ratio(key, word, cutoff) & (~digits | is_lookalike(key, word))
-    r = ratio(key, word)
-    return F.when(usable & alike, F.struct(F.lit(1).alias("kind"), r.alias("ratio"))).when(
-        usable & maybe, F.when(r >= cutoff, F.struct(F.lit(0).alias("kind"), r.alias("ratio"))))
+    most = F.greatest(F.lit(2), F.floor(F.length(key) / 2))
+
+    def judge(alike: Column, few: Column, close: Column) -> Column:
+        kind = F.when(alike & few, F.lit(1)).when(close & (~digits | alike), F.lit(0))
+        return F.when(kind.isNotNull(), bind(ratio(key, word), lambda r: F.when(
+            (kind == 1) | (r >= cutoff), F.struct(kind.alias("kind"), r.alias("ratio")))))
+
+    return F.when(usable, bind_all(judge, is_lookalike(key, word), swap_count(key, word) <= most,
+                                   within_ratio(key, word, cutoff)))
 
 
 def near(key: Column, words: Column, cutoff: float = 0.75) -> Column:
     """Best likely misreading of ``key`` in a small array of words (a line, another answer), or NULL.
     Whole vocabularies go through ``support.near_tokens``, which joins instead of scanning."""
     def scored(w: Column) -> Column:
-        s = near_score(key, w, cutoff)
-        return F.when(s.isNotNull(), F.struct((-s["kind"]).alias("k"), (-s["ratio"]).alias("r"), w.alias("w")))
+        return bind(near_score(key, w, cutoff), lambda s: F.when(
+            s.isNotNull(), F.struct((-s["kind"]).alias("k"), (-s["ratio"]).alias("r"), w.alias("w"))))
 
     return F.array_min(F.filter(F.transform(words, scored), lambda x: x.isNotNull()))["w"]

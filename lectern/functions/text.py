@@ -49,6 +49,17 @@ def _text(s: Column) -> Column:
     return F.coalesce(s, F.lit(""))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bind_all(use, *values: Column) -> Column:
+    """``bind`` for several values."""
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return bind(packed, lambda p: use(*[p[f"v{i}"] for i in range(len(values))]))
+
+
 def compat(s: Column) -> Column:
     """The compatibility folding that matters for documents (full-width forms, super/subscript digits, wide spaces,
     ligatures, ellipsis). Spark has no Unicode normalisation function; other compatibility characters stay as they are."""
@@ -104,7 +115,7 @@ def is_number(token: Column) -> Column:
 
 def bm25_tokens(s: Column, drop_stop: bool = False) -> Column:
     low = F.btrim(F.lower(F.regexp_replace(_text(s), "[^A-Za-z0-9]+", " ")))
-    toks = F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, " "))
+    toks = F.array_remove(F.split(low, " "), "")
     return F.filter(toks, lambda t: ~t.isin(*STOP_WORDS)) if drop_stop else toks
 
 
