@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import text_queries  # noqa: F401
+from . import claim_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
