@@ -63,7 +63,7 @@ def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("sf") else "sf0.01"
     sf_dir = f"/root/testdata/{sf}"
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     import __spark_entry__ as entry
