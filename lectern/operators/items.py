@@ -25,11 +25,21 @@ def usable_items(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("vlm_scores").isNotNull() & F.col("ocr_scores").isNotNull())
 
 
-def filter_items(scored: DataFrame, mode: str = "all", cause: str | None = None) -> DataFrame:
-    """The analyst's filters; ``cause`` keeps items where either side failed that way (needs vlm_cause, ocr_cause)."""
+def _modes(scored: DataFrame) -> dict:
     v, o = S.is_right(F.col("vlm_scores")), S.is_right(F.col("ocr_scores"))
-    keep = {"all": F.lit(True), "disagree": ~F.col("agree") if "agree" in scored.columns else F.lit(False),
+    known = set(scored.columns)
+    return {"all": F.lit(True), "disagree": ~F.col("agree") if "agree" in known else F.lit(False),
             "vlm_only": v & ~o, "ocr_only": o & ~v,
-            "ocr_missing": ~F.col("answer_in_ocr") if "answer_in_ocr" in scored.columns else F.lit(False)}
-    out = scored.where(keep[mode])
+            "ocr_missing": ~F.col("answer_in_ocr") if "answer_in_ocr" in known else F.lit(False)}
+
+
+def filter_items(scored: DataFrame, mode: str = "all", cause: str | None = None) -> DataFrame:
+    """The analyst's filters; ``cause`` keeps items where either side failed that way (needs vlm_cause, ocr_cause)."""
+    out = scored.where(_modes(scored)[mode])
     return out if cause is None else out.where((F.col("vlm_cause") == cause) | (F.col("ocr_cause") == cause))
+
+
+def filter_memberships(scored: DataFrame) -> DataFrame:
+    """Every filter an item passes, one row each, in one pass over the items."""
+    names = F.array_compact(F.array(*[F.when(cond, F.lit(m)) for m, cond in _modes(scored).items()]))
+    return scored.withColumn("mode", F.explode(names))

@@ -44,21 +44,35 @@ def positions(df: DataFrame, keys: list[str], order: str, name: str, rows_per_sl
     return out.withColumn(name, F.col(name) - 1)
 
 
-def next_match(df: DataFrame, keys: list[str], order: str, value: Column, name: str,
-               rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Adds the first non-NULL ``value`` at or after each row along ``order`` (a nearest-following as-of join with itself)."""
+def neighbour(df: DataFrame, keys: list[str], order: str, value: Column, name: str, forward: bool = True, strict: bool = False,
+              rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Adds the nearest non-NULL ``value`` along ``order`` (an as-of join of a table with itself): at or after each row, at
+    or before it with ``forward=False``, leaving out the row itself with ``strict``."""
     cut = df.withColumn("_slice", F.floor(F.col(order) / rows_per_slice)).withColumn("_v", value)
     part = [*keys, "_slice"]
-    firsts = cut.groupBy(*part).agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_f"))
-    later = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
-    carry = firsts.select(*[F.col(p).alias(f"_k_{p}") for p in part],
-                          F.first("_f", ignorenulls=True).over(later).alias("_c"))
-    inside = Window.partitionBy(*part).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    cut = cut.withColumn("_in", F.first("_v", ignorenulls=True).over(inside))
+    here = F.when(F.col("_v").isNotNull(), F.col(order))
+    ends = cut.groupBy(*part).agg((F.min_by("_v", here) if forward else F.max_by("_v", here)).alias("_f"))
+    pick = F.first if forward else F.last
+    beyond = Window.partitionBy(*keys).orderBy("_slice")
+    beyond = beyond.rowsBetween(1, Window.unboundedFollowing) if forward else beyond.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*[F.col(p).alias(f"_k_{p}") for p in part], pick("_f", ignorenulls=True).over(beyond).alias("_c"))
+    inside = Window.partitionBy(*part).orderBy(order)
+    edge = 1 if strict else 0
+    inside = inside.rowsBetween(edge, Window.unboundedFollowing) if forward else inside.rowsBetween(Window.unboundedPreceding, -edge)
+    cut = cut.withColumn("_in", pick("_v", ignorenulls=True).over(inside))
     on = reduce(lambda x, y: x & y, [cut[p].eqNullSafe(carry[f"_k_{p}"]) for p in part])
     return cut.join(carry, on, "inner").select(*df.columns, F.coalesce("_in", "_c").alias(name))
 
 
+def smallest(df: DataFrame, keys: list[str], order: Column, n: int, salt: str, salts: int = 256) -> DataFrame:
+    """The n smallest ``order`` values per group as a sorted array ``_best``: first within salted parts of the group, then
+    over their at most salts * n survivors, so a group of any size stays spread out. ``salt`` names a column of ``df``."""
+    part = df.select(*keys, order.alias("_o"), F.pmod(F.xxhash64(salt), F.lit(salts)).alias("_salt"))
+    w = Window.partitionBy(*keys, "_salt").orderBy("_o")
+    kept = part.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    return kept.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("_o")), 1, n).alias("_best"))
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Size of the largest group: one aggregation over the key columns only. Decides between a plain window and a sliced one."""
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]

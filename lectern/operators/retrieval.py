@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordering import largest_group, running
+from .ordering import largest_group, running, smallest
 
 
 def matching_lines(lines: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,3 +15,127 @@ def matching_lines(lines: DataFrame, answers: DataFrame, keys: list[str]) -> Dat
     hit = lines.join(kw, keys).where(F.exists("_kw", lambda w: F.contains(low, w)))
     words = F.array_remove(F.split(F.btrim(F.regexp_replace("text", r"(?U)\s+", " ")), " "), "")
     return hit.select(*lines.columns, F.length("text").cast("long").alias("chars"), F.size(words).cast("long").alias("words"))
+
+
+# ------------------------------------------------------------------------------------------ BM25
+PLAIN_WINDOW_LIMIT = 1_000_000
+
+
+def bm25_stats(pages: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """Pages and mean length per document."""
+    lens = pages.select(doc, F.size(T.bm25_tokens(F.col(text))).alias("dl"))
+    return lens.groupBy(doc).agg(F.count("*").alias("n_pages"), F.avg("dl").alias("avgdl"))
+
+
+def _postings(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    t = pages.select(doc, page, T.bm25_tokens(F.col(text)).alias("_t"))
+    return t.select(doc, page, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+
+
+def idf(n_pages: Column, df: Column) -> Column:
+    return F.log(1 + (n_pages - df + 0.5) / (df + 0.5))
+
+
+def bm25_index(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, page, term) with tf, dl, df, idf, n_pages, avgdl. Term counts are combined before each shuffle."""
+    tf = _postings(pages, doc, page, text).groupBy(doc, page, "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(doc, "term").agg(F.count("*").alias("df"))
+    return (tf.join(df, [doc, "term"]).join(bm25_stats(pages, doc, text), doc)
+            .select(doc, page, "term", "tf", F.col("dl").cast("long").alias("dl"), "df", "n_pages", "avgdl",
+                    idf(F.col("n_pages"), F.col("df")).alias("idf")))
+
+
+def bm25_scores(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text",
+                k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(qid, doc, page, score) of the pages that share a term with their document's question. Page terms outside the
+    document's query vocabulary are dropped before anything is shuffled; repeated query terms count again."""
+    q = queries.select("qid", doc, F.explode(T.bm25_tokens(F.col("question"), drop_stop=True)).alias("term"))
+    q = q.groupBy("qid", doc, "term").agg(F.count("*").alias("qf"))
+    wanted = q.select(doc, "term").distinct()
+    tf = _postings(pages, doc, page, text).join(wanted, [doc, "term"], "left_semi").groupBy(doc, page, "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(doc, "term").agg(F.count("*").alias("df"))
+    stats = bm25_stats(pages, doc, text)
+    weights = q.join(df, [doc, "term"]).join(stats, doc).select(
+        "qid", doc, "term", (F.col("qf") * idf(F.col("n_pages"), F.col("df"))).alias("w"),
+        F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0)).alias("avgdl"))
+    dl = F.when(F.col("dl") > 0, F.col("dl")).otherwise(1)
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
+    return tf.join(weights, [doc, "term"]).groupBy("qid", doc, page).agg(
+        F.round(F.sum(part), 10).alias("score"))  # copies of a page tie whatever order their terms were added in
+
+
+def bm25_rank(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text",
+              plain_limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
+    """Every page of each question's document with its rank (0 = best; ties and pages without a hit in page order).
+
+    Documents up to ``plain_limit`` pages are ranked by a window. Beyond it no document may be sorted in one task: matched
+    pages are placed by counting better scores, unmatched pages follow in page order, both slice by slice.
+    """
+    scores = bm25_scores(pages, queries, doc, page, text)
+    every = pages.select(doc, page).join(queries.select("qid", doc), doc)
+    full = every.join(scores, ["qid", doc, page], "left").na.fill(0.0, ["score"])
+    if largest_group(pages.select(doc), [doc]) <= plain_limit:
+        w = Window.partitionBy("qid", doc).orderBy(F.desc("score"), page)
+        return full.select("qid", doc, page, "score", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+    return sliced_rank(full, ["qid", doc], page)
+
+
+def sliced_rank(full: DataFrame, keys: list[str], page: str) -> DataFrame:
+    """Rank by (score desc, page) without a task per group. Distinct scores are counted first (copies of a page collapse
+    there) and add up from the best one down; within one score, pages are numbered in slices of page numbers."""
+    levels = full.groupBy(*keys, "score").agg(F.count("*").alias("_c"))
+    above = running(levels, keys, [F.desc("score")], -F.floor(F.col("score") * 64), {"_upto": F.col("_c")})
+    above = above.select(*[F.col(k).alias(f"_x_{k}") for k in keys], F.col("score").alias("_x_score"), (F.col("_upto") - F.col("_c")).alias("_above"))
+    tied = running(full, [*keys, "score"], [F.col(page)], F.floor(F.col(page) / 65536), {"_at": F.lit(1).cast("long")})
+    on = (tied["score"] == above["_x_score"])
+    for k in keys:
+        on = on & (tied[k] == above[f"_x_{k}"])
+    return tied.join(above, on).select(*keys, page, "score", (F.col("_above") + F.col("_at") - 1).alias("rank"))
+
+
+def select_pages(ranked: DataFrame, cap: int) -> DataFrame:
+    """The best ``cap`` pages (at least one)."""
+    return ranked.where(F.col("rank") < max(cap, 1))
+
+
+def top_pages(pages: DataFrame, queries: DataFrame, cap: int, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """The best ``cap`` pages per question straight from the scores. Partial top lists are merged in two steps, salted by
+    page, so neither a question nor a document is ever sorted whole. Unmatched pages only fill up what is left, in page
+    order, and of those the first ``cap`` of a document are enough."""
+    cap = max(cap, 1)
+    scores = bm25_scores(pages, queries, doc, page, text)
+    first = (smallest(pages.select(doc, page), [doc], F.struct(F.col(page)), cap, page)
+             .select(doc, F.explode("_best").alias("_b")).select(doc, F.col(f"_b.{page}").alias(page)))
+    filler = queries.select("qid", doc).join(first, doc).join(scores.select("qid", doc, page), ["qid", doc, page], "left_anti")
+    cand = scores.unionByName(filler.withColumn("score", F.lit(0.0)))
+    best = smallest(cand, ["qid", doc], F.struct((-F.col("score")).alias("_neg"), F.col(page)), cap, page)
+    out = best.select("qid", doc, F.posexplode("_best").alias("rank", "_b"))
+    return out.select("qid", doc, F.col(f"_b.{page}").alias(page), (-F.col("_b._neg") + 0.0).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def page_policy(pages: DataFrame, ranked: DataFrame, read_all: bool, cap: int, match_pages: bool, doc: str = "doc", page: str = "page") -> DataFrame:
+    """(qid, doc, page, vlm, ocr): which pages each reader gets. Documents of at most ``cap`` pages are read whole; the
+    second reader follows the first one's pages only when asked to."""
+    n = pages.groupBy(doc).agg(F.count("*").alias("_n"))
+    r = ranked.join(n, doc)
+    vlm = F.lit(read_all) | (F.col("_n") <= cap) | (F.col("rank") < max(cap, 1))
+    return r.select("qid", doc, page, vlm.alias("vlm"), (vlm if match_pages else F.lit(True)).alias("ocr"))
+
+
+# ------------------------------------------------------------------------------------------ stand-in reader
+def lexical_answer(pages: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", split: str = r"\n+",
+                   max_len: int = 200) -> DataFrame:
+    """The line that shares most distinct words with the question (share / sqrt of question words, first one wins), or
+    the not-found sentence. Lines are scored where they are read and only (score, position, line) is aggregated."""
+    q = queries.select("qid", *keys, F.array_distinct(T.bm25_tokens(F.col("question"), drop_stop=True)).alias("_q"))
+    j = pages.join(q, keys).select("qid", *[k for k in pages.columns if k not in ("qid", text)], "_q",
+                                   F.posexplode(F.split(F.col(text), split)).alias("_pos", "_line"))
+    hits = F.size(F.array_intersect("_q", T.bm25_tokens(F.col("_line"))))
+    order = [c for c in pages.columns if c not in (text, *keys)]
+    j = j.select("qid", *order, "_pos", F.btrim("_line").alias("_line"), F.size("_q").alias("_nq"), hits.alias("_h"))
+    best = j.groupBy("qid").agg(F.max_by(F.struct("_line", "_h", "_nq"), F.struct(
+        F.col("_h"), *[(-F.col(c)).alias(c) for c in order], -F.col("_pos"))).alias("m"))
+    out = q.select("qid").join(best, "qid", "left")
+    found = F.coalesce((F.col("m._h") > 0) & (F.col("m._nq") > 0), F.lit(False))
+    return out.select("qid", F.when(found, F.substring("m._line", 1, max_len)).otherwise(T.NOT_FOUND).alias("answer"),
+                      F.when(found, F.col("m._h") / F.sqrt("m._nq")).otherwise(0.0).alias("score"))

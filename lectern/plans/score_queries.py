@@ -80,12 +80,7 @@ UNION ALL SELECT 'vlm_only', idx FROM f WHERE vlm_contains = 1 AND ocr_contains
 UNION ALL SELECT 'ocr_only', idx FROM f WHERE ocr_contains = 1 AND vlm_contains <> 1
 UNION ALL SELECT 'ocr_missing', idx FROM f WHERE NOT answer_in_ocr""")
 def filtered_items(spark, sf):
-    f = _full(spark, sf)
-    out = None
-    for mode in I.FILTERS:
-        part = I.filter_items(f, mode).select(F.lit(mode).alias("mode"), "idx")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return I.filter_memberships(_full(spark, sf)).select("mode", "idx")
 
 
 @query("usable_items", f"WITH {Q.QA} SELECT exp_id, count(*) AS n FROM qa WHERE idx % 3 <> 0 AND idx % 5 <> 0 GROUP BY exp_id")
