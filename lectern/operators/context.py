@@ -6,6 +6,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from .ordering import positions, running
@@ -198,7 +199,7 @@ def prompt_table(parts: DataFrame, history: DataFrame | None, keys: list[str]) -
 
 def answer_with(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Fills ``answer`` with the user's own batch function over prompt texts (Arrow batches, no rows through the driver)."""
-    schema = prompts.schema.add("answer", "string")
+    schema = StructType([*prompts.schema.fields, StructField("answer", StringType())])
 
     def batches(it):
         for pdf in it:

@@ -58,10 +58,10 @@ def _prefix(word: Column, cutoff: float) -> Column:
     return F.slice(_elements(word), F.lit(1), F.greatest(n - need + 1, F.lit(1)))
 
 
-def near_tokens(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: float = 0.75, rule: str = "misreading") -> DataFrame:
-    """For each (keys, token) of ``left`` the closest other token of the same group in ``vocab``, within two characters
-    of length. ``rule``: "misreading" takes look-alike readings first and never replaces one number by another; "plain"
-    goes by similarity alone.
+def near_pairs(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: float = 0.75, rule: str = "misreading") -> DataFrame:
+    """(keys, a, b, s): all likely readings b in ``vocab`` of each token a of ``left``, within the same group and two
+    characters of length, with s = (kind, ratio). ``rule``: "misreading" takes look-alike readings first and never replaces
+    one number by another; "plain" goes by similarity alone.
 
     Candidates come from two equality joins: words of the same shape (look-alike characters), and words that share one of
     their rarest characters, which every pair above the cutoff does. Groups are therefore never paired off in full, and
@@ -82,19 +82,23 @@ def near_tokens(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: floa
     close = la.join(lb, [*keys, "_len", "_e"]).where(F.col("a") != F.col("b"))
     close = close.where(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("_e"))  # each pair once
     close = close.where(M.within_ratio(F.col("a"), F.col("b"), cutoff)).select(*keys, "a", "b")
-    r = M.ratio(F.col("a"), F.col("b"))
-    if misreading:
-        sa = lt.select(*keys, "a", F.explode(M.shapes(F.col("a"))).alias("_s"))
-        sb = vt.select(*keys, "b", F.explode(M.shapes(F.col("b"))).alias("_s"))
-        alike = sa.join(sb, [*keys, "_s"]).where((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
-        alike = alike.where(M.is_lookalike(F.col("a"), F.col("b"))).select(*keys, "a", "b")
-        pairs = alike.unionByName(close).distinct()
-        scored = pairs.select(*keys, "a", "b", M.near_score(F.col("a"), F.col("b"), cutoff).alias("s")).where("s IS NOT NULL")
-    else:
-        scored = close.select(*keys, "a", "b", F.struct(F.lit(0).alias("kind"), r.alias("ratio")).alias("s")).where(
-            F.col("s.ratio") >= cutoff)
-    order = F.struct((-F.col("s.kind")).alias("k"), (-F.col("s.ratio")).alias("r"), F.col("b").alias("b"))
-    best = scored.groupBy(*keys, "a").agg(F.min(order).alias("m"))
+    if not misreading:
+        plain = F.struct(F.lit(0).alias("kind"), M.ratio(F.col("a"), F.col("b")).alias("ratio"))
+        return close.select(*keys, "a", "b", plain.alias("s")).where(F.col("s.ratio") >= cutoff)
+    sa = lt.select(*keys, "a", F.explode(M.shapes(F.col("a"))).alias("_s"))
+    sb = vt.select(*keys, "b", F.explode(M.shapes(F.col("b"))).alias("_s"))
+    alike = sa.join(sb, [*keys, "_s"]).where((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
+    alike = alike.where(M.is_lookalike(F.col("a"), F.col("b"))).select(*keys, "a", "b")
+    pairs = alike.unionByName(close).distinct()
+    return pairs.select(*keys, "a", "b", M.near_score(F.col("a"), F.col("b"), cutoff).alias("s")).where("s IS NOT NULL")
+
+
+NEAREST = "struct(-s.kind AS k, -s.ratio AS r, b AS b)"  # look-alike first, then most similar, then by spelling
+
+
+def near_tokens(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: float = 0.75, rule: str = "misreading") -> DataFrame:
+    """For each (keys, token) of ``left`` the closest other token of the same group in ``vocab``; see ``near_pairs``."""
+    best = near_pairs(left, vocab, keys, cutoff, rule).groupBy(*keys, "a").agg(F.min(F.expr(NEAREST)).alias("m"))
     return best.select(*keys, F.col("a").alias("token"), F.col("m.b").alias("near"), (-F.col("m.r")).alias("ratio"))
 
 
