@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import claim_queries, context_queries, retrieval_queries, score_queries, table_queries, text_queries  # noqa: F401
+from . import claim_queries, context_queries, layout_queries, retrieval_queries, score_queries, table_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
