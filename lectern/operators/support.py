@@ -10,6 +10,7 @@ from ..functions import text as T
 # Fixed value: letters from rare to common in Latin-script text. Any order gives the same result; a good one gives
 # fewer candidates.
 RARE_FIRST = "zqxjkvwybpgfcmhduolnrsitae"
+RARE_CODES = "".join(chr(ord("A") + i) for i in range(len(RARE_FIRST)))  # sorts in that order; words are lower case
 
 
 # ------------------------------------------------------------------------------------------ one answer, one page
@@ -41,21 +42,15 @@ def survives(original: Column, again: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------------------ near words by join
-def _elements(word: Column) -> Column:
-    """A word as a set: its characters numbered by occurrence, rarest letters first."""
-    chars = F.split(word, "")
-    numbered = F.transform(chars, lambda c, i: F.concat(
-        F.lpad(F.instr(F.lit(RARE_FIRST), c).cast("string"), 2, "0"), c,
-        F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
-    return F.array_sort(numbered)
-
-
 def _prefix(word: Column, cutoff: float) -> Column:
-    """Two words whose common subsequence is long enough share an element among these: a word of n characters must share
-    at least ceil(cutoff * (2n - 2) / 2) of them with a partner at most two characters shorter."""
+    """The rarest characters of a word (numbered by occurrence, so a word is a set). Two words whose common subsequence is
+    long enough share one of these: a word of n characters shares at least ceil(cutoff * (2n - 2) / 2) of its characters
+    with a partner at most two characters shorter."""
     n = F.length(word)
     need = F.ceil(F.lit(cutoff) * (n - 1) - F.lit(1e-9)).cast("int")
-    return F.slice(_elements(word), F.lit(1), F.greatest(n - need + 1, F.lit(1)))
+    ordered = F.sort_array(F.split(F.translate(word, RARE_FIRST, RARE_CODES), ""))
+    rarest = F.slice(ordered, F.lit(1), F.greatest(n - need + 1, F.lit(1)))
+    return T.bind(rarest, lambda p: F.transform(p, lambda c, i: F.concat(c, (i - F.array_position(p, c)).cast("string"))))
 
 
 def near_pairs(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: float = 0.75, rule: str = "misreading") -> DataFrame:

@@ -1,3 +1,12 @@
 """All registered queries."""
-from . import claim_queries, context_queries, layout_queries, retrieval_queries, score_queries, table_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    cause_queries,
+    claim_queries,
+    context_queries,
+    layout_queries,
+    retrieval_queries,
+    score_queries,
+    table_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -25,9 +25,12 @@ def ocr_text(doc_id, text):
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided predictions: one question per English document of six or more words, four runs."""
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    w = F.split(F.regexp_replace("text", "^[^A-Za-z0-9]+", ""), "[^A-Za-z0-9]+", 8)
-    d = d.withColumn("w", w).where((F.size("w") >= 6) & (F.get("w", F.lit(5)) != ""))
-    word = lambda i: F.get("w", F.lit(i - 1))
+    w = F.split(F.ltrim(F.translate("text", "\n", " "), F.lit(" ")), "[^A-Za-z0-9]+", 8)
+    w = F.when(F.get(w, F.lit(0)) == "", F.slice(w, 2, 7)).otherwise(w)
+    # A generator computes the words once; as plain columns every later filter on an answer would repeat the split.
+    words = F.inline(F.transform(F.array(w), lambda a: F.struct(*[F.get(a, F.lit(i)).alias(f"w{i + 1}") for i in range(6)])))
+    d = d.select("doc_id", "source", "lang", "text", words).where("w6 <> ''")
+    word = lambda i: F.col(f"w{i}")
     gold = F.concat_ws(" ", word(1), word(2), word(3))
     second = F.concat_ws(" ", word(4), word(5))
     k, o = F.col("doc_id") % 10, F.col("doc_id") % 7
