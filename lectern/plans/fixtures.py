@@ -24,7 +24,11 @@ def ocr_text(doc_id, text):
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided predictions: one question per English document of six or more words, four runs."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return predictions_of(table(spark, sf_dir, "documents"))
+
+
+def predictions_of(documents: DataFrame) -> DataFrame:
+    d = documents.where("lang = 'en'")
     w = F.split(F.ltrim(F.translate("text", "\n", " "), F.lit(" ")), "[^A-Za-z0-9]+", 8)
     w = F.when(F.get(w, F.lit(0)) == "", F.slice(w, 2, 7)).otherwise(w)
     # A generator computes the words once; as plain columns every later filter on an answer would repeat the split.
@@ -135,7 +139,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("metric"), F.col("value").alias("value_ms"), "ts", "user_id")
+        "event_id", F.col("event_type").alias("metric"), F.col("value").alias("value_ms"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
