@@ -83,9 +83,13 @@ def swap_count(true: Column, read: Column) -> Column:
     return F.size(swaps(true, read)) + F.when(F.length(true) == F.length(read), F.lit(0)).otherwise(folded)
 
 
+def is_confusable(pair: Column) -> Column:
+    """Looks the two-character string up in one constant: a single node, where a list would be one per pair."""
+    return F.contains(F.lit("|" + "|".join(SINGLE) + "|"), F.concat(F.lit("|"), pair, F.lit("|")))
+
+
 def all_lookalike(pairs: Column) -> Column:
-    known = F.array(*[F.lit(p) for p in SINGLE])
-    return F.forall(pairs, lambda p: F.array_contains(known, p))
+    return F.forall(pairs, is_confusable)
 
 
 def is_lookalike(true: Column, read: Column) -> Column:
@@ -135,8 +139,13 @@ def near_score(key: Column, word: Column, cutoff: float) -> Column:
         return F.when(kind.isNotNull(), bind(ratio(key, word), lambda r: F.when(
             (kind == 1) | (r >= cutoff), F.struct(kind.alias("kind"), r.alias("ratio")))))
 
-    return F.when(usable, bind_all(judge, is_lookalike(key, word), swap_count(key, word) <= most,
-                                   within_ratio(key, word, cutoff)))
+    folded = F.abs(F.length(key) - F.length(word))
+
+    def looks(p: Column) -> Column:
+        alike = F.coalesce(((F.size(p) > 0) | (folded > 0)) & all_lookalike(p), F.lit(False))
+        return bind_all(judge, alike, F.size(p) + folded <= most, within_ratio(key, word, cutoff))
+
+    return F.when(usable, bind(swaps(key, word), looks))
 
 
 def near(key: Column, words: Column, cutoff: float = 0.75) -> Column:

@@ -282,8 +282,7 @@ def ask_causes(asks: DataFrame, regions: DataFrame, ask: list[str]) -> DataFrame
             t.alias("k"), M.near(t, other).alias("m"), (~F.array_contains(ocr, t)).alias("gone")))
         d = d.withColumn(f"_sign_{s}", F.when(~judged, F.get(F.filter(looks, lambda x: x["m"].isNotNull() | (F.lit(s == "vlm") & x["gone"])), F.lit(0))))
         sg = F.col(f"_sign_{s}")
-        known = F.array(*[F.lit(p) for p in M.SINGLE])
-        shaped = F.exists(M.swaps(T.as_written(sg["m"], F.col(f"{o}_answer")), T.as_written(sg["k"], F.col(f"{s}_answer"))), lambda p: F.array_contains(known, p))
+        shaped = F.exists(M.swaps(T.as_written(sg["m"], F.col(f"{o}_answer")), T.as_written(sg["k"], F.col(f"{s}_answer"))), M.is_confusable)
         open_cause = (F.when(sg["m"].isNotNull(), F.when(is_ocr & F.coalesce(shaped, F.lit(False)) & ~F.array_contains(ocr, sg["m"]), "misread"))
                       .when(sg.isNotNull(), "beyond_ocr"))
         cause = (F.when(F.col(f"{s}_failed"), "failed").when(F.col(f"{s}_answer").isNull(), F.lit(None).cast("string"))

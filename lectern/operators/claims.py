@@ -101,15 +101,15 @@ def claim_pairs(asks: DataFrame, key: str = "qid", a: str = "vlm", b: str = "ocr
 
 
 def verdicts(asks: DataFrame, key: str = "qid", a: str = "vlm", b: str = "ocr") -> DataFrame:
-    """Verdict and agreement per question: consistent, partial, conflict or disagree; NULL-sided questions have none.
-    Only label counts are needed, so claim texts never leave the scan."""
+    """Verdict and agreement per question: consistent, partial, conflict or disagree; NULL-sided questions have none. Also
+    the number of claims only one side makes. Only label counts are needed, so claim texts never leave the scan."""
     both = _comparable(asks, a, b).select(
         key, T.is_not_found(F.col(a)).alias("_na"), T.is_not_found(F.col(b)).alias("_nb"),
         F.size(T.split_claims(F.col(a))).alias("_ca"), F.size(T.split_claims(F.col(b))).alias("_cb"))
     picks = best_matches(asks, key, a, b).groupBy(key).agg(
         F.count_if(F.col("label") == "agree").alias("agree"), F.count_if(F.col("label") == "partial").alias("partial"),
-        F.count_if(F.col("label") == "conflict").alias("conflict"), F.count_distinct("b_ord").alias("taken"))
-    j = both.join(picks, key, "left").na.fill(0, ["agree", "partial", "conflict", "taken"])
+        F.count_if(F.col("label") == "conflict").alias("conflict"), F.count_distinct("b_ord").alias("taken"), F.count("*").alias("matched"))
+    j = both.join(picks, key, "left").na.fill(0, ["agree", "partial", "conflict", "taken", "matched"])
     pairs = F.col("_ca") + F.col("_cb") - F.col("taken")
     agreement = F.when(pairs == 0, 0.0).otherwise((F.col("agree") + 0.5 * F.col("partial")) / pairs)
     j = j.withColumn("_agreement", agreement).withColumn("_pairs", pairs)
@@ -119,7 +119,9 @@ def verdicts(asks: DataFrame, key: str = "qid", a: str = "vlm", b: str = "ocr")
                .when(F.col("conflict") > 0, "conflict").when(F.col("_agreement") >= 0.5, "partial").otherwise("disagree"))
     return j.select(key, verdict.alias("verdict"),
                     F.when(both_nf, 1.0).when(one_nf, 0.0).otherwise(F.bround("_agreement", 3)).alias("agreement"),
-                    F.when(both_nf, 0).when(one_nf, 1).otherwise(F.col("_pairs")).cast("long").alias("pairs"))
+                    F.when(both_nf, 0).when(one_nf, 1).otherwise(F.col("_pairs")).cast("long").alias("pairs"),
+                    F.when(both_nf | one_nf, 0).otherwise(F.col("_ca") - F.col("matched")).cast("long").alias("n_only_vlm"),
+                    F.when(both_nf | one_nf, 0).otherwise(F.col("_cb") - F.col("taken")).cast("long").alias("n_only_ocr"))
 
 
 def numbers_only(asks: DataFrame, key: str = "qid", a: str = "vlm", b: str = "ocr") -> DataFrame:

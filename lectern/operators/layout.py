@@ -104,17 +104,11 @@ def key_hits(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[str],
     misreading of it. Both ways are equality joins on tokens of the page."""
     q = asks.select(*ask, *keys, F.posexplode(terms).alias("ord", "term"))
     lt = line_tokens(lines, keys)
-    exact = q.join(lt.withColumnRenamed("token", "term"), [*keys, "term"]).select(*ask, *keys, "line_no", "ord", "term")
     wanted = q.select(*keys, F.col("term").alias("token")).distinct()
-    there = lt.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    pairs = near_pairs(wanted, there, keys)
-    read = pairs.join(lt.withColumnRenamed("token", "b"), [*keys, "b"]).groupBy(*keys, "line_no", "a").agg(
-        F.min(F.expr(NEAREST)).alias("m")).select(*keys, "line_no", F.col("a").alias("term"), F.col("m.b").alias("read_as"))
-    near = q.join(read, [*keys, "term"]).select(*ask, *keys, "line_no", "ord", "term", "read_as")
-    both = exact.withColumn("read_as", F.lit(None).cast("string")).withColumn("_e", F.lit(1)).unionByName(near.withColumn("_e", F.lit(0)))
-    g = both.groupBy(*ask, *keys, "line_no", "ord", "term").agg(F.max("_e").alias("_e"), F.max("read_as").alias("read_as"))
-    return g.select(*ask, *keys, "line_no", "ord", "term", (F.col("_e") == 1).alias("exact"),
-                    F.when(F.col("_e") == 0, F.col("read_as")).alias("read_as"))
+    pairs = near_pairs(wanted, lt.join(wanted.select(*keys).distinct(), keys, "left_semi"), keys, same=True)
+    read = pairs.join(lt.withColumnRenamed("token", "b"), [*keys, "b"]).groupBy(*keys, "line_no", "a").agg(F.min(F.expr(NEAREST)).alias("m"))
+    read = read.select(*keys, "line_no", F.col("a").alias("term"), (F.col("m.k") == -2).alias("exact"), F.when(F.col("m.k") > -2, F.col("m.b")).alias("read_as"))
+    return q.join(read, [*keys, "term"]).select(*ask, *keys, "line_no", "ord", "term", "exact", "read_as")
 
 
 def locate_answer(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[str], answer: str = "answer") -> DataFrame:
@@ -127,7 +121,7 @@ def locate_answer(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[
         F.sum(F.when(F.col("exact"), 1.0).otherwise(0.75)).alias("hits"),
         F.array_sort(F.collect_list(F.when(~F.col("exact"), F.struct("ord", F.concat_ws(">", "term", "read_as").alias("r"))))).alias("_m"))
     laid = with_layout(lines, keys)
-    cand = per_line.join(laid.select(*keys, "line_no", "score"), [*keys, "line_no"])
+    cand = per_line.join(lines.select(*keys, "line_no", "score"), [*keys, "line_no"])
     best = cand.groupBy(*ask, *keys).agg(F.max_by(
         F.struct("line_no", "hits", "_m"), F.struct("hits", "score", (-F.col("line_no")).alias("o"))).alias("m"))
     located = q.join(best, [*ask, *keys], "left")

@@ -172,13 +172,13 @@ def risk_coverage(df: DataFrame, keys: list[str], coverages=(0.25, 0.5, 0.75, 1.
     cum = running(levels, keys, [F.desc("trust")], slice_by(F.col("trust")), {"_cc": F.col("_c"), "_cr": F.col("_r")})
     n = levels.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     shares = n.select(*keys, F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage"), "_n")
-    shares = shares.withColumn("k", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("_n"), 0).cast("long")))
-    j = cum.join(shares, keys).where(F.col("_cc") - F.col("_c") < F.col("k"))
-    full = F.col("_cc") <= F.col("k")
-    g = j.groupBy(*keys, "coverage", "k").agg(
+    shares = shares.withColumn("_take", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("_n"), 0).cast("long")))
+    j = cum.join(shares, keys).where(F.col("_cc") - F.col("_c") < F.col("_take"))
+    full = F.col("_cc") <= F.col("_take")
+    g = j.groupBy(*keys, "coverage", "_take").agg(
         F.sum(F.when(full, F.col("_r"))).alias("_full"),
         F.max(F.when(~full, F.col("trust"))).alias("_edge"),
-        F.max(F.when(~full, F.col("k") - (F.col("_cc") - F.col("_c")))).alias("_need"))
+        F.max(F.when(~full, F.col("_take") - (F.col("_cc") - F.col("_c")))).alias("_need"))
     edges = g.where("_edge IS NOT NULL").select(*keys, F.col("_edge").alias("trust"), "coverage", "_need")
     at_edge = rows.join(edges.select(*keys, "trust").distinct(), [*keys, "trust"], "left_semi")
     placed = positions(at_edge, [*keys, "trust"], "idx", "_pos")
@@ -186,7 +186,7 @@ def risk_coverage(df: DataFrame, keys: list[str], coverages=(0.25, 0.5, 0.75, 1.
         F.count_if("ok").alias("_part"))
     out = g.join(part, [*keys, "coverage"], "left")
     right = F.coalesce("_full", F.lit(0)) + F.coalesce("_part", F.lit(0))
-    return out.select(*keys, "coverage", F.col("k").alias("n"), F.bround(right / F.col("k"), 4).alias("accuracy"))
+    return out.select(*keys, "coverage", F.col("_take").alias("n"), F.bround(right / F.col("_take"), 4).alias("accuracy"))
 
 
 def selective(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -53,39 +53,40 @@ def _prefix(word: Column, cutoff: float) -> Column:
     return T.bind(rarest, lambda p: F.transform(p, lambda c, i: F.concat(c, (i - F.array_position(p, c)).cast("string"))))
 
 
-def near_pairs(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: float = 0.75, rule: str = "misreading") -> DataFrame:
+def _signatures(df: DataFrame, word: str, cutoff: float, rule: str, lengths: Column) -> DataFrame:
+    """One row per (token, ``_s``): values that any two words worth comparing share. These are the shapes of look-alike words,
+    and a rare character together with the length of the partner. Numbers are only ever misread by shape."""
+    w = F.col(word)
+    d = df.withColumn("_p", _prefix(w, cutoff)).withColumn("_l", lengths)
+    rare = F.flatten(F.transform("_l", lambda n: F.transform("_p", lambda e: F.concat(n.cast("string"), F.lit("#"), e))))
+    if rule == "misreading":
+        rare = F.concat(M.shapes(w), F.when(w.rlike("[0-9]"), F.array().cast("array<string>")).otherwise(rare))
+    return d.select(*df.columns, F.explode(rare).alias("_s"))
+
+
+def near_pairs(left: DataFrame, vocab: DataFrame, keys: list[str], cutoff: float = 0.75, rule: str = "misreading",
+               same: bool = False) -> DataFrame:
     """(keys, a, b, s): all likely readings b in ``vocab`` of each token a of ``left``, within the same group and two
     characters of length, with s = (kind, ratio). ``rule``: "misreading" takes look-alike readings first and never replaces
-    one number by another; "plain" goes by similarity alone.
+    one number by another; "plain" goes by similarity alone. ``same`` adds the token itself as kind 2.
 
-    Candidates come from two equality joins: words of the same shape (look-alike characters), and words that share one of
-    their rarest characters, which every pair above the cutoff does. Groups are therefore never paired off in full, and
-    the join keys spread a large group over its shapes, letters and lengths.
+    Candidates come from one equality join: words of the same shape (look-alike characters), or words that share one of
+    their rarest characters, which every pair above the cutoff does. Groups are therefore never paired off in full, and the
+    join key spreads a large group over its shapes, letters and lengths.
     """
-    misreading = rule == "misreading"
     lt = left.select(*keys, F.col("token").alias("a")).distinct()
-    if misreading:
-        lt = lt.where(F.length("a") >= 3)
     vt = vocab.select(*keys, F.col("token").alias("b")).distinct()
-    off = F.explode(F.sequence(F.greatest(F.length("a") - 2, F.lit(1)), F.length("a") + 2)).alias("_len")
-    la = (lt.where(~F.col("a").rlike("[0-9]")) if misreading else lt)
-    lb = (vt.where(~F.col("b").rlike("[0-9]")) if misreading else vt)
-    la = la.select(*keys, "a", _prefix(F.col("a"), cutoff).alias("pa")).select(*keys, "a", "pa", off)
-    la = la.select(*keys, "a", "pa", "_len", F.explode("pa").alias("_e"))
-    lb = lb.select(*keys, "b", F.length("b").alias("_len"), _prefix(F.col("b"), cutoff).alias("pb"))
-    lb = lb.select(*keys, "b", "_len", "pb", F.explode("pb").alias("_e"))
-    close = la.join(lb, [*keys, "_len", "_e"]).where(F.col("a") != F.col("b"))
-    close = close.where(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("_e"))  # each pair once
-    close = close.where(M.within_ratio(F.col("a"), F.col("b"), cutoff)).select(*keys, "a", "b")
-    if not misreading:
-        plain = F.struct(F.lit(0).alias("kind"), M.ratio(F.col("a"), F.col("b")).alias("ratio"))
-        return close.select(*keys, "a", "b", plain.alias("s")).where(F.col("s.ratio") >= cutoff)
-    sa = lt.select(*keys, "a", F.explode(M.shapes(F.col("a"))).alias("_s"))
-    sb = vt.select(*keys, "b", F.explode(M.shapes(F.col("b"))).alias("_s"))
-    alike = sa.join(sb, [*keys, "_s"]).where((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
-    alike = alike.where(M.is_lookalike(F.col("a"), F.col("b"))).select(*keys, "a", "b")
-    pairs = alike.unionByName(close).distinct()
-    return pairs.select(*keys, "a", "b", M.near_score(F.col("a"), F.col("b"), cutoff).alias("s")).where("s IS NOT NULL")
+    around = F.sequence(F.greatest(F.length("a") - 2, F.lit(1)), F.length("a") + 2)
+    sa, sb = _signatures(lt, "a", cutoff, rule, around), _signatures(vt, "b", cutoff, rule, F.array(F.length("b")))
+    cand = sa.join(sb, [*keys, "_s"]).where((F.abs(F.length("a") - F.length("b")) <= 2) & (F.lit(same) | (F.col("a") != F.col("b"))))
+    shaped = F.col("_s").rlike("^[=~]")
+    pairs = cand.where((F.lit(rule == "misreading") & shaped) | M.within_ratio(F.col("a"), F.col("b"), cutoff)).select(*keys, "a", "b").distinct()
+    if rule == "misreading":
+        s = M.near_score(F.col("a"), F.col("b"), cutoff)
+    else:
+        s = T.bind(M.ratio(F.col("a"), F.col("b")), lambda r: F.when(r >= cutoff, F.struct(F.lit(0).alias("kind"), r.alias("ratio"))))
+    itself = F.struct(F.lit(2).alias("kind"), F.lit(1.0).alias("ratio"))
+    return pairs.select(*keys, "a", "b", F.when(F.col("a") == F.col("b"), itself).otherwise(s).alias("s")).where("s IS NOT NULL")
 
 
 NEAREST = "struct(-s.kind AS k, -s.ratio AS r, b AS b)"  # look-alike first, then most similar, then by spelling

@@ -210,14 +210,12 @@ _QA_CLAIMS = f"qa_asks AS (SELECT qid, vlm_pred AS vlm, ocr_pred AS ocr FROM qa)
 
 def _open_asks(spark, sf):
     """Questions judged by a reference, by a closer reading, or by nothing."""
-    a = _asks(spark, sf).drop("vlm_ran", "ocr_ran")
-    p = X.predictions(spark, sf).select("idx", "doc_id", F.col("gold")[0].alias("_g"))
-    a = a.join(p, "idx").withColumn("closer_text", F.when(F.col("idx") % 8 == 3, F.col("_g"))).drop("_g")
-    pairs = X.predictions(spark, sf).select("qid", F.col("vlm_pred").alias("vlm"), F.col("ocr_pred").alias("ocr"))
-    only = C.claim_pairs(pairs).groupBy("qid").agg(F.count_if(F.col("label") == "only_vlm").alias("n_only_vlm"), F.count_if(F.col("label") == "only_ocr").alias("n_only_ocr"))
-    v = C.verdicts(pairs).select("qid", "verdict")
-    return a.join(v, "qid", "left").join(only, "qid", "left").na.fill(0, ["n_only_vlm", "n_only_ocr"]).withColumns({
-        "vlm_survived": F.when(F.col("idx") % 4 < 2, F.col("idx") % 4 == 0), "ocr_survived": F.when(F.col("idx") % 6 < 3, F.col("idx") % 6 == 1)})
+    i = F.col("idx")
+    a = _asks(spark, sf).withColumn("closer_text", F.when(i % 8 == 3, F.col("first_gold")))
+    v = C.verdicts(a.select("qid", F.col("vlm_answer").alias("vlm"), F.col("ocr_answer").alias("ocr"))).select(
+        "qid", "verdict", "n_only_vlm", "n_only_ocr")
+    return a.join(v, "qid", "left").na.fill(0, ["n_only_vlm", "n_only_ocr"]).withColumns({
+        "vlm_survived": F.when(i % 4 < 2, i % 4 == 0), "ocr_survived": F.when(i % 6 < 3, i % 6 == 1)})
 
 
 def _supp(k):

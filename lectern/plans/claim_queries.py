@@ -97,7 +97,7 @@ def unmatched_claims(spark, sf):
 
 @query("verdicts", CHAT + " SELECT qid, verdict, agreement, pairs FROM verdicts_")
 def verdicts(spark, sf):
-    return C.verdicts(X.asks(spark, sf))
+    return C.verdicts(X.asks(spark, sf)).select("qid", "verdict", "agreement", "pairs")
 
 
 @query("reader_agreement", f"WITH {QA_ASKS} SELECT idx, verdict = 'consistent' AS agree FROM qa LEFT JOIN verdicts_ USING (qid)")

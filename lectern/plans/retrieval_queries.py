@@ -150,7 +150,8 @@ def _asks(spark, sf):
     return p.select("idx", "qid", F.col("vlm_pred").alias("vlm_answer"), F.col("ocr_pred").alias("ocr_answer"),
                     F.when(F.col("vlm_pred").isNull(), "failed").alias("vlm_error"), F.when(F.col("ocr_pred").isNull(), "failed").alias("ocr_error"),
                     "vlm_ms", "ocr_ms", F.when(F.col("idx") % 4 != 3, F.col("layer_text")).alias("reference"),
-                    (F.col("idx") % 11 != 5).alias("vlm_ran"), F.lit(True).alias("ocr_ran"), "ocr_text")
+                    (F.col("idx") % 11 != 5).alias("vlm_ran"), F.lit(True).alias("ocr_ran"), "ocr_text", "doc_id",
+                    F.col("gold")[0].alias("first_gold"))
 
 
 CARD = f"""{_SUP}, s_ AS (SELECT qa.idx, qa.qid, qa.vlm_pred, qa.ocr_pred, vlm_ms, ocr_ms, qa.idx % 4 <> 3 AS has_ref, qa.idx % 11 <> 5 AS ran,
