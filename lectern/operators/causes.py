@@ -8,6 +8,7 @@ from ..functions import scoring as S
 from ..functions import similarity as M
 from ..functions import text as T
 from .layout import LOW_CONFIDENCE, key_hits, locate_answer, with_layout
+from .staging import staged
 
 # The causes of wrong answers.
 WRONG = ("misread", "spacing", "lost", "wrong_value", "missed", "partial", "near_miss", "format", "unsupported", "failed")
@@ -113,6 +114,11 @@ def item_diagnosis(items: DataFrame, lines: DataFrame, keys: list[str], page: li
 
 
 # ------------------------------------------------------------------------------------------------ runs
+def narrow(diagnosed: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns the run summaries read; texts and lines stay behind."""
+    return diagnosed.select(*keys, "types", "located", "layout", "bucket", "vlm_scores", "ocr_scores", "vlm_cause", "ocr_cause", "better")
+
+
 def outcomes(diagnosed: DataFrame, keys: list[str]) -> DataFrame:
     return diagnosed.groupBy(*keys, "better").agg(F.count("*").alias("n"))
 
@@ -156,7 +162,7 @@ def grouped_accuracy(diagnosed: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_diagnosis(diagnosed: DataFrame, keys: list[str]) -> DataFrame:
     """Everything about why a run went as it did, as (keys, section, name, other, n, value) rows."""
-    d = diagnosed.where(F.col("vlm_scores").isNotNull() & F.col("ocr_scores").isNotNull())
+    d = staged(narrow(diagnosed.where(F.col("vlm_scores").isNotNull() & F.col("ocr_scores").isNotNull()), keys), "diagnosis")
     none = F.lit(None).cast("string")
     zero = F.lit(None).cast("double")
     parts = [

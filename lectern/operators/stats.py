@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .ordering import positions, running
+from .staging import staged
 
 METRICS = ("em", "anls", "contains", "abstain", "error")
 RESAMPLE_LIMIT = 100_000
@@ -227,7 +228,9 @@ def run_progress(questions: DataFrame, items: DataFrame, keys: list[str], item:
 
 
 def experiment_report(items: DataFrame, keys: list[str]) -> DataFrame:
-    """All run statistics, one row per run. ``items`` carry both scores, answer_in_ocr, agree, times and idx."""
+    """All run statistics, one row per run. ``items`` carry both scores, answer_in_ocr, agree, times and idx. Scoring runs
+    once; the statistics read its narrow result."""
+    items = staged(items.select(*keys, "idx", "vlm_scores", "ocr_scores", "vlm_ms", "ocr_ms", "answer_in_ocr", "agree"), "report")
     s = side_summary(items, keys)
     wide = s.groupBy(*keys).agg(F.max("n").alias("n"), *[
         F.max(F.when(F.col("side") == side, F.col(m))).alias(f"{side}_{m}")

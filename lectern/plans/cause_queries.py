@@ -10,6 +10,7 @@ from ..operators import claims as C
 from ..operators import findings as N
 from ..operators import items as I
 from ..operators import support as P
+from ..operators.staging import staged
 from . import fixtures as X
 from . import sqlparts as Q
 from .claim_queries import claims_sql
@@ -199,7 +200,7 @@ UNION ALL SELECT exp_id, 'beyond_text', 'beyond_ocr', count(*)::DOUBLE FROM dg_
 UNION ALL SELECT exp_id, 'wrong_answers', 'vlm', count(*)::DOUBLE FROM dg_ WHERE vlm_cause IN {_W} GROUP BY exp_id
 UNION ALL SELECT exp_id, 'wrong_answers', 'ocr', count(*)::DOUBLE FROM dg_ WHERE ocr_cause IN {_W} GROUP BY exp_id""")
 def run_findings(spark, sf):
-    d = _diagnosed(spark, sf)
+    d = staged(K.narrow(_diagnosed(spark, sf), RUN), "findings")
     f = N.run_findings(K.outcomes(d, RUN), K.lost_to(d, RUN), K.grouped_accuracy(d, RUN), K.cause_counts(d, RUN), RUN)
     return f.withColumn("value", F.round("value", 4))
 
@@ -254,7 +255,7 @@ def answer_regions(spark, sf):
 
 @query("ask_causes")
 def ask_causes(spark, sf):
-    prepared = K.better_reader(K.prepare_asks(_open_asks(spark, sf)))
+    prepared = staged(K.better_reader(K.prepare_asks(_open_asks(spark, sf))), "asks")
     r = _regions(spark, sf, prepared).select("idx", "doc_id", "line_no").distinct()
     words = r.join(X.ocr_lines(spark, sf).select("doc_id", "line_no", T.vocab(F.col("text")).alias("line_words")), ["doc_id", "line_no"])
     return K.ask_causes(prepared, words, ["idx"])

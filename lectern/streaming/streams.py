@@ -1,23 +1,16 @@
 """Structured Streaming forms: telemetry windows, resumable scoring, page arrivals, upload deduplication, sessions."""
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.staging import work_dir  # noqa: F401
 from ..operators.tables import upsert_latest
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def read_folder(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
     if pattern:
