@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ordering import largest_group, running, smallest
+from .staging import staged
 
 
 def matching_lines(lines: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,6 +54,7 @@ def bm25_scores(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: st
     q = q.groupBy("qid", doc, "term").agg(F.count("*").alias("qf"))
     wanted = q.select(doc, "term").distinct()
     tf = _postings(pages, doc, page, text).join(wanted, [doc, "term"], "left_semi").groupBy(doc, page, "dl", "term").agg(F.count("*").alias("tf"))
+    tf = staged(tf, "postings")  # read twice below; a few counts per page instead of a second pass over the texts
     df = tf.groupBy(doc, "term").agg(F.count("*").alias("df"))
     stats = bm25_stats(pages, doc, text)
     weights = q.join(df, [doc, "term"]).join(stats, doc).select(
@@ -103,7 +105,7 @@ def top_pages(pages: DataFrame, queries: DataFrame, cap: int, doc: str = "doc",
     page, so neither a question nor a document is ever sorted whole. Unmatched pages only fill up what is left, in page
     order, and of those the first ``cap`` of a document are enough."""
     cap = max(cap, 1)
-    scores = bm25_scores(pages, queries, doc, page, text)
+    scores = staged(bm25_scores(pages, queries, doc, page, text), "scores")
     first = (smallest(pages.select(doc, page), [doc], F.struct(F.col(page)), cap, page)
              .select(doc, F.explode("_best").alias("_b")).select(doc, F.col(f"_b.{page}").alias(page)))
     filler = queries.select("qid", doc).join(first, doc).join(scores.select("qid", doc, page), ["qid", doc, page], "left_anti")

@@ -9,8 +9,17 @@ from ..operators.ordering import positions
 NF = "Not found in document."
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A text table stored in fewer row groups than there are cores is spread over them first, since what
+    follows is work per character; with more row groups than cores, as in any large table, nothing is moved."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def misread(text):

@@ -42,10 +42,10 @@ def resumable_scoring(spark, sf):
     return M.latest_scores(spark, f"{base}/out", ["idx"], "version").select("idx", "em")
 
 
-@query("page_arrivals", f"SELECT source AS doc, doc_id // 20 % 50 AS page, CASE WHEN doc_id % 2 = 0 THEN 'rapid' ELSE 'paddle' END AS engine FROM documents GROUP BY ALL")
+@query("page_arrivals", f"SELECT source AS doc, doc_id // 20 % 50 AS page, CASE WHEN doc_id % 2 = 0 THEN 'fast' ELSE 'careful' END AS engine FROM documents GROUP BY ALL")
 def page_arrivals(spark, sf):
     d = _stream(spark, sf, "documents")
-    pages = d.select(F.col("source").alias("doc"), (F.floor(F.col("doc_id") / 20) % 50).alias("page"), F.when(F.col("doc_id") % 2 == 0, "rapid").otherwise("paddle").alias("engine"),
+    pages = d.select(F.col("source").alias("doc"), (F.floor(F.col("doc_id") / 20) % 50).alias("page"), F.when(F.col("doc_id") % 2 == 0, "fast").otherwise("careful").alias("engine"),
                      F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("arrived"))
     return _finish(spark, M.page_arrivals(pages), "arrivals").select("doc", "page", "engine")
 

@@ -82,8 +82,8 @@ def retrieval_corpus(spark, sf):
 @query("missing_pages", f"WITH {Q.PAGES} SELECT doc, page FROM pages_ WHERE NOT (doc_id % 3 <> 0 AND doc_id % 2 = 0)")
 def missing_pages(spark, sf):
     p = X.page_numbers(spark, sf)
-    cache = p.where("doc_id % 3 <> 0").withColumn("engine", F.when(F.col("doc_id") % 2 == 0, "rapid").otherwise("paddle"))
-    return A.missing_pages(p.select("doc", "page"), cache, "rapid")
+    cache = p.where("doc_id % 3 <> 0").withColumn("engine", F.when(F.col("doc_id") % 2 == 0, "fast").otherwise("careful"))
+    return A.missing_pages(p.select("doc", "page"), cache, "fast")
 
 
 @query("seeded_sample", f"WITH {Q.QA} SELECT idx, qid FROM qa ORDER BY md5('7|' || idx), idx LIMIT 50")
