@@ -29,7 +29,7 @@ from lectern.llm.common import in_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries a task remembers of words and of pairs before it starts afresh: bounds memory, changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 NEVER = 1 << 60
 ID = (1 << 32) - 1
 
@@ -60,20 +60,37 @@ class Known(dict):
         return found
 
 
-class Encoder:
-    """One tokenizer file, ready to encode pieces and decode ids."""
+class Decoder:
+    """The bytes of every token in one array, with an offset table."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+    def __init__(self, data: dict) -> None:
         letters, vocab = byte_letters(), data["model"]["vocab"]
-        size = max([*vocab.values(), *(t["id"] for t in data["added_tokens"])]) + 1
-        self.bytes: list[bytes] = [b""] * size
+        self.bytes: list[bytes] = [b""] * (max([*vocab.values(), *(t["id"] for t in data["added_tokens"])]) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(letters[c] for c in token)
+        for t in data["added_tokens"]:
+            self.bytes[t["id"]] = t["content"].encode()
+        self.length = list(map(len, self.bytes))
+        self.offsets = np.concatenate(([0], np.cumsum(self.length)))
+        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def decode(self, packed: bytes) -> str:
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
+        starts = self.offsets[ids]
+        lengths = self.offsets[ids + 1] - starts
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+        return self.blob[where].tobytes().decode("utf-8", "replace")
+
+
+class Encoder(Decoder):
+    """One tokenizer file, ready to encode texts and decode ids."""
+
+    def __init__(self, data: dict) -> None:
+        super().__init__(data)
+        vocab, size = data["model"]["vocab"], len(self.bytes)
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        for token, i in self.added.items():
-            self.bytes[i] = token.encode()
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
         # merged[left << 32 | right] = rank; halves[id] = the pair it is made of and that merge's rank
@@ -91,9 +108,6 @@ class Encoder:
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for token, i in ids.items():
             self.shorter[i] = next((ids[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ids), -1)
-        self.length = list(map(len, self.bytes))
-        self.offsets = np.concatenate(([0], np.cumsum(self.length)))
-        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.pieces = Known(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes())
@@ -195,19 +209,11 @@ class Encoder:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<u4").astype(np.int64)
-        starts = self.offsets[ids]
-        lengths = self.offsets[ids + 1] - starts
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-        return self.blob[where].tobytes().decode("utf-8", "replace")
-
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    made = Encoder(path)
+def load(kind: type, path: str) -> Decoder:
+    with open(path, encoding="utf-8") as f:
+        made = kind(json.load(f))
     gc.freeze()  # the tables live as long as the worker
     return made
 
@@ -228,7 +234,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     """``df`` plus ``ids``: binary, each id a little-endian unsigned 32-bit integer. ``path``: a byte-level BPE file of the
     tokenizers library, present on every node. Empty and null texts give no ids; a column of the name is replaced."""
     def run(texts: pa.Array) -> pa.Array:
-        e = encoder(path)
+        e = load(Encoder, path)
         return pa.array([e.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
 
     return _with_column(df, ids, T.BinaryType(), text, run)
@@ -237,7 +243,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` plus ``text``: what the ids spell. Null ids give an empty text; a column of the name is replaced."""
     def run(packed: pa.Array) -> pa.Array:
-        e = encoder(path)
-        return pa.array([e.decode(p) if p else "" for p in packed.to_pylist()], pa.string())
+        d = load(Decoder, path)
+        return pa.array([d.decode(p) if p else "" for p in packed.to_pylist()], pa.string())
 
     return _with_column(df, text, T.StringType(), ids, run)
