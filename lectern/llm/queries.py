@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, langid, secrets, simhash, topk
+from lectern.llm import bpe, chat, decontaminate, langid, linededup, secrets, simhash, topk
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,22 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = per.select("conv_id", "n_turns", "formatted_chars", F.array_join("xs.turns", "").alias("turns"), F.array_join("xs.loss", "").alias("loss"))
     return per.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op1_line_dedup", sql=r"""
+WITH l AS (SELECT doc_id, text AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+      FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, whole, pos, list_transform(regexp_extract_all(line, '[^\x09-\x0D\x20]+'),
+      lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
+h AS (SELECT *, len(tok) AS n, 3 + CAST(ceil((len(tok) - 3) / 2) AS BIGINT) AS m FROM t WHERE len(tok) > 0),
+k AS (SELECT doc_id, whole, pos, '0 ' || array_to_string(tok, ' ') AS key FROM h
+      UNION ALL SELECT doc_id, whole, pos, '1 ' || n || ' ' || array_to_string(tok[1:m], ' ') FROM h WHERE n >= 6
+      UNION ALL SELECT doc_id, whole, pos, '2 ' || n || ' ' || array_to_string(tok[1:3], ' ') || '  ' || array_to_string(tok[m + 1:], ' ') FROM h WHERE n >= 6),
+c AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT whole) >= 10),
+x AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN c ON k.key = c.key WHERE k.doc_id IS DISTINCT FROM c.first),
+r AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS text
+      FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, r.text FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_recurring(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
