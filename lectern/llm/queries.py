@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, langid, linededup, secrets, simhash, topk
+from lectern.llm import bpe, chat, decontaminate, hmm, langid, linededup, secrets, simhash, topk
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,11 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_recurring(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+
+
+@query("op2_hmm_scores")
+def hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a null doc_id are training rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder(5) == 1, F.lit(False))
+    return hmm.score(docs.withColumn("held_out", held), ~held)
