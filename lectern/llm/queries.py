@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, hmm, langid, linededup, secrets, simhash, topk
+from lectern.llm import bpe, chat, decontaminate, hmm, langid, linededup, pii, secrets, simhash, topk
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,12 @@ def hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(remainder(5) == 1, F.lit(False))
     return hmm.score(docs.withColumn("held_out", held), ~held)
+
+
+@query("op10_pseudonyms")
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text pseudonymised; the key comes from LECTERN_KEY, else a fixed one for tests."""
+    key = os.environ.get("LECTERN_KEY", "a key for tests only").encode()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = F.array_sort(F.transform("private", lambda s: s["kind"]))
+    return pii.pseudonymise(docs, key).select("doc_id", "text", F.size("private").cast("long").alias("n_private"), F.array_join(kinds, ",").alias("kinds"), "private")
