@@ -85,3 +85,104 @@ def near_duplicates(docs: DataFrame, words: int = 3, text: str = "text", doc_id:
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
     named = of.join(lowest, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, prints.fp == named.f, "left").select("doc_id", "fp", "component_id")
+
+
+# --- near copies by shingle overlap --------------------------------------------------------------------------------------
+#
+# A 64-bit majority fingerprint at two bits finds near-exact copies only: copies with four fifths of their five-word shingles
+# in common lie 7 to 12 bits apart, and a ball of that radius has too many values to send. The links of the ball are therefore
+# completed by links between texts that agree on a sample of shingles, and every link is verified on the whole shingle sets.
+
+SAMPLES, SAMPLE_SIZE = 16, 4  # a pair at 0.8 is missed by all samples with probability (1 - 0.8 ** 4) ** 16 = 0.0002
+BROADCAST_IDS = 1_000_000
+_RNG = np.random.default_rng(SEED)
+MULTIPLY = _RNG.integers(0, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _RNG.integers(0, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def samples(hashes: np.ndarray) -> list[int]:
+    """One key per sample: the shingles smallest under SAMPLE_SIZE fixed orders. No shingles, no keys."""
+    if not len(hashes):
+        return []
+    least = np.full(len(MULTIPLY), np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 1 << 12):
+        mixed = hashes[start:start + (1 << 12), None] * MULTIPLY + ADD
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    parts = least.reshape(SAMPLES, SAMPLE_SIZE)
+    return [signed(xxhash.xxh64_intdigest(p.tobytes(), i)) for i, p in enumerate(parts)]
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _sketch(rows: DataFrame, words: int) -> DataFrame:
+    """rid, row, and of the row's text: class (hash of its shingle set), fp, keys."""
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        classes, fps, keys = [], [], []
+        for text in batch.column("text").to_pylist():
+            own = shingle_set(text, words)
+            classes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
+            fps.append(majority(own))
+            keys.append(samples(own))
+        return pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("row"), pa.array(classes, pa.int64()), pa.array(fps, pa.int64()),
+                                           pa.array(keys, pa.list_(pa.int64()))], names=["rid", "row", "class", "fp", "keys"])
+
+    return rows.mapInArrow(in_batches(run), f"rid long, row {kind}, class long, fp long, keys array<bigint>")
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    """(a, b) from (class, at): each class to the smallest and to the largest class of its group. Extremes are aggregates joined
+    back, so a group of any size stays spread out and no group is paired off."""
+    ends = groups.groupBy("at").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").withColumnRenamed("at", "k")
+    met = groups.join(ends, F.col("at") == F.col("k"))
+    return met.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+
+
+def copy_links(sketched: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between classes whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    one = sketched.groupBy("class").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    one, _ = written(one, "classes")
+    of_print = one.groupBy("fp").agg(F.min("class").alias("class"))
+    ball = ball_links(of_print)
+    named = of_print.select(F.col("fp").alias("p"), "class")
+    ball = ball.join(named.withColumnRenamed("class", "ca"), F.col("a") == F.col("p")).drop("p").join(named.withColumnRenamed("class", "cb"), F.col("b") == F.col("p"))
+    alike = _stars(one.select("class", F.col("fp").alias("at")))
+    sampled = _stars(one.select("class", F.explode("keys").alias("at")))
+    links = ball.select(F.col("ca").alias("a"), F.col("cb").alias("b")).union(alike).union(sampled)
+    links, _ = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = one.join(ends, F.col("class") == F.col("c"), "left_semi").select(F.col("rid").alias("wanted"))
+    few = wanted.count() <= BROADCAST_IDS
+    rows = sketched.join(F.broadcast(wanted) if few else wanted, F.col("rid") == F.col("wanted"), "left_semi").select("class", F.col("row.text").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], names=["class", "hashes"])
+
+    sets, _ = written(rows.mapInArrow(in_batches(run), "class long, hashes array<bigint>"), "sets")
+    left, right = (sets.select(F.col("class").alias(f"c{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    met = links.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    return met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row left of each group of near copies: that of the smallest doc_id (nulls last). Texts are near copies if
+    the Jaccard similarity of their sets of word shingles is ``similarity`` or more, or over a chain of such; texts without words
+    are copies of each other."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), "text")
+    sketched, _ = written(_sketch(rows, words), "sketches")
+    roots = components(copy_links(sketched, words, similarity), "copies")
+    of = sketched.select("class", "rid", F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "rid").alias("at"))
+    first = of.groupBy("class").agg(F.min("at").alias("at"))
+    lowest = first.join(roots, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("at").alias("at"))
+    stay = lowest.select(F.col("at.rid").alias("stays"))
+    return sketched.join(stay, F.col("rid") == F.col("stays"), "left_semi").select("row.*")
