@@ -137,28 +137,38 @@ def _sketch(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(in_batches(run), f"rid long, row {kind}, class long, fp long, keys array<bigint>")
 
 
-def _stars(groups: DataFrame) -> DataFrame:
-    """(a, b) from (class, at): each class to the smallest and to the largest class of its group. Extremes are aggregates joined
-    back, so a group of any size stays spread out and no group is paired off."""
-    ends = groups.groupBy("at").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").withColumnRenamed("at", "k")
-    met = groups.join(ends, F.col("at") == F.col("k"))
-    return met.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-
-
-def copy_links(sketched: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links between classes whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    one = sketched.groupBy("class").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    one, _ = written(one, "classes")
+def _stars(groups: DataFrame, turn: int) -> DataFrame:
+    """(a, b) from (class, at, part): in each group, a class of every part to one of another part. Which class stands for a part,
+    and which part is the middle of the star, is drawn anew each turn. These are aggregates joined back, so a group of any size
+    stays spread out and no group is paired off."""
+    drawn = F.xxhash64("class", "at", F.lit(turn)) if turn else F.col("class")
+    parts = groups.groupBy("at", "part").agg(F.min(F.struct(drawn.alias("o"), "class")).alias("own"))
+    middle = parts.groupBy(F.col("at").alias("k")).agg(F.min("own").alias("middle"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = parts.join(middle, F.col("at") == F.col("k")).select(F.col("own.class").alias("x"), F.col("middle.class").alias("y")).where("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _between_prints(one: DataFrame) -> DataFrame:
+    """(a, b) of classes from the ball's links of fingerprints."""
     of_print = one.groupBy("fp").agg(F.min("class").alias("class"))
-    ball = ball_links(of_print)
-    named = of_print.select(F.col("fp").alias("p"), "class")
-    ball = ball.join(named.withColumnRenamed("class", "ca"), F.col("a") == F.col("p")).drop("p").join(named.withColumnRenamed("class", "cb"), F.col("b") == F.col("p"))
-    alike = _stars(one.select("class", F.col("fp").alias("at")))
-    sampled = _stars(one.select("class", F.explode("keys").alias("at")))
-    links = ball.select(F.col("ca").alias("a"), F.col("cb").alias("b")).union(alike).union(sampled)
-    links, _ = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ends = [of_print.select(F.col("fp").alias(f"p{x}"), F.col("class").alias(f"c{x}")) for x in "ab"]
+    met = ball_links(of_print).join(ends[0], F.col("a") == F.col("pa")).join(ends[1], F.col("b") == F.col("pb"))
+    return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+
+
+def copy_classes(sketched: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the classes linked, over any chain, by a Jaccard similarity of ``similarity`` or more of their shingle sets.
+
+    Classes that agree on a fingerprint or a sample are compared with one of their group, those found alike are united, and the
+    parts of a group that are still apart are compared through other members, until a turn unites nothing.
+    """
+    one, _ = written(sketched.groupBy("class").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    at = one.select("class", F.explode(F.concat(F.array("fp"), F.col("keys"))).alias("at"))
+    crowded = at.groupBy(F.col("at").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    groups, _ = written(at.join(crowded, F.col("at") == F.col("k"), "left_semi"), "groups")
+    ball, _ = written(_between_prints(one), "ball")
+
+    ends = groups.select(F.col("class").alias("c")).union(ball.select(F.explode(F.array("a", "b")))).distinct()
     wanted = one.join(ends, F.col("class") == F.col("c"), "left_semi").select(F.col("rid").alias("wanted"))
     few = wanted.count() <= BROADCAST_IDS
     rows = sketched.join(F.broadcast(wanted) if few else wanted, F.col("rid") == F.col("wanted"), "left_semi").select("class", F.col("row.text").alias("text"))
@@ -169,9 +179,21 @@ def copy_links(sketched: DataFrame, words: int, similarity: float) -> DataFrame:
 
     sets, _ = written(rows.mapInArrow(in_batches(run), "class long, hashes array<bigint>"), "sets")
     left, right = (sets.select(F.col("class").alias(f"c{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    met = links.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+
+    def verified(links: DataFrame) -> DataFrame:
+        met = links.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        return written(met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "verified")[0]
+
+    found = verified(_stars(groups.withColumn("part", F.col("class")), 0).union(ball).distinct())
+    turn = 1
+    while True:
+        roots = components(found, "copies")
+        parted = groups.join(roots, F.col("class") == F.col("node"), "left").select("class", "at", F.coalesce("root", "class").alias("part"))
+        new = verified(_stars(parted, turn))
+        if new.isEmpty():
+            return roots
+        found, turn = found.union(new), turn + 1
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -180,7 +202,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     are copies of each other."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), "text")
     sketched, _ = written(_sketch(rows, words), "sketches")
-    roots = components(copy_links(sketched, words, similarity), "copies")
+    roots = copy_classes(sketched, words, similarity)
     of = sketched.select("class", "rid", F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "rid").alias("at"))
     first = of.groupBy("class").agg(F.min("at").alias("at"))
     lowest = first.join(roots, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("at").alias("at"))
