@@ -35,7 +35,7 @@ SAMPLE, SAMPLE_ROUNDS, SAMPLE_TOKENS = 1_500, 12, 2_000
 LONGEST = 1 << 15
 CELLS = 1 << 16  # tokens of a batch of sequences
 WORDS_HELD = 300_000
-SMOOTH = 20.0
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -182,11 +182,17 @@ def expected(m: Model, sequences: list[np.ndarray], emitted: np.ndarray, moved:
 
 
 def renewed(lex: Lexicon, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> Model:
-    """The model of the expected counts, each drawn a little towards what all states share."""
+    """The model of the expected counts. Classes that training never saw keep the probability all states share; the others are
+    drawn towards it the more, the more different classes a state emits for its number of tokens (Witten-Bell)."""
     shared = (lex.counts + 0.5) / (lex.counts.sum() + 0.5 * len(lex.counts))
-    emit = emitted + SMOOTH * shared[:, None]
+    seen = lex.counts > 0
+    known = shared[seen].sum()
+    own = emitted[seen]
+    kinds, tokens = np.minimum(own, 1.0).sum(axis=0), own.sum(axis=0)
+    emit = np.repeat(shared[:, None], len(started), axis=1)
+    emit[seen] = known * (own + kinds * (shared[seen] / max(known, 1e-300))[:, None] + 1e-9 * shared[seen][:, None]) / (tokens + kinds + 1e-9 * known)
     move, start = moved + 1.0, started + 1.0
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
 
 
 def first_model(lex: Lexicon, sample: list[np.ndarray]) -> Model:
@@ -229,11 +235,11 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
 
 
 def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` plus n_tokens, n_known, train_tokens, base_score and score; ``learn`` says which rows are
-    training rows (over the columns of ``docs``)."""
+    """``docs`` without ``text`` plus n_tokens, n_known, train_tokens, base_score and score (columns of these names are replaced);
+    ``learn`` says which rows are training rows (over the columns of ``docs``)."""
     spark = docs.sparkSession
-    rows = docs.withColumnRenamed(text, "__text").select(F.struct(*[c for c in docs.columns if c != text], F.lit(1).alias("__one")).alias("row"),
-                                                         F.col("__text").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    keep = [c for c in docs.columns if c not in (text, *MADE)]
+    rows = docs.select(F.struct(*keep, F.lit(1).alias("__one")).alias("row"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counts, _ = written(count_words(rows.where("learn")), "words")
     lex = lexicon(counts, rows.where("learn").count())
     shared = spark.sparkContext.broadcast(lex)
