@@ -178,8 +178,8 @@ def run_diagnosis(diagnosed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ single questions
-def _said(a: Column) -> Column:
-    return F.when(a.isNotNull() & (a != "") & ~T.is_not_found(a), T.keys(a)).otherwise(_none())
+def _said(a: Column, words=T.keys) -> Column:
+    return F.when(a.isNotNull() & (a != "") & ~T.is_not_found(a), words(a)).otherwise(_none())
 
 
 def _support(k: Column, vocab: Column) -> Column:
@@ -193,7 +193,8 @@ def prepare_asks(asks: DataFrame) -> DataFrame:
     d = asks.withColumn("judge_text", F.when(ref != "", ref).when(clo != "", clo))
     d = d.withColumn("basis", F.when(ref != "", "textlayer").when(clo != "", "closer_look"))
     d = d.withColumns({"judge_vocab": F.when(F.col("judge_text").isNotNull(), T.vocab(F.col("judge_text"))), "ocr_vocab": T.vocab(F.col("ocr_text")),
-                       "kv": _said(F.col("vlm_answer")), "ko": _said(F.col("ocr_answer"))})
+                       "kv": _said(F.col("vlm_answer")), "ko": _said(F.col("ocr_answer")),
+                       "wv": _said(F.col("vlm_answer"), T.vocab), "wo": _said(F.col("ocr_answer"), T.vocab)})
     for s, k in (("vlm", "kv"), ("ocr", "ko")):
         d = d.withColumn(f"{s}_nf", F.coalesce(T.is_not_found(F.col(f"{s}_answer")), F.lit(False)) & F.col(f"{s}_answer").isNotNull())
         d = d.withColumn(f"{s}_failed", F.coalesce(f"{s}_error", F.lit("")) != "")
@@ -229,9 +230,11 @@ def core_words(prepared: DataFrame) -> DataFrame:
     return d.withColumn("terms", F.array_distinct(truth)).drop("_core")
 
 
-def _status(key: Column, words: Column) -> Column:
-    """"right", the word it is misread as, or "absent"."""
-    return F.when(F.array_contains(words, key), "right").otherwise(F.coalesce(F.concat(F.lit("misread as "), M.near(key, words)), F.lit("absent")))
+def _status(key: Column, words: Column, answer: Column) -> Column:
+    """"right", the word of the answer it is misread as, the way the answer writes it, or "absent". ``words`` are all words of
+    the answer: one too short to be a content word may still be a misreading."""
+    return F.when(F.array_contains(words, key), "right").otherwise(
+        F.coalesce(F.concat(F.lit("misread as "), T.as_written(M.near(key, words), answer)), F.lit("absent")))
 
 
 def answer_regions(asks: DataFrame, lines: DataFrame, ask: list[str], page: list[str], limit: int = 3) -> DataFrame:
@@ -242,13 +245,13 @@ def answer_regions(asks: DataFrame, lines: DataFrame, ask: list[str], page: list
     per = hits.groupBy(*ask, *page, "line_no").agg(F.count("*").alias("n"), F.count_if("exact").alias("x"))
     per = per.join(laid, [*page, "line_no"])
     order = F.struct((-F.col("n")).alias("n"), (-F.col("x")).alias("x"), (-F.col("conf")).alias("c"), F.col("line_no").alias("l"))
-    placed = hits.join(per.select(*ask, *page, "line_no", order.alias("_o"), "conf", "layout", "box"), [*ask, *page, "line_no"])
-    first = placed.groupBy(*ask, *page, "term").agg(F.min_by(F.struct("line_no", "exact", "read_as", "conf", "layout", "box", "ord"), "_o").alias("m"), F.min("_o").alias("_o"))
+    placed = hits.join(per.select(*ask, *page, "line_no", order.alias("_o"), "conf", "layout", "box", "text"), [*ask, *page, "line_no"])
+    first = placed.groupBy(*ask, *page, "term").agg(F.min_by(F.struct("line_no", "exact", F.when(F.col("read_as").isNotNull(), T.as_written(F.col("read_as"), F.col("text"))).alias("read_as"), "conf", "layout", "box", "ord"), "_o").alias("m"), F.min("_o").alias("_o"))
     w = Window.partitionBy(*ask, *page).orderBy("_o")  # one row per core word of one question
     first = first.withColumn("region", F.dense_rank().over(w) - 1).where(F.col("region") < limit)
-    j = first.join(asks.select(*ask, *page, "kv", "ko", "judge_vocab"), [*ask, *page])
-    vision, reply = _status(F.col("term"), F.col("kv_all")), _status(F.col("term"), F.col("ko_all"))
-    j = j.withColumns({"kv_all": F.col("kv"), "ko_all": F.col("ko")})
+    j = first.join(asks.select(*ask, *page, "wv", "wo", "vlm_answer", "ocr_answer", "judge_vocab"), [*ask, *page])
+    vision = _status(F.col("term"), F.col("wv"), F.col("vlm_answer"))
+    reply = _status(F.col("term"), F.col("wo"), F.col("ocr_answer"))
     j = j.select(*ask, *page, "region", "m.line_no", "m.conf", "m.layout", "m.box", "term", F.col("m.ord").alias("ord"),
                  F.when(F.col("judge_vocab").isNotNull(), F.array_contains("judge_vocab", F.col("term"))).alias("in_page"),
                  vision.alias("vision"), F.when(F.col("m.exact"), "right").otherwise(F.concat(F.lit("misread as "), F.col("m.read_as"))).alias("ocr_text"),

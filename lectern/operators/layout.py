@@ -162,7 +162,7 @@ def _grams(word: Column) -> Column:
 
 def reference_evidence(asks: DataFrame, words: DataFrame, ask: list[str], doc: str, page: str, answer: str = "answer", limit: int = 4) -> DataFrame:
     """Where the reference prints an answer's words (anywhere inside a word, any case): the page with most distinct ones,
-    first on ties, and the boxes of its first hits: (ask, page, rank, line_no, key). Words that can contain a key are found
+    first on ties, how many are printed there, and its first hits: (ask, page, keys_printed, rank, line_no, key). Words that can contain a key are found
     through the key's first letters, so keys are not compared with every word of the document."""
     k = asks.select(*ask, doc, F.posexplode(T.keys(F.col(answer))).alias("ord", "key")).where(F.length("key") >= 2)
     k = k.withColumn("_g", F.substring("key", 1, 3))
@@ -174,8 +174,11 @@ def reference_evidence(asks: DataFrame, words: DataFrame, ask: list[str], doc: s
     hit = k.select(*ask, doc, "ord", "key").join(at, [doc, "key"])
     best = hit.groupBy(*ask, page).agg(F.count_distinct("key").alias("n")).groupBy(*ask).agg(
         F.min(F.struct((-F.col("n")).alias("n"), page)).alias("_t")).select(*ask, F.col(f"_t.{page}").alias(page))
-    top = smallest(hit.join(best, [*ask, page]), ask, F.struct("ord", "line_no", "key", page), limit, "line_no", salts=16)
-    return top.select(*ask, F.posexplode("_best").alias("rank", "b")).select(*ask, F.col(f"b.{page}").alias(page), "rank", "b.line_no", "b.key")
+    there = hit.join(best, [*ask, page])
+    printed = there.groupBy(*ask).agg(F.count_distinct("key").alias("keys_printed"))
+    top = smallest(there, ask, F.struct("ord", "line_no", "key", page), limit, "line_no", salts=16).join(printed, ask)
+    return top.select(*ask, "keys_printed", F.posexplode("_best").alias("rank", "b")).select(
+        *ask, F.col(f"b.{page}").alias(page), "keys_printed", "rank", "b.line_no", "b.key")
 
 
 def same_place(asks: DataFrame, ask: list[str], a_page: str, a_box: str, others: DataFrame, b_page: str, b_box: str) -> DataFrame:

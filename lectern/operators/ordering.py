@@ -71,9 +71,3 @@ def smallest(df: DataFrame, keys: list[str], order: Column, n: int, salt: str, s
     w = Window.partitionBy(*keys, "_salt").orderBy("_o")
     kept = part.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return kept.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("_o")), 1, n).alias("_best"))
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Size of the largest group: one aggregation over the key columns only. Decides between a plain window and a sliced one."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)

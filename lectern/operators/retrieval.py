@@ -1,11 +1,11 @@
 """Page ranking and selection."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordering import largest_group, running, smallest
+from .ordering import running, smallest
 from .staging import staged
 
 
@@ -19,8 +19,6 @@ def matching_lines(lines: DataFrame, answers: DataFrame, keys: list[str]) -> Dat
 
 
 # ------------------------------------------------------------------------------------------ BM25
-PLAIN_WINDOW_LIMIT = 1_000_000
-
 
 def bm25_stats(pages: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Pages and mean length per document."""
@@ -66,19 +64,13 @@ def bm25_scores(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: st
         F.round(F.sum(part), 10).alias("score"))  # copies of a page tie whatever order their terms were added in
 
 
-def bm25_rank(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text",
-              plain_limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
-    """Every page of each question's document with its rank (0 = best; ties and pages without a hit in page order).
-
-    Documents up to ``plain_limit`` pages are ranked by a window. Beyond it no document may be sorted in one task: matched
-    pages are placed by counting better scores, unmatched pages follow in page order, both slice by slice.
-    """
+def bm25_rank(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """Every page of each question's document with its rank (0 = best; ties and pages without a hit in page order). No
+    document is sorted in one task: matched pages are placed by counting better scores, unmatched pages follow in page order,
+    both slice by slice."""
     scores = bm25_scores(pages, queries, doc, page, text)
     every = pages.select(doc, page).join(queries.select("qid", doc), doc)
     full = every.join(scores, ["qid", doc, page], "left").na.fill(0.0, ["score"])
-    if largest_group(pages.select(doc), [doc]) <= plain_limit:
-        w = Window.partitionBy("qid", doc).orderBy(F.desc("score"), page)
-        return full.select("qid", doc, page, "score", (F.row_number().over(w) - 1).cast("long").alias("rank"))
     return sliced_rank(full, ["qid", doc], page)
 
 
@@ -126,9 +118,9 @@ def page_policy(pages: DataFrame, ranked: DataFrame, read_all: bool, cap: int, m
 
 # ------------------------------------------------------------------------------------------ stand-in reader
 def lexical_answer(pages: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", split: str = r"\n+",
-                   max_len: int = 200) -> DataFrame:
+                   max_len: int | None = None) -> DataFrame:
     """The line that shares most distinct words with the question (share / sqrt of question words, first one wins), or
-    the not-found sentence. Lines are scored where they are read and only (score, position, line) is aggregated."""
+    the not-found sentence; cut only if ``max_len`` is given. Lines are scored where they are read and only (score, position, line) is aggregated."""
     q = queries.select("qid", *keys, F.array_distinct(T.bm25_tokens(F.col("question"), drop_stop=True)).alias("_q"))
     j = pages.join(q, keys).select("qid", *[k for k in pages.columns if k not in ("qid", text)], "_q",
                                    F.posexplode(F.split(F.col(text), split)).alias("_pos", "_line"))
@@ -139,5 +131,5 @@ def lexical_answer(pages: DataFrame, queries: DataFrame, keys: list[str], text:
         F.col("_h"), *[(-F.col(c)).alias(c) for c in order], -F.col("_pos"))).alias("m"))
     out = q.select("qid").join(best, "qid", "left")
     found = F.coalesce((F.col("m._h") > 0) & (F.col("m._nq") > 0), F.lit(False))
-    return out.select("qid", F.when(found, F.substring("m._line", 1, max_len)).otherwise(T.NOT_FOUND).alias("answer"),
+    return out.select("qid", F.when(found, F.col("m._line") if max_len is None else F.substring("m._line", 1, max_len)).otherwise(T.NOT_FOUND).alias("answer"),
                       F.when(found, F.col("m._h") / F.sqrt("m._nq")).otherwise(0.0).alias("score"))

@@ -15,8 +15,6 @@ from .ordering import positions, running
 from .staging import staged
 
 METRICS = ("em", "anls", "contains", "abstain", "error")
-RESAMPLE_LIMIT = 100_000
-RESAMPLE_CHUNK = 20
 
 
 def side_summary(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,26 +51,6 @@ def _draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def _interval(means: DataFrame, keys: list[str], n: int) -> DataFrame:
-    lo, hi = int(0.025 * n), min(int(0.975 * n), n - 1)
-    g = means.groupBy(*keys).agg(F.array_sort(F.collect_list("_mean")).alias("_m"))  # n replicate means
-    return g.select(*keys, F.get("_m", F.lit(lo)).alias("ci_low"), F.get("_m", F.lit(hi)).alias("ci_high"))
-
-
-def _resampled(small: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """Replicate means by drawing m items with replacement. Differences of a run travel as one array, which the size
-    limit keeps below a megabyte; chunks of replicates spread over tasks."""
-    arrays = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_idx", "_d"))).alias("_s"))
-    arrays = arrays.select(*keys, F.transform("_s", lambda s: s["_d"]).alias("_ds"))
-    chunks = arrays.select(*keys, "_ds", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(RESAMPLE_CHUNK))).alias("_r0"))
-    chunks = chunks.repartition(*keys, "_r0")
-    reps = chunks.select(*keys, "_ds", F.explode(F.sequence("_r0", F.least(F.col("_r0") + RESAMPLE_CHUNK - 1, F.lit(n - 1)))).alias("_r"))
-    m = F.size("_ds")
-    total = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0.0),
-                        lambda acc, j: acc + F.get("_ds", (_draw(seed, F.col("_r"), j) % m).cast("int")))
-    return reps.select(*keys, (total / m).alias("_mean"))
-
-
 def _poisson_weight(u: Column) -> Column:
     """Poisson(1) quantile of a uniform number."""
     cum, term, out = 0.0, math.exp(-1.0), F.lit(0)
@@ -83,25 +61,18 @@ def _poisson_weight(u: Column) -> Column:
     return out
 
 
-def _weighted(large: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """Replicate means by Poisson(1) item weights: no join and no sorted items, and partial sums per replicate are
-    combined before the shuffle, so its size does not depend on the number of items."""
-    u = _draw(seed, F.col("_r"), F.col("_idx")) / F.lit(float(1 << 32))
-    reps = large.select(*keys, "_idx", "_d", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_r"))
-    w = reps.select(*keys, "_r", "_d", _poisson_weight(u).alias("_w"))
-    return w.groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("_mean")).select(*keys, "_mean")
-
-
-def paired_bootstrap(items: DataFrame, keys: list[str], idx: str, a: Column, b: Column, n: int = 1000, seed: int = 0,
-                     limit: int = RESAMPLE_LIMIT) -> DataFrame:
-    """Mean difference and its 95 % percentile interval per run. Runs above ``limit`` items use Poisson weights, the
-    same bootstrap in its distributed form."""
+def paired_bootstrap(items: DataFrame, keys: list[str], idx: str, a: Column, b: Column, n: int = 1000, seed: int = 0) -> DataFrame:
+    """Mean difference and its 95 % percentile interval per run, at every size by Poisson(1) item weights: no join and no
+    sorted items, and sums per replicate are combined before the shuffle, so its size does not depend on the items."""
     d = items.select(*keys, F.col(idx).alias("_idx"), (a - b).alias("_d"))
-    sizes = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("_d").alias("diff"))
-    sized = d.join(sizes.select(*keys, "_n"), keys)
-    means = _resampled(sized.where(F.col("_n") <= limit), keys, n, seed).unionByName(
-        _weighted(sized.where(F.col("_n") > limit), keys, n, seed))
-    return sizes.select(*keys, "diff").join(_interval(means, keys, n), keys, "left")
+    reps = d.select(*keys, "_idx", "_d", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("_r"))  # -1: the items as they are
+    u = _draw(seed, F.col("_r"), F.col("_idx")) / F.lit(float(1 << 32))
+    w = reps.select(*keys, "_r", "_d", F.when(F.col("_r") < 0, 1).otherwise(_poisson_weight(u)).alias("_w"))
+    means = w.groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("_mean"))
+    lo, hi = int(0.025 * n), min(int(0.975 * n), n - 1)
+    g = means.groupBy(*keys).agg(F.max(F.when(F.col("_r") < 0, F.col("_mean"))).alias("diff"),
+                                 F.array_sort(F.collect_list(F.when(F.col("_r") >= 0, F.col("_mean")))).alias("_m"))  # n replicate means
+    return g.select(*keys, "diff", F.get("_m", F.lit(lo)).alias("ci_low"), F.get("_m", F.lit(hi)).alias("ci_high"))
 
 
 # ---------------------------------------------------------------------------------------------------- McNemar

@@ -9,17 +9,8 @@ from ..operators.ordering import positions
 NF = "Not found in document."
 
 
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A text table stored in fewer row groups than there are cores is spread over them first, since what
-    follows is work per character; with more row groups than cores, as in any large table, nothing is moved."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def misread(text):
@@ -32,20 +23,21 @@ def ocr_text(doc_id, text):
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided predictions: one question per English document of six or more words, four runs."""
+    """Two-sided predictions: one question per document about six words somewhere in its text (fewer in a short one), four runs."""
     return predictions_of(table(spark, sf_dir, "documents"))
 
 
 def predictions_of(documents: DataFrame) -> DataFrame:
-    d = documents.where("lang = 'en'")
-    w = F.split(F.ltrim(F.translate("text", "\n", " "), F.lit(" ")), "[^A-Za-z0-9]+", 8)
-    w = F.when(F.get(w, F.lit(0)) == "", F.slice(w, 2, 7)).otherwise(w)
+    w = F.split(F.btrim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " ")
     # A generator computes the words once; as plain columns every later filter on an answer would repeat the split.
-    words = F.inline(F.transform(F.array(w), lambda a: F.struct(*[F.get(a, F.lit(i)).alias(f"w{i + 1}") for i in range(6)])))
-    d = d.select("doc_id", "source", "lang", "text", words).where("w6 <> ''")
+    d = documents.select("doc_id", "source", "lang", "text", F.explode(F.array(w)).alias("ws"))
+    start = F.when(F.size("ws") >= 6, F.lit(1) + F.pmod(F.col("doc_id") * 7, F.size("ws") - 5)).otherwise(F.lit(1)).cast("int")
+    six = F.slice("ws", start, 6)
+    words = F.inline(F.transform(F.array(six), lambda a: F.struct(*[F.coalesce(F.get(a, F.lit(i)), F.lit("")).alias(f"w{i + 1}") for i in range(6)])))
+    d = d.select("doc_id", "source", "lang", "text", words)
     word = lambda i: F.col(f"w{i}")
-    gold = F.concat_ws(" ", word(1), word(2), word(3))
-    second = F.concat_ws(" ", word(4), word(5))
+    gold = F.rtrim(F.concat_ws(" ", word(1), word(2), word(3)))
+    second = F.rtrim(F.concat_ws(" ", word(4), word(5)))
     k, o = F.col("doc_id") % 10, F.col("doc_id") % 7
     read_wrong = F.translate(gold, "leo", "1c0")
     return d.select(
@@ -57,7 +49,7 @@ def predictions_of(documents: DataFrame) -> DataFrame:
         F.when(k == 0, NF).when(k == 1, F.lit(None).cast("string")).when(k == 2, read_wrong).when(k == 3, word(1))
         .otherwise(gold).alias("vlm_pred"),
         F.when(o == 0, NF).when(o == 1, F.lit(None).cast("string")).when(o == 2, read_wrong)
-        .when(o == 3, F.replace(gold, F.lit(" "), F.lit(""))).when(o == 4, F.concat_ws(" ", word(4), word(5), word(6)))
+        .when(o == 3, F.replace(gold, F.lit(" "), F.lit(""))).when(o == 4, F.rtrim(F.concat_ws(" ", word(4), word(5), word(6))))
         .otherwise(gold).alias("ocr_pred"),
         (100 + (F.col("doc_id") * 37) % 900).cast("double").alias("vlm_ms"),
         (200 + (F.col("doc_id") * 53) % 3000).cast("double").alias("ocr_ms"),
@@ -82,12 +74,11 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per document: the first sixty characters' words of its middle-most text."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    pick = d.groupBy("source").agg(F.min_by("text", F.struct(F.abs(F.col("doc_id") % 97 - 41), "doc_id")).alias("text"))
-    words = F.slice(F.split(F.btrim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " "), 1, 8)
-    return pick.select(F.concat(F.lit("ask-"), "source").alias("qid"), F.col("source").alias("doc"),
-                       F.concat(F.lit("What is the "), F.array_join(words, " "), F.lit("?")).alias("question"))
+    """Questions about the documents of many pages: every benchmark item is asked of one of twenty sources."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.btrim(F.regexp_replace("text", "[^A-Za-z0-9]+", " "))
+    return b.select(F.concat(F.lit("ask-"), F.col("item_id").cast("string")).alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc"),
+                    F.concat(F.lit("What is the "), words, F.lit("?")).alias("question"))
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +86,6 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = ocr_text(F.col("doc_id"), F.col("text"))
     ln = d.select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "text"))
-    ln = ln.where((F.col("doc_id") + F.col("pos")) % 9 != 0)
     cells = F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, F.sequence(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
     ln = ln.select("doc_id", "pos", "text", F.explode(cells).alias("cell"))
     x0 = 10.0 + 800.0 * F.col("cell")

@@ -135,14 +135,18 @@ def ocr_evidence(spark, sf):
     return L.ocr_evidence(_binder_asks(spark, sf), _binder(spark, sf), ["idx"], "doc", "page")
 
 
-@query("reference_evidence", f"""WITH {Q.QA}, {Q.LINES}, rk_ AS (SELECT idx, doc_id // 4 AS doc, unnest(list_transform(list_distinct({Q.content_of(Q.tokens('vlm_pred'))}), lambda t: ltrim(t, '$'))) AS key FROM qa),
-rh_ AS (SELECT DISTINCT idx, doc_id % 4 AS page, line_no, key FROM rk_ JOIN lines_ ON doc_id // 4 = doc AND length(key) >= 2 AND contains(lower(text), key)),
+_CONTENT = Q.content_of(Q.tokens('vlm_pred'))
+
+
+@query("reference_evidence", f"""WITH {Q.QA}, {Q.LINES}, rc_ AS (SELECT idx, doc_id // 4 AS doc, {_CONTENT} AS c FROM qa),
+rk_ AS (SELECT idx, doc, ltrim(t, '$') AS key, min(o) AS o FROM (SELECT idx, doc, unnest(c) AS t, generate_subscripts(c, 1) AS o FROM rc_) GROUP BY ALL),
+rh_ AS (SELECT DISTINCT idx, doc_id % 4 AS page, line_no, key, o FROM rk_ JOIN lines_ ON doc_id // 4 = doc AND length(key) >= 2 AND contains(lower(text), key)),
 rp_ AS (SELECT idx, page, count(DISTINCT key) AS n FROM rh_ GROUP BY ALL),
 rb_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, page) AS rn FROM rp_) WHERE rn = 1)
-SELECT idx, page, n AS keys_printed FROM rb_""")
+SELECT * FROM (SELECT idx, page, n AS keys_printed, (row_number() OVER (PARTITION BY idx ORDER BY o, line_no, key) - 1)::INT AS rank, line_no, key
+  FROM rb_ JOIN rh_ USING (idx, page)) WHERE rank < 4""")
 def reference_evidence(spark, sf):
-    e = L.reference_evidence(_binder_asks(spark, sf), _binder(spark, sf), ["idx"], "doc", "page", limit=1000)
-    return e.groupBy("idx", "page").agg(F.count_distinct("key").alias("keys_printed"))
+    return L.reference_evidence(_binder_asks(spark, sf), _binder(spark, sf), ["idx"], "doc", "page")
 
 
 _OVERLAP = f"""{LAYOUT}, bx_ AS (SELECT doc_id, line_no, bx0 AS a0, by0 AS a1, bx1 AS a2, by1 AS a3, bx0 + (line_no % 7) / 50.0e0 AS b0, by0 + (doc_id % 5) / 60.0e0 AS b1,

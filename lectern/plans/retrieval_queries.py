@@ -37,15 +37,9 @@ def bm25_rank(spark, sf):
     return D.bm25_rank(_pages(spark, sf), X.doc_questions(spark, sf)).withColumn("score", F.round("score", 4))
 
 
-@query("bm25_rank_sliced", f"WITH {_BM} SELECT qid, doc, page, rank FROM rk")
-def bm25_rank_sliced(spark, sf):
-    """The ranking used for documents too large for one task, forced on all of them."""
-    return D.bm25_rank(_pages(spark, sf), X.doc_questions(spark, sf), plain_limit=0).drop("score")
-
-
-@query("selected_pages", f"WITH {_BM} SELECT qid, doc, page FROM rk WHERE rank < 6")
+@query("selected_pages", f"WITH {_BM} SELECT qid, doc, page, round(score, 4) AS score, rank FROM rk WHERE rank < 6")
 def selected_pages(spark, sf):
-    return D.top_pages(_pages(spark, sf), X.doc_questions(spark, sf), 6).select("qid", "doc", "page")
+    return D.top_pages(_pages(spark, sf), X.doc_questions(spark, sf), 6).withColumn("score", F.round("score", 4))
 
 
 @query("page_policy", f"""WITH {_BM}, n_ AS (SELECT doc, count(*) AS n FROM pages_ GROUP BY doc)
@@ -60,7 +54,7 @@ def page_policy(spark, sf):
 ln AS (SELECT doc, page, unnest(regexp_split_to_array(layer_text, '\\n+')) AS line, generate_subscripts(regexp_split_to_array(layer_text, '\\n+'), 1) AS pos FROM pages_),
 s_ AS (SELECT qid, page, pos, trim(line) AS line, len(q) AS nq, len(list_intersect(q, regexp_extract_all(lower(line), '[a-z0-9]+'))) AS h FROM ql JOIN ln USING (doc)),
 b_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY h DESC, page, pos) AS rn FROM s_) WHERE rn = 1)
-SELECT qid, CASE WHEN h > 0 THEN substr(line, 1, 200) ELSE '{Q.NF}' END AS answer, round(h / sqrt(nq), 6) AS score FROM b_""")
+SELECT qid, CASE WHEN h > 0 THEN line ELSE '{Q.NF}' END AS answer, round(h / sqrt(nq), 6) AS score FROM b_""")
 def lexical_answers(spark, sf):
     return D.lexical_answer(_pages(spark, sf), X.doc_questions(spark, sf), ["doc"]).withColumn("score", F.round("score", 6))
 

@@ -104,11 +104,12 @@ def in_text(golds: str, text: str) -> str:
 
 DOCS_MISREAD = "CASE WHEN doc_id % 3 = 0 THEN translate(text, 'lO', '1o') ELSE text END"
 
-QA = f"""qa_words AS (
-  SELECT doc_id, source, lang, text, string_split(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w
-  FROM documents WHERE lang = 'en'),
+QA = f"""qa_all AS (
+  SELECT doc_id, source, lang, text, string_split(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS ws FROM documents),
+qa_words AS (
+  SELECT *, list_transform(range(0, 6), lambda i_: coalesce(ws[i_ + CASE WHEN len(ws) >= 6 THEN 1 + (doc_id * 7) % (len(ws) - 5) ELSE 1 END], '')) AS w FROM qa_all),
 qa_gold AS (
-  SELECT *, w[1] || ' ' || w[2] || ' ' || w[3] AS g1, w[4] || ' ' || w[5] AS g2 FROM qa_words WHERE len(w) >= 6),
+  SELECT *, rtrim(w[1] || ' ' || w[2] || ' ' || w[3]) AS g1, rtrim(w[4] || ' ' || w[5]) AS g2 FROM qa_words),
 qa AS (
   SELECT 'EXP-000' || (doc_id % 4 + 1) AS exp_id, doc_id AS idx, 'q' || doc_id AS qid,
     'What does ' || w[2] || ' ' || w[4] || ' say?' AS question,
@@ -116,7 +117,7 @@ qa AS (
     CASE WHEN doc_id % 10 = 0 THEN '{NF}' WHEN doc_id % 10 = 1 THEN NULL WHEN doc_id % 10 = 2 THEN translate(g1, 'leo', '1c0')
          WHEN doc_id % 10 = 3 THEN w[1] ELSE g1 END AS vlm_pred,
     CASE WHEN doc_id % 7 = 0 THEN '{NF}' WHEN doc_id % 7 = 1 THEN NULL WHEN doc_id % 7 = 2 THEN translate(g1, 'leo', '1c0')
-         WHEN doc_id % 7 = 3 THEN replace(g1, ' ', '') WHEN doc_id % 7 = 4 THEN w[4] || ' ' || w[5] || ' ' || w[6] ELSE g1 END AS ocr_pred,
+         WHEN doc_id % 7 = 3 THEN replace(g1, ' ', '') WHEN doc_id % 7 = 4 THEN rtrim(w[4] || ' ' || w[5] || ' ' || w[6]) ELSE g1 END AS ocr_pred,
     (100 + (doc_id * 37) % 900)::DOUBLE AS vlm_ms, (200 + (doc_id * 53) % 3000)::DOUBLE AS ocr_ms,
     [source, lang] AS types, doc_id, text AS layer_text, {DOCS_MISREAD} AS ocr_text
   FROM qa_gold)"""
@@ -140,9 +141,8 @@ PAGES = f"""pages_ AS (
     text AS layer_text, {DOCS_MISREAD} AS ocr_text, n_chars FROM documents)"""
 
 QUESTIONS = """questions_ AS (
-  SELECT 'ask-' || source AS qid, source AS doc, 'What is the ' ||
-    array_to_string(string_split(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ')[1:8], ' ') || '?' AS question
-  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(doc_id % 97 - 41), doc_id) AS rn FROM documents) WHERE rn = 1)"""
+  SELECT 'ask-' || item_id AS qid, 'src' || (item_id % 20) AS doc,
+    'What is the ' || trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) || '?' AS question FROM benchmark)"""
 
 LINES = f"""lines_raw AS (
   SELECT doc_id, unnest(string_split({DOCS_MISREAD}, chr(10))) AS text,
@@ -153,7 +153,7 @@ lines_ AS (
     10.0e0 + 800.0e0 * cell AS x0, 30.0e0 * pos AS y0, 10.0e0 + 800.0e0 * cell + 7.0e0 * length(text) AS x1,
     30.0e0 * pos + 20.0e0 AS y1
   FROM lines_raw, (SELECT unnest([0, 1, 2]) AS cell)
-  WHERE (doc_id + pos) % 9 <> 0 AND (cell = 0 OR (doc_id + pos) % 5 = 0))"""
+  WHERE cell = 0 OR (doc_id + pos) % 5 = 0)"""
 
 MSGS = f"""msgs AS (
   SELECT conv_id, conv_id * 1000 + turn AS seq, turn::BIGINT AS turn, role,

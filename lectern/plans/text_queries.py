@@ -49,7 +49,10 @@ def numbers(spark, sf):
     return X.asks(spark, sf).select("qid", F.array_join(F.array_sort(T.numbers(F.col("ocr"))), "|").alias("numbers"))
 
 
-@query("numeric_strings", f"WITH {Q.ASKS} SELECT qid, {_sqljoin(chr(114) + 'egexp_extract_all(vlm, ' + chr(39) + r'\d+(?:[.,]\d+)*' + chr(39) + ')')} AS found FROM asks_")
+NUMERIC_SQL = r"regexp_extract_all(vlm, '\d+(?:[.,]\d+)*')"
+
+
+@query("numeric_strings", f"WITH {Q.ASKS} SELECT qid, {_sqljoin(NUMERIC_SQL)} AS found FROM asks_")
 def numeric_strings(spark, sf):
     return X.asks(spark, sf).select("qid", F.array_join(T.numeric_strings(F.col("vlm")), "|").alias("found"))
 
