@@ -28,7 +28,8 @@ from lectern.llm.common import in_batches
 # Fixed value: how this tokenizer family cuts texts before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries a task remembers of words and of pairs before it starts afresh: bounds memory, changes no result.
+#: Entries a worker remembers of words (and four times as many of pairs) before it starts afresh: bounds its memory to about
+#: 200 MB, changes no result.
 REMEMBERED = 150_000
 NEVER = 1 << 60
 ID = (1 << 32) - 1
