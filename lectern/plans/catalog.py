@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     layout_queries,
     retrieval_queries,
     score_queries,
+    source_queries,
     stream_queries,
     table_queries,
     text_queries,

@@ -1,7 +1,7 @@
 """Writing results out."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CSV_COLUMNS = ("qid", "question", "gold", "vlm_pred", "ocr_pred", "vlm_em", "vlm_anls", "ocr_em", "ocr_anls", "vlm_ms", "ocr_ms",
@@ -24,9 +24,16 @@ def export_items_csv(items: DataFrame, path: str) -> None:
     csv_projection(items).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
-def export_run_json(items: DataFrame, path: str, run: str = "exp_id") -> None:
-    """Items of each run as JSON lines in the run's own folder; no run is gathered into one record."""
-    items.write.mode("overwrite").partitionBy(run).json(path)
+def export_run_json(items: DataFrame, runs: DataFrame, path: str, run: str = "exp_id") -> None:
+    """Per run, JSON lines of its items in its own folder, and one record with its config and metrics; no run is gathered."""
+    items.write.mode("overwrite").partitionBy(run).json(f"{path}/items")
+    runs.write.mode("overwrite").json(f"{path}/runs")
+
+
+def read_run_json(spark: SparkSession, path: str, run: str = "exp_id") -> DataFrame:
+    """The run records with the number of their exported items."""
+    counts = spark.read.json(f"{path}/items").groupBy(run).agg(F.count("*").alias("items"))
+    return spark.read.json(f"{path}/runs").join(counts, run, "left").na.fill(0, ["items"])
 
 
 def export_markdown(blocks: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
