@@ -18,17 +18,20 @@ def test_question_files(spark, tmp_path):
     q = questions.read_questions(spark, str(folder / "a.jsonl"))
     got = {r.question: r for r in q.collect()}
     assert got["a?"].answers == ["x", "y"] and got["a?"].page == 0 and got["a?"].types == ["form"]
-    assert got["b?"].answers == ["z"] and got["b?"].page == 2 and got["b?"].file == "d.pdf" and len(got["b?"].qid) == 12
+    assert got["b?"].answers == ["z"] and got["b?"].page == 2 and got["b?"].file == "d.pdf" and (got["b?"].qid, got["b?"].line) == ("2", 2)
+    assert [r.question for r in questions.read_questions(spark, str(folder / "a.jsonl"), 2).orderBy("line").collect()] == ["a?", "b?"]
+    (folder / "empty.jsonl").write_text("\n\n")
     errs = questions.question_errors(q, spark.createDataFrame([("i/a.png",)], "file string")).collect()
     assert sorted(e.error for e in errs) == ["missing file d.pdf", "neither image nor doc"]
     cat = {r.path.rsplit("/", 1)[1]: r.n for r in questions.dataset_catalog(spark, str(folder)).collect()}
-    assert cat == {"a.jsonl": 3, "b.jsonl": 1}
+    assert cat == {"a.jsonl": 3, "b.jsonl": 1, "empty.jsonl": 0}
 
 
 def test_exports_and_inventory(spark, tmp_path):
     df = spark.createDataFrame([("EXP-1", 1, "x"), ("EXP-2", 2, "y")], "exp_id string, idx long, v string")
-    exports.export_run_json(df, str(tmp_path / "runs"))
-    assert spark.read.json(str(tmp_path / "runs")).count() == 2
+    runs = spark.createDataFrame([("EXP-1", ("both",), (0.5,)), ("EXP-3", ("vlm",), (0.1,))], "exp_id string, config struct<mode:string>, metrics struct<anls:double>")
+    exports.export_run_json(df, runs, str(tmp_path / "runs"))
+    assert {(r.exp_id, r["items"], r.config.mode, r.metrics.anls) for r in exports.read_run_json(spark, str(tmp_path / "runs")).collect()} == {("EXP-1", 1, "both", .5), ("EXP-3", 0, "vlm", .1)}
     root = exports.snapshot({"items": df}, str(tmp_path), "20260101")
     assert spark.read.parquet(f"{root}/items").count() == 2
     blocks = spark.createDataFrame([("b", 1, "two"), ("a", -1, "# one"), ("a", 0, "body")], "k string, o int, block string")
