@@ -147,6 +147,20 @@ def paired_bootstrap(spark, sf):
     return b.select("exp_id", *_r("diff", "ci_low", "ci_high"))
 
 
+@query("poisson_bootstrap", f"""WITH {Q.SCORED}, u_ AS (SELECT exp_id, r, vlm_anls - ocr_anls AS d,
+    ('0x' || substr(md5('0|' || r || '|' || idx), 1, 8))::BIGINT::DOUBLE / 4294967296.0e0 AS u FROM scored, range(0, 200) t(r)),
+w_ AS (SELECT *, len(list_filter([0.36787944117144233e0, 0.7357588823428847e0, 0.9196986029286058e0, 0.9810118431238462e0, 0.9963401531726563e0,
+  0.9994058151824183e0, 0.9999167588507119e0, 0.9999897508033253e0, 0.999998874797402e0, 0.9999998885745217e0, 0.9999999899522336e0, 0.9999999991683892e0],
+  lambda c: u > c)) AS w FROM u_),
+m_ AS (SELECT exp_id, r, sum(w * d) / sum(w) AS mean FROM w_ GROUP BY exp_id, r)
+SELECT exp_id, round((SELECT avg(vlm_anls - ocr_anls) FROM scored s WHERE s.exp_id = m.exp_id), 6) AS diff, round(v[6], 6) AS ci_low, round(v[196], 6) AS ci_high
+FROM (SELECT exp_id, list(mean ORDER BY mean) AS v FROM m_ GROUP BY exp_id) m""")
+def poisson_bootstrap(spark, sf):
+    """With 200 replicates."""
+    b = E.paired_bootstrap(_scored(spark, sf), RUN, "idx", F.col("vlm_scores.anls"), F.col("ocr_scores.anls"), n=200)
+    return b.select("exp_id", *_r("diff", "ci_low", "ci_high"))
+
+
 _MC = """mc_c AS (SELECT exp_id, count(*) FILTER (vlm_em = 1 AND ocr_em <> 1) AS a_only, count(*) FILTER (ocr_em = 1 AND vlm_em <> 1) AS b_only
   FROM scored GROUP BY exp_id),
 mc_ AS (SELECT exp_id, a_only, b_only, CASE WHEN a_only + b_only = 0 THEN 1.0e0 ELSE round(least(1.0e0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1),
