@@ -21,8 +21,9 @@ STOP_WORDS = (
 NUMBER = r"\$?\d[\d,]*(?:\.\d+)?%?"
 NOT_FOUND_KEY = "not found in document"
 OUTER_PUNCT = " .,:;!?\"'"
-WORD_PUNCT = ".,;:!?\"'()[]{}\u201c\u201d\u2018\u2019"
+WORD_PUNCT = ".,;:!?\"'()[]{}“”‘’"
 SHORT_LIMIT = 200
+CURLY, STRAIGHT = "’“”", "'\"\""
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -78,7 +79,7 @@ def normalize(s: Column) -> Column:
 
 
 def norm_text(s: Column) -> Column:
-    low = F.translate(F.lower(compat(s)), "\u2019\u201c\u201d", "'\"\"")
+    low = F.translate(F.lower(compat(s)), CURLY, STRAIGHT)
     joined = F.regexp_replace(low, r"(?<=\d),(?=\d{3})", "")
     kept = F.regexp_replace(joined, r"(?U)[^\w\s.%$/-]", " ")
     return F.btrim(F.regexp_replace(kept, r"(?U)\s+", " "))
