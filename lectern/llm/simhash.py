@@ -138,14 +138,12 @@ def _sketch(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _stars(groups: DataFrame, turn: int) -> DataFrame:
-    """(a, b) from (class, at, part): in each group, a class of every part to one of another part. Which class stands for a part,
-    and which part is the middle of the star, is drawn anew each turn. These are aggregates joined back, so a group of any size
-    stays spread out and no group is paired off."""
+    """(a, b) from (class, at, part): in each group, the classes of other parts with one class, drawn anew each turn (at first the
+    smallest). The draw is an aggregate joined back, so a group of any size stays spread out and no group is paired off."""
     drawn = F.xxhash64("class", "at", F.lit(turn)) if turn else F.col("class")
-    parts = groups.groupBy("at", "part").agg(F.min(F.struct(drawn.alias("o"), "class")).alias("own"))
-    middle = parts.groupBy(F.col("at").alias("k")).agg(F.min("own").alias("middle"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = parts.join(middle, F.col("at") == F.col("k")).select(F.col("own.class").alias("x"), F.col("middle.class").alias("y")).where("x <> y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    middle = groups.groupBy(F.col("at").alias("k")).agg(F.min(F.struct(drawn.alias("o"), "class", "part")).alias("middle"))
+    met = groups.join(middle, F.col("at") == F.col("k")).where(F.col("part") != F.col("middle.part"))
+    return met.select(F.least("class", "middle.class").alias("a"), F.greatest("class", "middle.class").alias("b")).distinct()
 
 
 def _between_prints(one: DataFrame) -> DataFrame:
@@ -159,8 +157,9 @@ def _between_prints(one: DataFrame) -> DataFrame:
 def copy_classes(sketched: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the classes linked, over any chain, by a Jaccard similarity of ``similarity`` or more of their shingle sets.
 
-    Classes that agree on a fingerprint or a sample are compared with one of their group, those found alike are united, and the
-    parts of a group that are still apart are compared through other members, until a turn unites nothing.
+    Classes that agree on a fingerprint or a sample are compared with one of their group and those found alike are united. Classes
+    still apart from another drawn from their group are compared with that, pairs compared before excepted, until a turn unites
+    nothing. A class is in up to seventeen groups, so it is compared with as many others a turn.
     """
     one, _ = written(sketched.groupBy("class").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     at = one.select("class", F.explode(F.concat(F.array("fp"), F.col("keys"))).alias("at"))
@@ -185,15 +184,16 @@ def copy_classes(sketched: DataFrame, words: int, similarity: float) -> DataFram
         both = F.size(F.array_intersect("ha", "hb"))
         return written(met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "verified")[0]
 
-    found = verified(_stars(groups.withColumn("part", F.col("class")), 0).union(ball).distinct())
-    turn = 1
+    tested, _ = written(_stars(groups.withColumn("part", F.col("class")), 0).union(ball).distinct(), "compared")
+    found, turn = verified(tested), 1
     while True:
         roots = components(found, "copies")
         parted = groups.join(roots, F.col("class") == F.col("node"), "left").select("class", "at", F.coalesce("root", "class").alias("part"))
-        new = verified(_stars(parted, turn))
+        links, _ = written(_stars(parted, turn).join(tested, ["a", "b"], "left_anti"), "compared")
+        new = verified(links)
         if new.isEmpty():
             return roots
-        found, turn = found.union(new), turn + 1
+        found, tested, turn = found.union(new), tested.union(links), turn + 1
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
