@@ -33,7 +33,7 @@ HASHED = 2_000
 ROUNDS = 3
 SAMPLE, SAMPLE_ROUNDS, SAMPLE_TOKENS = 1_500, 12, 2_000
 LONGEST = 1 << 15
-CELLS = 1 << 16  # tokens of a batch of sequences
+CELLS = 1 << 18  # tokens of a batch of sequences: long ones are few, so a step over them is shared by more
 WORDS_HELD = 300_000
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
