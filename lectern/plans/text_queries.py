@@ -73,7 +73,7 @@ def normalized_questions(spark, sf):
   SELECT doc_id AS idx, w FROM qa_gold) """)
 def written_forms(spark, sf):
     p = X.predictions(spark, sf)
-    second = F.get(F.split(F.col("gold")[0], " "), F.lit(1))
+    second = F.coalesce(F.get(F.split(F.col("gold")[0], " "), F.lit(1)), F.lit(""))
     return p.select("idx", F.lower(second).alias("word"),
                     T.as_written(F.lower(second), F.concat(F.lit("zz ("), second, F.lit(", zz)"))).alias("written"))
 
