@@ -29,7 +29,10 @@ def _question_files(spark, sf):
     return folder
 
 
-_PLACE = [F.regexp_extract("path", "run=([^/]+)", 1).alias("run"), F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")]
+def _place():
+    return [F.regexp_extract("path", "run=([^/]+)", 1).alias("run"), F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")]
+
+
 _LINES = f"""{Q.QA}, ln_ AS (SELECT *, {_PART} AS part, row_number() OVER w - 1 + coalesce(count(*) FILTER (idx % 11 = 0) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
   FROM qa WINDOW w AS (PARTITION BY exp_id, {_PART} ORDER BY idx)),
 rq_ AS (SELECT exp_id AS run, part, line, CASE WHEN idx % 3 <> 0 THEN qid ELSE line::VARCHAR END AS qid, question,
@@ -38,7 +41,7 @@ rq_ AS (SELECT exp_id AS run, part, line, CASE WHEN idx % 3 <> 0 THEN qid ELSE l
 
 
 def _flat(df):
-    return df.select(*_PLACE, "line", "qid", "question", F.array_join("answers", "|").alias("answers"), "file", F.col("page").cast("long").alias("page"),
+    return df.select(*_place(), "line", "qid", "question", F.array_join("answers", "|").alias("answers"), "file", F.col("page").cast("long").alias("page"),
                      F.array_join("types", "|").alias("types"), *[c for c in df.columns if c == "error"])
 
 
@@ -56,7 +59,7 @@ def question_errors(spark, sf):
 
 @query("dataset_catalog", f"WITH {Q.QA} SELECT exp_id AS run, {_PART} AS part, count(*) AS n FROM qa GROUP BY ALL")
 def dataset_catalog(spark, sf):
-    return questions.dataset_catalog(spark, _question_files(spark, sf), "part-*").select(*_PLACE, "n")
+    return questions.dataset_catalog(spark, _question_files(spark, sf), "part-*").select(*_place(), "n")
 
 
 @query("run_export", f"""WITH {Q.SCORED} SELECT exp_id, count(*) AS items, round(avg(vlm_anls), 6) AS vlm_anls, round(avg(ocr_anls), 6) AS ocr_anls, 'both' AS mode FROM scored GROUP BY exp_id""")
