@@ -95,6 +95,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, text: str = "text", doc_id:
 
 SAMPLES, SAMPLE_SIZE = 16, 4  # a pair at 0.8 is missed by all samples with probability (1 - 0.8 ** 4) ** 16 = 0.0002
 BROADCAST_IDS = 1_000_000
+TURNS = 3  # of drawn comparisons before the full one
+SLACK = 1e-9  # bounds err on the side of comparing
 _RNG = np.random.default_rng(SEED)
 MULTIPLY = _RNG.integers(0, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64)
@@ -154,12 +156,40 @@ def _between_prints(one: DataFrame) -> DataFrame:
     return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(class, size, at, rest): each class's rarest shingles, as many as it takes that two classes of ``similarity`` or more have one
+    in common; ``rest`` is the number of its shingles from this one on in the order (number of classes, shingle). Shingles of
+    one class alone lead the order and join nothing, so a class with more of these than a copy may have sends nothing."""
+    each = sets.select("class", F.size("hashes").alias("size"), F.explode("hashes").alias("at"))
+    shared = each.groupBy(F.col("at").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = each.join(shared, F.col("at") == F.col("k")).groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "at"))).alias("all"))
+    room = (F.size("all") - F.ceil(similarity * F.col("size") - SLACK) + 1).cast("int")
+    own = own.withColumn("room", room).where("room > 0")
+    lead = own.select("class", "size", F.size("all").alias("n"), F.posexplode(F.slice("all", 1, F.col("room"))).alias("i", "x"))
+    return lead.select("class", "size", F.col("x.at").alias("at"), (F.col("n") - F.col("i")).alias("rest"))
+
+
+def _apart(prefixes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of classes in different parts that can have ``similarity``. At the first shingle two classes have in common
+    no more can follow than either has left, which must be enough. In each group those outside its largest part are joined with
+    all, so a part is never paired off with itself."""
+    parted, _ = written(prefixes.join(roots, F.col("class") == F.col("node"), "left").select("class", "size", "at", "rest", F.coalesce("root", "class").alias("part")), "prefixes")
+    sizes = parted.groupBy("at", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(F.col("at").alias("k")).agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed, _ = written(parted.join(main, F.col("at") == F.col("k")).select("class", "size", "at", "rest", "part", (F.col("part") == F.col("main.part")).alias("most")), "mixed")
+    left, right = (mixed.select(*[F.col(c).alias(f"{c}_{x}") for c in mixed.columns]) for x in "ab")
+    enough = F.least("rest_a", "rest_b") >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - SLACK
+    once = F.col("most_b") | (F.col("class_a") < F.col("class_b"))
+    met = left.where(~F.col("most_a")).join(right, (F.col("at_a") == F.col("at_b")) & (F.col("part_a") != F.col("part_b")) & once & enough)
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
 def copy_classes(sketched: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the classes linked, over any chain, by a Jaccard similarity of ``similarity`` or more of their shingle sets.
 
-    Classes that agree on a fingerprint or a sample are compared with one of their group and those found alike are united. Classes
-    still apart from another drawn from their group are compared with that, pairs compared before excepted, until a turn unites
-    nothing. A class is in up to seventeen groups, so it is compared with as many others a turn.
+    Classes that agree on a fingerprint or a sample are compared with one of their group and those found alike are united; so are,
+    for up to ``TURNS`` turns, those still apart from another drawn from their group. This only makes large families one part
+    cheaply. Then every pair of these classes that is still in two parts and can reach ``similarity`` is compared (``_apart``).
     """
     one, _ = written(sketched.groupBy("class").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     at = one.select("class", F.explode(F.concat(F.array("fp"), F.col("keys"))).alias("at"))
@@ -185,15 +215,18 @@ def copy_classes(sketched: DataFrame, words: int, similarity: float) -> DataFram
         return written(met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "verified")[0]
 
     tested, _ = written(_stars(groups.withColumn("part", F.col("class")), 0).union(ball).distinct(), "compared")
-    found, turn = verified(tested), 1
-    while True:
+    found = verified(tested)
+    for turn in range(1, TURNS + 1):
         roots = components(found, "copies")
         parted = groups.join(roots, F.col("class") == F.col("node"), "left").select("class", "at", F.coalesce("root", "class").alias("part"))
         links, _ = written(_stars(parted, turn).join(tested, ["a", "b"], "left_anti"), "compared")
         new = verified(links)
         if new.isEmpty():
-            return roots
-        found, tested, turn = found.union(new), tested.union(links), turn + 1
+            break
+        found, tested = found.union(new), tested.union(links)
+    roots, _ = written(components(found, "copies"), "roots")
+    links, _ = written(_apart(_prefixes(sets, similarity), roots, similarity).join(tested, ["a", "b"], "left_anti"), "compared")
+    return components(found.union(verified(links)), "copies")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

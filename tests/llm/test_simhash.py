@@ -96,6 +96,27 @@ def test_one_of_each_group_stays(docs_of):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
+def test_copies_inside_a_boilerplate_family(docs_of):
+    """Pairs of copies that meet only at keys they share with a large family, of which they are no copies."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(120))
+    family = [passage + " " + varied(rng, " ".join(f"q{i}" for i in range(24)), 1) for _ in range(60)]
+    crowd = {k for t in family for k in simhash.samples(simhash.shingle_set(t, 5))}
+    rows = list(enumerate(family))
+    for i in range(1500):
+        tail = " ".join(f"t{i}x{j}" for j in range(24))
+        two = [passage + " " + varied(rng, tail, e) for e in (1, 2)]
+        x, y = (simhash.shingle_set(t, 5) for t in two)
+        if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) and set(simhash.samples(x)) & set(simhash.samples(y)) <= crowd:
+            rows += [(1000 + len(rows) + k, t) for k, t in enumerate(two)]
+    assert len(rows) > len(family) + 6
+    got = sorted(r["doc_id"] for r in simhash.drop_near_copies(docs_of(rows)).collect())
+    groups = {}
+    for (d, _), r in zip(rows, brute_copies(rows)):
+        groups.setdefault(r, []).append(d)
+    assert got == sorted(min(g) for g in groups.values())
+
+
 def test_nothing_to_do(messy):
     assert simhash.near_duplicates(messy.limit(0)).count() == 0 and simhash.drop_near_copies(messy.limit(0)).count() == 0
     assert simhash.near_duplicates(messy).count() == messy.count()
