@@ -29,12 +29,23 @@ KINDS = ("email", "iban", "ip", "card", "ssn", "date", "phone")
 
 NUMBERS = re.compile(r"[+(]?\d[\d().\-/ ]{4,}\d")  # stretches in which the numeric kinds can stand
 EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9_.+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
-IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])")
+IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
 IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
-CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")
+CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 DATE = re.compile(r"(?<![\d./-])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?![\d/-])")
 PHONE = re.compile(r"(?<![\d.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\d-])")
+E164 = re.compile(r"(?<![\w+.-])\+[1-9]\d{6,14}(?![\d-])")
+PLAIN = re.compile(r"(?<![\w+.,/-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,]\d)")  # ten digits of the North American plan
+PAIRS = re.compile(r"(?<![\d.,/+-])(?<!\d[ .-])(?:\+\d{1,3}[ .-]?\d{1,3}|0\d{1,3})([ .-])\d{2,3}(?:\1\d{2}){2,4}(?!\d|-|\1\d)")
+SPAN = re.compile(r"[\w -]+")
+#: Characters of an IBAN by country.
+IBAN_SIZES = {c: int(n) for n, of in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FO,FI,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,TL,SO "
+    "24:AD,CZ,DZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:AO,CV,LY,MZ,PT,ST 26:IR,IS,TR 27:CF,CG,CM,DJ,FR,GA,GQ,GR,IT,KM,MC,MG,SM,TD,BI "
+    "28:AL,AZ,BF,BJ,BY,CI,CY,DO,GT,HN,HU,LB,MA,ML,NE,NI,PL,SN,SV,TG 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in of.split(",")}
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def permute(values: list[int], radices: list[int], key: bytes, tweak: str, inverse: bool = False) -> list[int]:
@@ -176,17 +187,66 @@ def dated(m: re.Match, key: bytes) -> str | None:
 def phone(m: re.Match, key: bytes) -> str | None:
     """The country code stays; North American numbers stay within their plan."""
     lead = re.match(r"\+\d{1,3}(?=[ .(-])", m[0])
-    prefix = lead[0] if lead else ""
+    prefix = lead[0] if lead else m[0][:2 if m[0][1] in "17" else 3 if m[0][1:3] in TWO else 4] if m[0][0] == "+" else ""
     rest = m[0][len(prefix):]
     plain = digits(rest)
-    if not 7 <= len(plain) <= 14:
+    if not (4 if prefix else 7) <= len(plain) <= 14:
         return None
     plan = len(plain) == 10 and prefix in ("", "+1") and plain[0] > 1 and plain[3] > 1
     valid = (lambda v: v[0] > 1 and v[3] > 1) if plan else (lambda v: True)
     return prefix + put_back(rest, [str(x) for x in walk(plain, [10] * len(plain), key, "phone" + prefix, valid)])
 
 
-RULES = (("ip", IP, ip), ("card", CARD, card), ("ssn", SSN, ssn), ("date", DATE, dated), ("phone", PHONE, phone))
+def paired(m: re.Match, key: bytes) -> str | None:
+    """A phone in groups of two digits; shorter ones without a country code may be anything."""
+    return phone(m, key) if m[0][0] == "+" or len(digits(m[0])) >= 9 else None
+
+
+def iban_ends(m: re.Match, fresh: bool) -> list[int]:
+    """Ends to try, the likeliest first: where the country's length is reached, else (other countries: all) the ends of words."""
+    text, ends, n = m.string, [], 0
+    wanted = IBAN_SIZES.get(m[0][:2])
+    first = []
+    for i in range(m.start(), m.end()):
+        n += text[i] != " "
+        if n >= 15 and text[i] != " " and not re.match("[A-Z0-9]", text[i + 1:i + 2]):
+            (first if n == wanted else ends).append(i + 1)
+    return first + (ends[-1:] if wanted else ends[::-1])
+
+
+def card_ends(m: re.Match, fresh: bool) -> list[int]:
+    """Every end of 13 to 19 digits before a separator: first that of the issuer's usual length, then the longest. Within a longer row of
+    numbers only groups of three digits or more (the last may be shorter) that begin as payment cards do."""
+    text, ends, n = m.string, [], 0
+    usual = 15 if re.match("3[47]", m[0].replace(" ", "").replace("-", "")) else 14 if m[0][:2] in ("30", "36", "38") else 16
+    for i in range(m.start(), m.end()):
+        n += text[i].isdigit()
+        if n < 13 or not text[i].isdigit() or text[i + 1:i + 2].isdigit():
+            continue
+        groups = re.split("[ -]", text[m.start():i + 1])
+        if fresh and i + 1 == m.end() or m[0][0] in "23456" and all(len(g) > 2 for g in groups[:-1]):
+            ends.append((n != usual, -n, i + 1))
+    return [x[-1] for x in sorted(ends)]
+
+
+def checked(pattern: re.Pattern, ends: Callable, rule: Callable, text: str, key: bytes, start: int, stop: int):
+    """(start, end, pseudonym) of values with check digits: from each start the first end that passes. The search goes on behind a
+    value, and where none passed behind the start."""
+    at = behind = start
+    while m := pattern.search(text, at, stop):
+        at = m.start() + 1
+        for end in ends(m, m.start() >= behind):
+            new = rule(SPAN.match(text, m.start(), end), key)
+            if new is not None:
+                yield m.start(), end, new
+                at = behind = end
+                break
+        else:
+            behind = max(behind, m.end())
+
+
+RULES = (("ip", IP, ip), ("ssn", SSN, ssn), ("date", DATE, dated), ("phone", PHONE, phone), ("phone", E164, phone), ("phone", PLAIN, phone),
+         ("phone", PAIRS, paired))
 
 
 def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -201,14 +261,14 @@ def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
 
     if "@" in text:
         add("email", email, EMAIL.finditer(text))
-    if IBAN.search(text):
-        add("iban", iban, IBAN.finditer(text))
+    found += [(KINDS.index("iban"), *x) for x in checked(IBAN, iban_ends, iban, text, key, 0, len(text))]
     for stretch in NUMBERS.finditer(text):
+        found += [(KINDS.index("card"), *x) for x in checked(CARD, card_ends, card, text, key, stretch.start(), stretch.end())]
         for kind, pattern, rule in RULES:
             add(kind, rule, pattern.finditer(text, stretch.start(), stretch.end()))
     taken: list[tuple[int, int, str, str]] = []
     starts: list[tuple[int, int]] = []
-    for kind, start, end, new in sorted(found):
+    for kind, start, end, new in sorted(found, key=lambda f: (f[0], f[1], -f[2])):
         at = bisect_left(starts, (end, -1))
         if at and starts[at - 1][1] > start:
             continue

@@ -55,6 +55,25 @@ def test_clean_texts_stay():
         assert replaced(text) == (text, [])
 
 
+def test_values_followed_by_digits_or_capitals():
+    for text, kind, value in (
+            ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban", "DE89 3704 0044 0532 0130 00"), ("GB82WEST12345698765432 EUR 500", "iban", "GB82WEST12345698765432"),
+            ("4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"), ("4111111111111111 123", "card", "4111111111111111"),
+            ("1234 4111-1111-1111-1111", "card", "4111-1111-1111-1111"), ("3782 822463 10005 11/28", "card", "3782 822463 10005")):
+        new, spans = replaced(text)
+        assert [(text[s:e], k) for s, e, k in spans] == [(value, kind)], text
+        assert len(new) == len(text) and value not in new and new.replace(new[spans[0][0]:spans[0][1]], "") == text.replace(value, "")
+
+
+def test_phones_without_separators_and_in_pairs():
+    for text in ("+14155552671", "+442079460958", "4155552671", "06 12 34 56 78", "+33 6 12 34 56 78", "0470 12 34 56", "+41 44 668 18 00", "+376312345"):
+        new, spans = replaced(f"call {text}, or write")
+        assert spans == [(5, 5 + len(text), "phone")] and text not in new, text
+    assert replaced("+14155552671")[0] == replaced("+1 415 555 2671")[0].replace(" ", "") and replaced("+442079460958")[0].startswith("+44")
+    for text in ("1700000000", "01 02 03 04 05 06 07", "0.4155552671", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"):
+        assert replaced(text) == (text, [])
+
+
 def test_equal_values_are_linked_across_documents(messy, docs_of):
     docs = docs_of([(1, "a 4041894974608795 b"), (2, "c 4041894974608795"), (2, None), (None, "12.245.220.249, 12.245.220.249")])
     out = {r["doc_id"]: r for r in pii.pseudonymise(docs, KEY).where("text is not null").collect()}
