@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of texts; every document stays. n_chars follows the text."""
-    out = linededup.drop_recurring(docs)
+    """Takes recurring lines out of texts, long ones from the second text on; every document stays. n_chars follows the text."""
+    out = linededup.drop_recurring(docs, passage=linededup.PASSAGE)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -5,7 +5,7 @@ Below a leaf a line's template is taken three ways: with all its remaining token
 second half (the other half generalised). Lines that differ in one more field than those with digits agree on a half, so they
 share a template that keeps at least half their tokens; no pair of lines is compared. A template is recurring once it stands
 in ``MIN_DOCS`` different texts (exact copies count once). Its lines are dropped from every document but the smallest doc_id
-that has it, so nothing leaves the corpus altogether.
+that has it. With ``passage`` given, a whole line of that many tokens without a digit or more is recurring from two texts on.
 
 Only hashes of templates are shuffled, counts are combined first, and the join back splits common templates. Blank lines are
 kept. Null texts stay null, empty ones empty. Repeated rows are treated alike; null doc_ids are a document of their own and
@@ -21,6 +21,7 @@ from lectern.llm.common import same, written
 DEPTH = 3
 SHORTEST = 2 * DEPTH  # tokens of a line that may be generalised by halves
 MIN_DOCS = 10
+PASSAGE = 20  # constant tokens of a whole line that is no accident in a second text
 FIELD = "<*>"
 
 
@@ -41,21 +42,24 @@ def templates(tok: Column) -> Column:
     return F.when(n >= SHORTEST, F.concat(whole, halves)).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, passage: int | None = None) -> DataFrame:
     """(k1, k2, drop): for each document (doc_id, hash of its text) with recurring lines, their positions from 0."""
     lines = docs.where("text is not null").select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("k1", "k2", "pos", F.explode(F.array(tokens(F.col("line")))).alias("tok"))
-    parsed, _ = written(lines.select("k1", "k2", "pos", templates(F.col("tok")).alias("ts")).where(F.size("ts") > 0), "lines")
-    each = parsed.select("k1", "k2", "pos", F.explode("ts").alias("t"))
-    in_texts = each.groupBy("t", "k2").agg(F.min("k1").alias("first"))
-    common = in_texts.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs).select(F.col("t").alias("c"), "first")
+    long = F.lit(False) if passage is None else F.size(F.filter("tok", lambda x: x != FIELD)) >= passage
+    parsed, _ = written(lines.select("k1", "k2", "pos", templates(F.col("tok")).alias("ts"), long.alias("long")).where(F.size("ts") > 0), "lines")
+    each = parsed.select("k1", "k2", "pos", "long", F.posexplode("ts").alias("kind", "t"))
+    each = each.select("k1", "k2", "pos", "t", (F.col("long") & (F.col("kind") == 0)).alias("long"))
+    in_texts = each.groupBy("t", "k2").agg(F.min("k1").alias("first"), F.max("long").alias("long"))
+    counted = in_texts.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("long").alias("long"))
+    common = counted.where(F.col("n") >= F.when(F.col("long"), F.least(F.lit(2), F.lit(min_docs))).otherwise(min_docs)).select(F.col("t").alias("c"), "first")
     met = each.join(common, each.t == common.c).where(~F.col("k1").eqNullSafe(F.col("first")))
     return met.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, passage: int | None = None) -> DataFrame:
     """``docs`` with its recurring lines taken out of ``text``, plus __lines and __dropped (numbers of lines)."""
-    found = recurring_lines(docs, min_docs)
+    found = recurring_lines(docs, min_docs, passage)
     marked = docs.withColumn("__h", F.xxhash64("text"))
     both = marked.join(found, same(marked, found, {"doc_id": "k1", "__h": "k2"}), "left")
     lines = F.split("text", "\n")

@@ -34,6 +34,23 @@ def test_exact_copies_count_once(docs_of):
     assert {r["text"] for r in out} == {rows[0][1]}
 
 
+def test_pipeline_takes_long_passages_from_two_texts_on(spark, docs_of):
+    import random
+
+    import corpus_pipeline
+    rng = random.Random(7)
+    rows, found = [], {}
+    for times in (2, 3, 9):
+        passage = prose(rng, 60)
+        for i in range(times):
+            found[len(rows)] = i > 0
+            rows.append((len(rows), "\n".join([prose(rng, 30), passage, f"short line {passage[:4]}", prose(rng, 40)])))
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs_of(rows), "").collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        assert out[i].split("\n") == [x for x in lines if x != lines[1] or not found[i]]
+
+
 def test_messy_table(messy, docs_of):
     out = linededup.drop_recurring(messy, min_docs=1).drop("__lines", "__dropped")
     assert out.columns == messy.columns and out.count() == messy.count()
