@@ -144,7 +144,7 @@ def chunk_starts(pages: DataFrame, budget: int, doc: str = "doc", page: str = "p
     m = p.join(opens, ["doc", "block"]).groupBy("doc", "block").applyInPandas(
         _assign(budget), "doc string, page long, pieces long, begins boolean")
     new = F.col("pieces") + F.col("begins").cast("long")
-    out = running(m, ["doc"], [F.col("page")], F.floor(F.col("page") / 65536), {"_c": new})
+    out = running(m, ["doc"], [F.col("page")], {"_c": new}, F.floor(F.col("page") / 65536))
     return out.select(F.col("doc").alias(doc), F.col("page").alias(page), "pieces", (F.col("_c") - 1).alias("chunk"))
 
 

@@ -3,7 +3,8 @@
 A plain ``row_number() over (partition by key order by x)`` sends every row of a key to one task; one document, run or
 source can hold a third of the data. Here a group is cut into slices along its order: the window runs inside a slice,
 and the totals of earlier slices (one row per slice) are added by a join on the same keys, so the sorted side is not
-shuffled again.
+shuffled again. Where slices of equal width would hold very unequal numbers of rows (scores, times, any real value), the
+cut is sampled from the rows (``ranges``).
 """
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 ROWS_PER_SLICE = 1 << 16
 
 
@@ -19,11 +22,18 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], slice_by: Column, sums: dict[str, Column]) -> DataFrame:
-    """Adds inclusive running sums. ``slice_by`` must grow with ``order`` (rows of an earlier slice all come first)."""
-    cut = df.withColumn("_slice", slice_by)
-    for name, value in sums.items():
-        cut = cut.withColumn(f"_v_{name}", value)
+def ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` plus ``_slice``: ranges of (keys, order) that hold about as many rows each, whatever the values are like. Their ends
+    are sampled from the rows by the range partitioner; there are as many as shuffle partitions. The cut is written once, since
+    rows and totals must see the same one. Only rows that are equal in keys and order can crowd a range."""
+    return staged(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], slice_by: Column | None = None) -> DataFrame:
+    """Adds inclusive running sums. Slices are sampled ranges, or given by ``slice_by``, which must grow with ``order`` (rows of an
+    earlier slice all come first) and hold few enough rows each. With no keys, the totals are one row per slice in one task."""
+    cut = df.select(*df.columns, *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    cut = ranges(cut, keys, order) if slice_by is None else cut.withColumn("_slice", slice_by)
     part = [*keys, "_slice"]
     totals = cut.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +50,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], slice_by: Colum
 def positions(df: DataFrame, keys: list[str], order: str, name: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """0-based position of every row in its group along an integer column that is unique in the group."""
     sliced = F.floor(F.col(order) / rows_per_slice)
-    out = running(df, keys, [F.col(order)], sliced, {name: F.lit(1).cast("long")})
+    out = running(df, keys, [F.col(order)], {name: F.lit(1).cast("long")}, sliced)
     return out.withColumn(name, F.col(name) - 1)
 
 

@@ -76,11 +76,11 @@ def bm25_rank(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str
 
 def sliced_rank(full: DataFrame, keys: list[str], page: str) -> DataFrame:
     """Rank by (score desc, page) without a task per group. Distinct scores are counted first (copies of a page collapse
-    there) and add up from the best one down; within one score, pages are numbered in slices of page numbers."""
+    there) and add up from the best one down over sampled ranges; within one score, pages are numbered in slices of page numbers."""
     levels = full.groupBy(*keys, "score").agg(F.count("*").alias("_c"))
-    above = running(levels, keys, [F.desc("score")], -F.floor(F.col("score") * 64), {"_upto": F.col("_c")})
+    above = running(levels, keys, [F.desc("score")], {"_upto": F.col("_c")})
     above = above.select(*[F.col(k).alias(f"_x_{k}") for k in keys], F.col("score").alias("_x_score"), (F.col("_upto") - F.col("_c")).alias("_above"))
-    tied = running(full, [*keys, "score"], [F.col(page)], F.floor(F.col(page) / 65536), {"_at": F.lit(1).cast("long")})
+    tied = running(full, [*keys, "score"], [F.col(page)], {"_at": F.lit(1).cast("long")}, F.floor(F.col(page) / 65536))
     on = (tied["score"] == above["_x_score"])
     for k in keys:
         on = on & (tied[k] == above[f"_x_{k}"])

@@ -1,7 +1,7 @@
 """Statistics over scored items: means, exact quantiles, paired tests, ranking quality.
 
 Nothing orders a whole run in one task. Quantiles, AUROC and risk-coverage first collapse to distinct values with
-counts, then add running totals slice by slice (``ordering.running``).
+counts, then add running totals over sampled ranges of them (``ordering.running``).
 """
 from __future__ import annotations
 
@@ -28,10 +28,10 @@ def side_summary(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank quantiles with half-even index rounding, plus n and mean. Slices follow the integer part."""
+    """Exact nearest-rank quantiles with half-even index rounding, plus n and mean."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("mean"))
-    cum = running(counts, keys, [F.col("_x")], F.floor("_x"), {"_cum": F.col("_c")})
+    cum = running(counts, keys, [F.col("_x")], {"_cum": F.col("_c")})
     j = cum.join(totals, keys) if keys else cum.crossJoin(F.broadcast(totals))  # totals is one row when there is no key
     at = lambda q: F.least(F.col("n") - 1, F.bround(F.lit(q) * (F.col("n") - 1), 0).cast("long"))
     return j.groupBy(*keys, "n", "mean").agg(
@@ -124,24 +124,23 @@ def by_type(scored: DataFrame, keys: list[str]) -> DataFrame:
                                         F.bround(F.avg("o"), 4).alias("ocr_anls"))
 
 
-def auroc(df: DataFrame, keys: list[str], score: Column, label: Column, slice_by=lambda s: F.floor(s * 256)) -> DataFrame:
+def auroc(df: DataFrame, keys: list[str], score: Column, label: Column) -> DataFrame:
     """Chance that a right item scores above a wrong one, ties one half; NULL when a class is missing."""
     counts = df.groupBy(*keys, score.cast("double").alias("_s")).agg(
         F.count_if(label).alias("_pos"), F.count_if(~label).alias("_neg"))
-    cum = running(counts, keys, [F.col("_s")], slice_by(F.col("_s")), {"_below": F.col("_neg")})
+    cum = running(counts, keys, [F.col("_s")], {"_below": F.col("_neg")})
     wins = F.sum(F.col("_pos").cast("double") * (F.col("_below") - F.col("_neg") + 0.5 * F.col("_neg")))
     g = cum.groupBy(*keys).agg(wins.alias("_w"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     pairs = F.col("_p").cast("double") * F.col("_n")
     return g.select(*keys, F.when(pairs > 0, F.bround(F.col("_w") / pairs, 4)).alias("auroc"))
 
 
-def risk_coverage(df: DataFrame, keys: list[str], coverages=(0.25, 0.5, 0.75, 1.0),
-                  slice_by=lambda s: -F.floor(s * 256)) -> DataFrame:
+def risk_coverage(df: DataFrame, keys: list[str], coverages=(0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Accuracy of the most trusted share of items. Whole trust levels come from counts; only the level a share ends in
     is opened, and its first items by idx are counted slice by slice."""
     rows = df.select(*keys, "idx", F.col("trust").cast("double").alias("trust"), F.col("recommended_correct").alias("ok"))
     levels = rows.groupBy(*keys, "trust").agg(F.count("*").alias("_c"), F.count_if("ok").alias("_r"))
-    cum = running(levels, keys, [F.desc("trust")], slice_by(F.col("trust")), {"_cc": F.col("_c"), "_cr": F.col("_r")})
+    cum = running(levels, keys, [F.desc("trust")], {"_cc": F.col("_c"), "_cr": F.col("_r")})
     n = levels.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     shares = n.select(*keys, F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage"), "_n")
     shares = shares.withColumn("_take", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("_n"), 0).cast("long")))

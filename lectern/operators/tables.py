@@ -115,9 +115,9 @@ def page_flags(features: DataFrame, image_share: str, drawings: str, tables: str
 
 
 def next_ids(df: DataFrame, created: str, key: str, prefix: str, start: int = 1) -> DataFrame:
-    """Dense ids in order of creation. Rows are numbered inside hourly slices and offset by the counts of earlier ones, not
+    """Dense ids in order of creation. Rows are numbered inside sampled ranges and offset by the counts of earlier ones, not
     by one global sort."""
-    out = running(df, [], [F.col(created), F.col(key)], F.floor(F.unix_timestamp(created) / 3600), {"_n": F.lit(1).cast("long")})
+    out = running(df, [], [F.col(created), F.col(key)], {"_n": F.lit(1).cast("long")})
     return out.withColumn("new_id", F.format_string(prefix + "%04d", F.col("_n") + (start - 1))).drop("_n")
 
 
