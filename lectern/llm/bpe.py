@@ -14,7 +14,7 @@ import gc
 import itertools
 import json
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,9 +28,10 @@ from lectern.llm.common import in_batches
 # Fixed value: how this tokenizer family cuts texts before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries a worker remembers of words (and four times as many of pairs) before it starts afresh: bounds its memory to about
-#: 200 MB, changes no result.
-REMEMBERED = 150_000
+#: What a task remembers of words and of pairs before it starts afresh, in bytes as they weigh in Python. It changes no result
+#: and is given back when the task ends.
+REMEMBERED_BYTES = 24 << 20
+WORD_BYTES, PAIR_BYTES = 220, 110
 NEVER = 1 << 60
 ID = (1 << 32) - 1
 
@@ -47,16 +48,22 @@ class Known(dict):
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.weight = make, {}, 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.before, self.weight = {}, 0
 
     def __missing__(self, part: str) -> bytes:
         found = self.before.get(part)
         if found is None:
             found = self.make(part)
         if len(part) <= 64:
-            if len(self) >= REMEMBERED:
+            if self.weight >= REMEMBERED_BYTES:
                 self.before = dict(self)
                 self.clear()
+                self.weight = 0
+            self.weight += WORD_BYTES + len(part) + len(found)
             self[part] = found
         return found
 
@@ -144,11 +151,18 @@ class Encoder(Decoder):
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) * PAIR_BYTES >= REMEMBERED_BYTES:
             self.pairs.clear()
         self.pairs[left << 32 | right] = good
         return good
 
+    def forget(self) -> None:
+        """Drops what was remembered; the tables of the vocabulary stay."""
+        self.pieces.forget()
+        self.parts.forget()
+        self.pairs.clear()
+        self.edges = ({}, {})
+
     def encode_piece(self, data: bytes) -> list[int]:
         n, length, pairs = len(data), self.length, self.pairs
         longest = [-1] * n
@@ -219,32 +233,49 @@ def load(kind: type, path: str) -> Decoder:
     return made
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, fn: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with ``name`` (new, at the end) made from ``source``, batch by batch."""
-    keep = [c for c in df.columns if c != name]
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(name, kind)])
+def _with_columns(df: DataFrame, new: dict[str, T.DataType], source: str, fn: Callable[[pa.Array], list[pa.Array]],
+                  at_end: Callable[[], None] = lambda: None) -> DataFrame:
+    """``df`` with the columns ``new`` (at the end) made from ``source``, batch by batch; ``at_end`` runs when a task's rows end."""
+    keep = [c for c in df.columns if c not in new]
+    schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(name, kind) for name, kind in new.items())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = fn(batch.column(source))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, name])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *new])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from in_batches(run)(batches)
+        finally:
+            at_end()
+
+    return df.mapInArrow(task, schema)
+
+
+def _encoded(e: Encoder, texts: pa.Array) -> pa.Array:
+    return pa.array([e.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
 
-    return df.mapInArrow(in_batches(run), schema)
+
+def _decoded(d: Decoder, packed: pa.Array) -> pa.Array:
+    return pa.array([d.decode(p) if p else "" for p in packed.to_pylist()], pa.string())
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` plus ``ids``: binary, each id a little-endian unsigned 32-bit integer. ``path``: a byte-level BPE file of the
     tokenizers library, present on every node. Empty and null texts give no ids; a column of the name is replaced."""
-    def run(texts: pa.Array) -> pa.Array:
-        e = load(Encoder, path)
-        return pa.array([e.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
-
-    return _with_column(df, ids, T.BinaryType(), text, run)
+    return _with_columns(df, {ids: T.BinaryType()}, text, lambda texts: [_encoded(load(Encoder, path), texts)], lambda: load(Encoder, path).forget())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` plus ``text``: what the ids spell. Null ids give an empty text; a column of the name is replaced."""
-    def run(packed: pa.Array) -> pa.Array:
-        d = load(Decoder, path)
-        return pa.array([d.decode(p) if p else "" for p in packed.to_pylist()], pa.string())
+    return _with_columns(df, {text: T.StringType()}, ids, lambda packed: [_decoded(load(Decoder, path), packed)])
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass of one worker: ``df`` plus ``ids`` and ``decoded``; columns of these names are replaced."""
+    def run(texts: pa.Array) -> list[pa.Array]:
+        e = load(Encoder, path)
+        packed = _encoded(e, texts)
+        return [packed, _decoded(e, packed)]
 
-    return _with_column(df, text, T.StringType(), ids, run)
+    return _with_columns(df, {ids: T.BinaryType(), decoded: T.StringType()}, text, run, lambda: load(Encoder, path).forget())

@@ -33,8 +33,7 @@ def tokenizer_path() -> str:
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null doc_ids stay; null and empty texts have no tokens and the digests of nothing; repeated rows stay repeated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, tokenizer_path()).select("doc_id", "ids")
-    back = bpe.decode(ids, tokenizer_path())
+    back = bpe.round_trip(docs, tokenizer_path())
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -52,6 +52,24 @@ def test_messy_table(messy):
     assert bpe.encode(messy.limit(0), path()).count() == 0
 
 
+def test_one_pass_gives_the_same(messy):
+    two = bpe.decode(bpe.encode(messy, tokenizer_path()), tokenizer_path())
+    one = bpe.round_trip(messy, tokenizer_path())
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_memory_is_given_back(both, monkeypatch):
+    library, own = both
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 4_000)  # several generations within one text
+    text = " ".join(f"{a}{b}ing" for a in "abcdefghij" for b in ("st", "rup", "ö", "x9"))
+    for _ in range(2):
+        assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert own.parts and own.pairs and own.parts.weight < 4_000 + 400
+    own.forget()
+    assert not own.parts and not own.parts.before and not own.pieces and not own.pairs
+    assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_query_digests(spark):
     from lectern.llm.queries import QUERIES
     row = QUERIES["op6_bpe_round_trip"](spark, "/root/testdata/sf0.001").where("doc_id = 3").first()
