@@ -22,8 +22,10 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those no language is more likely than not for."""
     model = langid.fit(docs, remainder(4) != 2)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return langid.predict(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("row.*")
+    # Under other names, so that columns of the prediction's names stay.
+    given = {c: f"given_{i}" for i, c in enumerate(docs.columns)}
+    found = langid.predict(docs.withColumnsRenamed(given), model, text=given["text"])
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*[F.col(g).alias(c) for c, g in given.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the text as token ids (binary, little-endian unsigned 32-bit), their number, and whether decoding
     gives the text again."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
-    back = bpe.decode(ids, tokenizer_path())
+    back = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return back.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
 
