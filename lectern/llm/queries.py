@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, hmm, langid, linededup, pii, secrets, simhash, topk
-from lectern.llm.common import table
+from lectern.llm import bpe, chat, decontaminate, hmm, langid, linededup, manifest, pii, secrets, simhash, topk, urlrules, variants
+from lectern.llm.common import ascii_lower, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,53 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = F.array_sort(F.transform("private", lambda s: s["kind"]))
     return pii.pseudonymise(docs, key).select("doc_id", "text", F.size("private").cast("long").alias("n_private"), F.array_join(kinds, ",").alias("kinds"), "private")
+
+
+@query("op11_url_filter", sql=r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM pages),
+h AS (SELECT page_id, CASE WHEN at > 0 THEN regexp_extract(substr(url, at + 3), '^[^/?#]*') ELSE '' END AS given,
+      CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(substr(rest, length(given) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) t(rhost, rpath, said)),
+f AS (SELECT page_id, host, path, max(struct_pack(n := length(rhost || rpath), m := length(rhost), rule := rhost || rpath, verdict := said)) AS best
+      FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path)
+SELECT p.page_id, p.host, p.path, CASE WHEN best.n IS NOT NULL THEN best.rule END AS rule, CASE WHEN best.n IS NOT NULL THEN best.verdict ELSE 'allow' END AS verdict
+FROM p JOIN f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path""")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("""SELECT * FROM VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                         ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS t(host, path, verdict)""")
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def slipped_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of the runs of Latin letters in ``text``, A-Z lower-cased, that are long enough for a word; one run in 31, by a hash of
+    doc_id and run, has lost a code point. Null texts have no runs; a null doc_id is hashed as an empty one."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z\u00C0-\u00FF]{{{variants.SHORTEST},}}"), F.lit(0))).alias("run"))
+    runs = runs.select("doc_id", ascii_lower(F.col("run")).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    size = F.char_length("run")
+    at = (h % size).cast("int")
+    slipped = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, size))
+    words = runs.select(F.when(h % 31 == 0, slipped).otherwise(F.col("run")).alias("word")).where(F.char_length("word") >= variants.SHORTEST)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(slipped_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op13_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document, by a hash of its id, is looked at as if its line breaks had been deleted. Null ids are untouched."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaf = manifest.leaf_of(*fields, F.col("text"))
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"),
+                       F.when(altered & F.contains("text", F.lit("\n")), manifest.leaf_of(*fields, F.replace("text", F.lit("\n")))).alias("altered"))
+    made = manifest.manifest(rows, F.col("leaf"), F.col("source"), F.col("doc_id"))
+    out = made.select("row.doc_id", "leaf", "subroot", "root", manifest.digest(manifest.siblings(F.col("path"))).alias("proof_sha256"),
+                      manifest.folded(F.coalesce("row.altered", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
