@@ -98,10 +98,11 @@ def is_lookalike(true: Column, read: Column) -> Column:
     return F.coalesce(bind(swaps(true, read), lambda p: ((F.size(p) > 0) | ~same_length) & all_lookalike(p)), F.lit(False))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
+BITS = 62  # characters that fit into one BIGINT with room for a carry
+
+
+def _lcs_table(long: Column, short: Column) -> Column:
     """Longest common subsequence by the usual table, one row of it at a time; the shorter string spans the row."""
-    long = F.when(F.length(a) >= F.length(b), a).otherwise(b)
-    short = F.when(F.length(a) >= F.length(b), b).otherwise(a)
     zero = F.transform(F.sequence(F.lit(0), F.length(short)), lambda i: F.lit(0))
 
     def next_row(prev: Column, x: Column) -> Column:
@@ -111,8 +112,35 @@ def lcs_length(a: Column, b: Column) -> Column:
                 F.when(x == y, F.get(prev, F.size(cur) - 1) + 1)
                 .otherwise(F.greatest(F.get(prev, F.size(cur)), F.get(cur, F.size(cur) - 1))))))
 
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(
-        F.aggregate(F.split(long, ""), zero, next_row, lambda row: F.element_at(row, -1)))
+    return F.aggregate(F.split(long, ""), zero, next_row, lambda row: F.element_at(row, -1))
+
+
+def _lcs_bits(long: Column, short: Column) -> Column:
+    """The same for a shorter string of at most ``BITS`` characters: one bit per character of it that is not matched yet, last
+    character lowest, so the longer one is read backwards. A step adds the bits that can be matched to the vector; carries
+    move a match on to the next free place."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(short)) - 1
+
+    def count(letters: Column, own: Column) -> Column:
+        masks = F.transform(own, lambda c: F.aggregate(letters, F.lit(0).cast("long"), lambda acc, y: acc * 2 + F.when(y == c, 1).otherwise(0)))
+
+        def walk(masks: Column, full: Column) -> Column:
+            def step(v: Column, x: Column) -> Column:
+                return bind(F.coalesce(F.get(masks, F.array_position(own, x).cast("int") - 1), F.lit(0).cast("long")), lambda m: (
+                    (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))).bitwiseAND(full))
+            return F.length(short) - F.bit_count(F.aggregate(F.split(F.reverse(long), ""), full, step))
+
+        return bind_all(walk, masks, full)
+
+    return bind(F.split(short, ""), lambda letters: bind(F.array_distinct(letters), lambda own: count(letters, own)))
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of characters."""
+    long = F.when(F.length(a) >= F.length(b), a).otherwise(b)
+    short = F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    return (F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0))
+            .when(F.least(F.length(a), F.length(b)) <= BITS, _lcs_bits(long, short)).otherwise(_lcs_table(long, short)))
 
 
 def ratio(a: Column, b: Column) -> Column:
