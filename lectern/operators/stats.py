@@ -45,29 +45,53 @@ def latency(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------------- bootstrap
-def _draw(seed: int, *parts: Column) -> Column:
-    """A hash-based uniform 32-bit number: the same on every engine, partition and retry."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
-def _poisson_weight(u: Column) -> Column:
-    """Poisson(1) quantile of a uniform number."""
-    cum, term, out = 0.0, math.exp(-1.0), F.lit(0)
-    for k in range(12):
-        cum += term
-        out = out + F.when(u > cum, 1).otherwise(0)
-        term /= k + 1
+EXACT_BITS = 7  # Poisson numbers of mean 1, 2, 4 ... 64 are drawn from their distribution function, larger ones by an expansion
+
+
+def _draws(seed: int, *parts: Column) -> tuple[Column, Column]:
+    """Two hash-based uniform numbers in [0, 1): the same on every engine, partition and retry."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return tuple(F.conv(F.substring(text, at, 8), 16, 10).cast("long").cast("double") / F.lit(float(1 << 32)) for at in (1, 9))
+
+
+def _poisson_table(mean: int) -> list[float]:
+    """Distribution function at 0, 1, 2 ... up to where a 32-bit number cannot tell it from one."""
+    out, total, k = [], 0.0, 0
+    while total < 1 - 2.0 ** -34 and k <= mean + 16 * math.sqrt(mean) + 16:
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        out.append(total)
+        k += 1
     return out
 
 
+def poisson_number(count: Column, seed: int, *parts: Column) -> Column:
+    """A Poisson number of mean ``count``, a whole number: the sum of one for each bit of ``count``, by hashes of ``parts``. It has
+    the law of the sum of ``count`` Poisson(1) numbers, but its cost grows with the digits of ``count`` only. Means of 128 and
+    more use a normal number with the skewness term (z * z - 1) / 6."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(40)), lambda b: F.call_function("shiftright", count, b).bitwiseAND(1) == 1)
+    tables = F.array(*[F.array(*map(F.lit, _poisson_table(1 << b))) for b in range(EXACT_BITS)])
+
+    def one(b: Column) -> Column:
+        u, v = _draws(seed, *parts, b)
+        small = F.size(F.filter(F.get(tables, b), lambda t: t < u)).cast("double")
+        mean = F.pow(F.lit(2.0), b)
+        z = F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2 * math.pi * v)
+        large = F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + (z * z - 1.0) / 6.0 + 0.5).cast("double"))
+        return F.when(b < EXACT_BITS, small).otherwise(large)
+
+    return F.aggregate(bits, F.lit(0.0), lambda acc, b: acc + one(b))
+
+
 def paired_bootstrap(items: DataFrame, keys: list[str], idx: str, a: Column, b: Column, n: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean difference and its 95 % percentile interval per run, at every size by Poisson(1) item weights: no join and no
-    sorted items, and sums per replicate are combined before the shuffle, so its size does not depend on the items."""
-    d = items.select(*keys, F.col(idx).alias("_idx"), (a - b).alias("_d"))
-    reps = d.select(*keys, "_idx", "_d", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("_r"))  # -1: the items as they are
-    u = _draw(seed, F.col("_r"), F.col("_idx")) / F.lit(float(1 << 32))
-    w = reps.select(*keys, "_r", "_d", F.when(F.col("_r") < 0, 1).otherwise(_poisson_weight(u)).alias("_w"))
+    """Mean difference and its 95 % percentile interval per run, by Poisson(1) weights of the items. Items of one difference share
+    one Poisson number of their count, so after one count the work follows the distinct differences, not the items; the smallest
+    ``idx`` of a difference names its draws. Items without a difference take no part."""
+    values = items.select(*keys, F.col(idx).alias("_idx"), (a - b).alias("_d")).where("_d IS NOT NULL").groupBy(*keys, "_d").agg(
+        F.count("*").alias("_c"), F.min("_idx").alias("_id"))
+    reps = values.select(*keys, "_d", "_c", "_id", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("_r"))  # -1: the items as they are
+    # Dealt by replicate before the draws, so that few distinct values still use all tasks; the means need no further shuffle.
+    reps = reps.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_r")
+    w = reps.select(*keys, "_r", "_d", F.when(F.col("_r") < 0, F.col("_c").cast("double")).otherwise(poisson_number(F.col("_c"), seed, F.col("_r"), F.col("_id"))).alias("_w"))
     means = w.groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("_mean"))
     lo, hi = int(0.025 * n), min(int(0.975 * n), n - 1)
     g = means.groupBy(*keys).agg(F.max(F.when(F.col("_r") < 0, F.col("_mean"))).alias("diff"),

@@ -130,15 +130,21 @@ def nearest_rank(spark, sf):
     return E.nearest_rank(X.telemetry(spark, sf), ["metric"], "value_ms", {"p10": 0.1, "p50": 0.5, "p95": 0.95}).drop("mean")
 
 
-_BOOT = """boot_u AS (SELECT exp_id, r, vlm_anls - ocr_anls AS d,
-    ('0x' || substr(md5('0|' || r || '|' || idx), 1, 8))::BIGINT::DOUBLE / 4294967296.0e0 AS u FROM scored, range(0, 1000) t(r)),
-boot_w AS (SELECT *, len(list_filter([0.36787944117144233e0, 0.7357588823428847e0, 0.9196986029286058e0, 0.9810118431238462e0, 0.9963401531726563e0,
-  0.9994058151824183e0, 0.9999167588507119e0, 0.9999897508033253e0, 0.999998874797402e0, 0.9999998885745217e0, 0.9999999899522336e0, 0.9999999991683892e0],
-  lambda c: u > c)) AS w FROM boot_u),
+# Weights by difference: a Poisson number for each binary digit of its count, of means up to 64 by the distribution function.
+_BOOT = """boot_v AS (SELECT exp_id, vlm_anls - ocr_anls AS d, count(*) AS c, min(idx) AS id FROM scored GROUP BY exp_id, d),
+boot_b AS (SELECT exp_id, d, id, b, 2.0e0 ** b AS mean FROM boot_v, range(0, 41) t(b) WHERE (c >> b) & 1 = 1),
+boot_h AS (SELECT exp_id, r, d, b, mean, md5('0|' || r || '|' || id || '|' || b) AS h FROM boot_b, range(0, {n}) t(r)),
+boot_u AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT::DOUBLE / 4294967296.0e0 AS u, ('0x' || substr(h, 9, 8))::BIGINT::DOUBLE / 4294967296.0e0 AS v FROM boot_h),
+boot_t AS (SELECT b, list(f ORDER BY k) AS cdf FROM (SELECT b, k, sum(exp(k * ln(2.0e0 ** b) - 2.0e0 ** b - lgamma(k + 1))) OVER (PARTITION BY b ORDER BY k) AS f
+  FROM range(0, 7) x(b), range(0, 220) y(k)) GROUP BY b),
+boot_z AS (SELECT exp_id, r, d, mean, boot_u.b, u, cdf, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS z FROM boot_u LEFT JOIN boot_t ON boot_u.b = boot_t.b),
+boot_w AS (SELECT exp_id, r, d, CASE WHEN b < 7 THEN len(list_filter(cdf, lambda x: x < u))
+  ELSE greatest(0, floor(mean + sqrt(mean) * z + (z * z - 1) / 6 + 0.5)) END AS w FROM boot_z),
 boot_m AS (SELECT exp_id, r, sum(w * d) / sum(w) AS mean FROM boot_w GROUP BY exp_id, r),
-boot_ AS (SELECT exp_id, round(diff, 6) AS diff, round(v[26], 6) AS ci_low, round(v[976], 6) AS ci_high FROM
+boot_ AS (SELECT exp_id, round(diff, 6) AS diff, round(v[{lo} + 1], 6) AS ci_low, round(v[{hi} + 1], 6) AS ci_high FROM
   (SELECT exp_id, list(mean ORDER BY mean) AS v FROM boot_m GROUP BY exp_id) JOIN
   (SELECT exp_id, avg(vlm_anls - ocr_anls) AS diff FROM scored GROUP BY exp_id) USING (exp_id))"""
+_BOOT_200, _BOOT = _BOOT.format(n=200, lo=5, hi=195), _BOOT.format(n=1000, lo=25, hi=975)
 
 
 @query("paired_bootstrap", f"WITH {Q.SCORED}, {_BOOT} SELECT * FROM boot_")
@@ -147,14 +153,7 @@ def paired_bootstrap(spark, sf):
     return b.select("exp_id", *_r("diff", "ci_low", "ci_high"))
 
 
-@query("poisson_bootstrap", f"""WITH {Q.SCORED}, u_ AS (SELECT exp_id, r, vlm_anls - ocr_anls AS d,
-    ('0x' || substr(md5('0|' || r || '|' || idx), 1, 8))::BIGINT::DOUBLE / 4294967296.0e0 AS u FROM scored, range(0, 200) t(r)),
-w_ AS (SELECT *, len(list_filter([0.36787944117144233e0, 0.7357588823428847e0, 0.9196986029286058e0, 0.9810118431238462e0, 0.9963401531726563e0,
-  0.9994058151824183e0, 0.9999167588507119e0, 0.9999897508033253e0, 0.999998874797402e0, 0.9999998885745217e0, 0.9999999899522336e0, 0.9999999991683892e0],
-  lambda c: u > c)) AS w FROM u_),
-m_ AS (SELECT exp_id, r, sum(w * d) / sum(w) AS mean FROM w_ GROUP BY exp_id, r)
-SELECT exp_id, round((SELECT avg(vlm_anls - ocr_anls) FROM scored s WHERE s.exp_id = m.exp_id), 6) AS diff, round(v[6], 6) AS ci_low, round(v[196], 6) AS ci_high
-FROM (SELECT exp_id, list(mean ORDER BY mean) AS v FROM m_ GROUP BY exp_id) m""")
+@query("poisson_bootstrap", f"WITH {Q.SCORED}, {_BOOT_200} SELECT * FROM boot_")
 def poisson_bootstrap(spark, sf):
     """With 200 replicates."""
     b = E.paired_bootstrap(_scored(spark, sf), RUN, "idx", F.col("vlm_scores.anls"), F.col("ocr_scores.anls"), n=200)
