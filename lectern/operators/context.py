@@ -25,14 +25,17 @@ def pages_label(first: Column, last: Column) -> Column:
     return F.when(first == last, F.concat(F.lit("page "), a)).otherwise(F.concat(F.lit("pages "), a, F.lit("-"), b))
 
 
-def build_context(pages: DataFrame, ranked: DataFrame, budget: int, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    """One context per question: best pages first until one would exceed the budget, printed in page order.
+def pages_within(budget: int) -> int:
+    """So many of the best pages are enough for a context: no block is shorter than its header."""
+    return budget // HEADER_MIN + 1
+
 
-    No block is shorter than its header, so pages ranked beyond budget / header length cannot be included; leaving them
-    out first bounds the running sum of a question however many pages its document has.
-    """
+def build_context(pages: DataFrame, ranked: DataFrame, budget: int, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """One context per question: best pages first until one would exceed the budget, printed in page order. Of ``ranked`` the
+    first ``pages_within(budget)`` pages are used, which bounds the running sum of a question however many pages its document
+    has; more need not be ranked."""
     n = pages.groupBy(doc).agg(F.count("*").alias("_n"))
-    reach = ranked.where(F.col("rank") <= budget // HEADER_MIN).select("qid", doc, page, "rank")
+    reach = ranked.where(F.col("rank") < pages_within(budget)).select("qid", doc, page, "rank")
     blocks = reach.join(pages.select(doc, page, page_block(F.col(page), F.col(text)).alias("_b")), [doc, page])
     w = Window.partitionBy("qid", doc).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.withColumn("_cum", F.sum(F.length("_b")).over(w))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .joins import join_few
 from .ordering import running, smallest
 from .staging import staged
 
@@ -20,57 +21,80 @@ def matching_lines(lines: DataFrame, answers: DataFrame, keys: list[str]) -> Dat
 
 # ------------------------------------------------------------------------------------------ BM25
 
-def bm25_stats(pages: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """Pages and mean length per document."""
-    lens = pages.select(doc, F.size(T.bm25_tokens(F.col(text))).alias("dl"))
-    return lens.groupBy(doc).agg(F.count("*").alias("n_pages"), F.avg("dl").alias("avgdl"))
+EVERY = ""  # stands for the page itself among its terms; no token is empty
+PAGES_PER_BLOCK = 256
+FIRST_BLOCKS = 4
+K1, B = 1.5, 0.75
 
 
-def _postings(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+def postings(pages: DataFrame, wanted: DataFrame | None = None, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, page, dl, term, tf): the terms of every page, and one row per page with the term ``EVERY``, which keeps its length.
+    Texts are cut into tokens once. With ``wanted`` (doc, term), other terms are dropped before anything is shuffled."""
     t = pages.select(doc, page, T.bm25_tokens(F.col(text)).alias("_t"))
-    return t.select(doc, page, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    rows = t.select(doc, page, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit(EVERY)), "_t")).alias("term"))
+    if wanted is not None:
+        rows = join_few(rows, wanted, [doc, "term"], "left_semi", [page])
+    return staged(rows.groupBy(doc, page, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25_stats(posted: DataFrame, doc: str = "doc") -> DataFrame:
+    """Pages and mean length per document."""
+    return posted.where(F.col("term") == EVERY).groupBy(doc).agg(F.count("*").alias("n_pages"), F.avg("dl").alias("avgdl"))
 
 
 def idf(n_pages: Column, df: Column) -> Column:
     return F.log(1 + (n_pages - df + 0.5) / (df + 0.5))
 
 
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term's count on a page of ``dl`` tokens adds per unit of weight: grows with ``tf``, falls with ``dl``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.when(dl > 0, dl).otherwise(1) / F.when(avgdl > 0, avgdl).otherwise(1.0)))
+
+
 def bm25_index(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, page, term) with tf, dl, df, idf, n_pages, avgdl. Term counts are combined before each shuffle."""
-    tf = _postings(pages, doc, page, text).groupBy(doc, page, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(doc, "term").agg(F.count("*").alias("df"))
-    return (tf.join(df, [doc, "term"]).join(bm25_stats(pages, doc, text), doc)
-            .select(doc, page, "term", "tf", F.col("dl").cast("long").alias("dl"), "df", "n_pages", "avgdl",
-                    idf(F.col("n_pages"), F.col("df")).alias("idf")))
-
-
-def bm25_scores(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text",
-                k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, doc, page, score) of the pages that share a term with their document's question. Page terms outside the
-    document's query vocabulary are dropped before anything is shuffled; repeated query terms count again."""
+    """(doc, page, term) with tf, dl, df, idf, n_pages, avgdl. Term counts are combined before each shuffle; a frequent term of a
+    large document is spread over tasks by page."""
+    posted = postings(pages, None, doc, page, text)
+    terms = posted.where(F.col("term") != EVERY)
+    weighted = join_few(terms.groupBy(doc, "term").agg(F.count("*").alias("df")), bm25_stats(posted, doc), [doc], salt=["term"])
+    return join_few(terms, weighted, [doc, "term"], salt=[page]).select(
+        doc, page, "term", "tf", F.col("dl").cast("long").alias("dl"), "df", "n_pages", "avgdl", idf(F.col("n_pages"), F.col("df")).alias("idf"))
+
+
+def _weighted(pages: DataFrame, queries: DataFrame, doc: str, page: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of the documents' question terms, and (qid, doc, term, w, avgdl); repeated terms of a question count again."""
     q = queries.select("qid", doc, F.explode(T.bm25_tokens(F.col("question"), drop_stop=True)).alias("term"))
     q = q.groupBy("qid", doc, "term").agg(F.count("*").alias("qf"))
-    wanted = q.select(doc, "term").distinct()
-    tf = _postings(pages, doc, page, text).join(wanted, [doc, "term"], "left_semi").groupBy(doc, page, "dl", "term").agg(F.count("*").alias("tf"))
-    tf = staged(tf, "postings")  # read twice below; a few counts per page instead of a second pass over the texts
-    df = tf.groupBy(doc, "term").agg(F.count("*").alias("df"))
-    stats = bm25_stats(pages, doc, text)
-    weights = q.join(df, [doc, "term"]).join(stats, doc).select(
-        "qid", doc, "term", (F.col("qf") * idf(F.col("n_pages"), F.col("df"))).alias("w"),
-        F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0)).alias("avgdl"))
-    dl = F.when(F.col("dl") > 0, F.col("dl")).otherwise(1)
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return tf.join(weights, [doc, "term"]).groupBy("qid", doc, page).agg(
-        F.round(F.sum(part), 10).alias("score"))  # copies of a page tie whatever order their terms were added in
+    asked = queries.select(doc, F.lit(EVERY).alias("term"))
+    posted = postings(pages, q.select(doc, "term").union(asked).distinct(), doc, page, text)
+    df = posted.where(F.col("term") != EVERY).groupBy(doc, "term").agg(F.count("*").alias("df"))
+    # A row per term of a question; the tables beside it have one row per term and per document.
+    weights = join_few(join_few(q, df, [doc, "term"], salt=["qid"]), bm25_stats(posted, doc), [doc], salt=["qid", "term"])
+    return posted, staged(weights.select("qid", doc, "term", (F.col("qf") * idf(F.col("n_pages"), F.col("df"))).alias("w"), "avgdl"), "weights")
+
+
+def _summed(parts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Scores, rounded so that copies of a page tie whatever order their terms were added in."""
+    return parts.groupBy(*keys).agg(F.round(F.sum(F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 10).alias(name))
+
+
+def bm25_scores(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """(qid, doc, page, score) of the pages that share a term with their document's question."""
+    posted, weights = _weighted(pages, queries, doc, page, text)
+    return _scores(posted, weights, doc, page)
+
+
+def _scores(posted: DataFrame, weights: DataFrame, doc: str, page: str) -> DataFrame:
+    return _summed(join_few(posted.where(F.col("term") != EVERY), weights, [doc, "term"], salt=[page]), ["qid", doc, page], "score")
 
 
 def bm25_rank(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
     """Every page of each question's document with its rank (0 = best; ties and pages without a hit in page order). No
     document is sorted in one task: matched pages are placed by counting better scores, unmatched pages follow in page order,
     both slice by slice."""
-    scores = bm25_scores(pages, queries, doc, page, text)
-    every = pages.select(doc, page).join(queries.select("qid", doc), doc)
-    full = every.join(scores, ["qid", doc, page], "left").na.fill(0.0, ["score"])
+    posted, weights = _weighted(pages, queries, doc, page, text)
+    every = join_few(posted.where(F.col("term") == EVERY).select(doc, page), queries.select("qid", doc), [doc], salt=[page])
+    full = every.join(_scores(posted, weights, doc, page), ["qid", doc, page], "left").na.fill(0.0, ["score"])
     return sliced_rank(full, ["qid", doc], page)
 
 
@@ -92,44 +116,76 @@ def select_pages(ranked: DataFrame, cap: int) -> DataFrame:
     return ranked.where(F.col("rank") < max(cap, 1))
 
 
-def top_pages(pages: DataFrame, queries: DataFrame, cap: int, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    """The best ``cap`` pages per question straight from the scores. Partial top lists are merged in two steps, salted by
-    page, so neither a question nor a document is ever sorted whole. Unmatched pages only fill up what is left, in page
-    order, and of those the first ``cap`` of a document are enough."""
+def top_pages(pages: DataFrame, queries: DataFrame, cap: int, doc: str = "doc", page: str = "page", text: str = "text",
+              pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+    """The best ``cap`` pages per question, the same as those of the full ranking, without scoring all pages.
+
+    Pages are taken in blocks. A block's largest count and shortest page bound what a term can add in it, so the terms of a question
+    bound what it can score there. The blocks of the highest bounds are scored first; blocks that cannot reach the ``cap``-th score
+    found in them are never joined with the postings. Partial top lists are merged in two steps, salted by page. Unmatched pages only
+    fill up what is left, in page order, and of those the first ``cap`` of a document are enough."""
     cap = max(cap, 1)
-    scores = staged(bm25_scores(pages, queries, doc, page, text), "scores")
-    first = (smallest(pages.select(doc, page), [doc], F.struct(F.col(page)), cap, page)
-             .select(doc, F.explode("_best").alias("_b")).select(doc, F.col(f"_b.{page}").alias(page)))
-    filler = queries.select("qid", doc).join(first, doc).join(scores.select("qid", doc, page), ["qid", doc, page], "left_anti")
+    posted, weights = _weighted(pages, queries, doc, page, text)
+    hits = posted.where(F.col("term") != EVERY).withColumn("_block", F.floor(F.col(page) / pages_per_block))
+    peaks = hits.groupBy(doc, "term", "_block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    bounds = staged(_summed(join_few(peaks, weights, [doc, "term"], salt=["_block"]), ["qid", doc, "_block"], "bound"), "bounds")
+    tops = smallest(bounds, ["qid", doc], F.struct((-F.col("bound")).alias("o"), "_block"), FIRST_BLOCKS, "_block")
+    first = staged(tops.select("qid", doc, F.explode("_best").alias("_b")).select("qid", doc, F.col("_b._block").alias("_block")), "first")
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        terms = blocks.join(weights, ["qid", doc])  # a question's terms for each of its blocks
+        return _summed(hits.join(terms, [doc, "term", "_block"]), ["qid", doc, page], "score")
+
+    begun = staged(scored(first), "scores")
+    least = smallest(begun, ["qid", doc], F.struct((-F.col("score")).alias("o")), cap, page).select(
+        "qid", doc, (-F.get("_best", F.lit(cap - 1))["o"]).alias("_least"))
+    rest = bounds.join(least, ["qid", doc]).where(F.col("bound") >= F.coalesce("_least", F.lit(0.0)) - 1e-9).select("qid", doc, "_block").join(
+        first, ["qid", doc, "_block"], "left_anti")
+    scores = staged(begun.unionByName(scored(rest)), "scores")
+    own = posted.where(F.col("term") == EVERY).select(doc, page)
+    leading = smallest(own, [doc], F.struct(F.col(page)), cap, page).select(doc, F.explode("_best").alias("_b")).select(doc, F.col(f"_b.{page}").alias(page))
+    filler = join_few(leading, queries.select("qid", doc), [doc], salt=[page]).join(scores.select("qid", doc, page), ["qid", doc, page], "left_anti")
     cand = scores.unionByName(filler.withColumn("score", F.lit(0.0)))
     best = smallest(cand, ["qid", doc], F.struct((-F.col("score")).alias("_neg"), F.col(page)), cap, page)
     out = best.select("qid", doc, F.posexplode("_best").alias("rank", "_b"))
     return out.select("qid", doc, F.col(f"_b.{page}").alias(page), (-F.col("_b._neg") + 0.0).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def page_policy(pages: DataFrame, ranked: DataFrame, read_all: bool, cap: int, match_pages: bool, doc: str = "doc", page: str = "page") -> DataFrame:
-    """(qid, doc, page, vlm, ocr): which pages each reader gets. Documents of at most ``cap`` pages are read whole; the
-    second reader follows the first one's pages only when asked to."""
+def page_policy(pages: DataFrame, queries: DataFrame, read_all: bool, cap: int, match_pages: bool, doc: str = "doc", page: str = "page",
+                text: str = "text") -> DataFrame:
+    """(qid, doc, page, vlm, ocr): which pages each reader gets, for every page of a question's document. Documents of at most
+    ``cap`` pages are read whole, of others the best ``cap`` pages; the second reader follows the first one's pages only when
+    asked to."""
     n = pages.groupBy(doc).agg(F.count("*").alias("_n"))
-    r = ranked.join(n, doc)
-    vlm = F.lit(read_all) | (F.col("_n") <= cap) | (F.col("rank") < max(cap, 1))
-    return r.select("qid", doc, page, vlm.alias("vlm"), (vlm if match_pages else F.lit(True)).alias("ocr"))
+    asked = queries.select("qid", doc)
+    every = join_few(pages.select(doc, page), join_few(asked, n, [doc], salt=["qid"]), [doc], salt=[page])
+    if read_all:
+        vlm = F.lit(True)
+    else:
+        best = top_pages(pages, queries, cap, doc, page, text).select("qid", doc, page, F.lit(True).alias("_best"))
+        every = every.join(best, ["qid", doc, page], "left")
+        vlm = (F.col("_n") <= cap) | F.coalesce("_best", F.lit(False))
+    return every.select("qid", doc, page, vlm.alias("vlm"), (vlm if match_pages else F.lit(True)).alias("ocr"))
 
 
 # ------------------------------------------------------------------------------------------ stand-in reader
 def lexical_answer(pages: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", split: str = r"\n+",
                    max_len: int | None = None) -> DataFrame:
     """The line that shares most distinct words with the question (share / sqrt of question words, first one wins), or
-    the not-found sentence; cut only if ``max_len`` is given. Lines are scored where they are read and only (score, position, line) is aggregated."""
-    q = queries.select("qid", *keys, F.array_distinct(T.bm25_tokens(F.col("question"), drop_stop=True)).alias("_q"))
-    j = pages.join(q, keys).select("qid", *[k for k in pages.columns if k not in ("qid", text)], "_q",
-                                   F.posexplode(F.split(F.col(text), split)).alias("_pos", "_line"))
-    hits = F.size(F.array_intersect("_q", T.bm25_tokens(F.col("_line"))))
+    the not-found sentence; cut only if ``max_len`` is given. Lines come in the order of the other columns of ``pages``, then by
+    place. Each line is cut into tokens once, however many questions its document has; only the words asked for leave it, and
+    only the chosen lines are read again."""
     order = [c for c in pages.columns if c not in (text, *keys)]
-    j = j.select("qid", *order, "_pos", F.btrim("_line").alias("_line"), F.size("_q").alias("_nq"), hits.alias("_h"))
-    best = j.groupBy("qid").agg(F.max_by(F.struct("_line", "_h", "_nq"), F.struct(
-        F.col("_h"), *[(-F.col(c)).alias(c) for c in order], -F.col("_pos"))).alias("m"))
-    out = q.select("qid").join(best, "qid", "left")
-    found = F.coalesce((F.col("m._h") > 0) & (F.col("m._nq") > 0), F.lit(False))
-    return out.select("qid", F.when(found, F.col("m._line") if max_len is None else F.substring("m._line", 1, max_len)).otherwise(T.NOT_FOUND).alias("answer"),
-                      F.when(found, F.col("m._h") / F.sqrt("m._nq")).otherwise(0.0).alias("score"))
+    q = staged(queries.select("qid", *keys, F.array_distinct(T.bm25_tokens(F.col("question"), drop_stop=True)).alias("_q")), "questions")
+    terms = q.select("qid", *keys, F.size("_q").alias("_nq"), F.explode("_q").alias("term"))
+    lines = pages.select(*keys, *order, F.posexplode(F.split(F.col(text), split)).alias("_pos", "_line"))
+    words = lines.select(*keys, *order, "_pos", F.explode(F.array_distinct(T.bm25_tokens(F.col("_line")))).alias("term"))
+    hits = join_few(words, terms, [*keys, "term"], salt=[*order, "_pos"]).groupBy("qid", *keys, *order, "_pos", "_nq").agg(F.count("*").alias("_h"))
+    best = hits.groupBy("qid", *keys).agg(F.max_by(F.struct(*order, "_pos", "_h", "_nq"), F.struct(
+        F.col("_h"), *[(-F.col(c)).alias(c) for c in order], -F.col("_pos"))).alias("m")).select("qid", *keys, "m.*")
+    found = join_few(pages, best, [*keys, *order], salt=order).select(
+        "qid", F.btrim(F.get(F.split(F.col(text), split), F.col("_pos"))).alias("_line"), "_h", "_nq")
+    out = q.select("qid").join(found, "qid", "left")
+    hit = F.col("_h").isNotNull()
+    return out.select("qid", F.when(hit, F.col("_line") if max_len is None else F.substring("_line", 1, max_len)).otherwise(T.NOT_FOUND).alias("answer"),
+                      F.when(hit, F.col("_h") / F.sqrt("_nq")).otherwise(0.0).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import join_few
 from .ordering import running
 
 # Fixed value: what can be uploaded.
@@ -49,10 +50,10 @@ def usable_layers(layer_pages: DataFrame, doc: str = "doc", text: str = "text",
 
 
 def retrieval_corpus(pages: DataFrame, doc: str = "doc", page: str = "page", layer: str = "layer_text", ocr: str = "ocr_text") -> DataFrame:
-    """Reference text where the document has a usable one, else OCR text, with the origin. The document flags are a small
-    join side; page texts stay where they are read unless it grows."""
+    """Reference text where the document has a usable one, else OCR text, with the origin. Page texts stay where they are read;
+    should there be too many documents to send their flags around, pages of one document are dealt over tasks."""
     ok = usable_layers(pages.select(doc, F.col(layer).alias("text")), doc).select(doc, F.lit(True).alias("_ok"))
-    j = pages.join(ok, doc, "left")
+    j = join_few(pages, ok, [doc], "left", [page])
     use = F.coalesce("_ok", F.lit(False))
     return j.select(doc, page, F.when(use, F.col(layer)).otherwise(F.col(ocr)).alias("text"), F.when(use, "textlayer").otherwise("ocr").alias("corpus"))
 

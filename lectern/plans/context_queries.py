@@ -22,7 +22,7 @@ SELECT qid, string_agg(substr(b, 1, {BUDGET}), chr(10) ORDER BY page) AS context
   count(*) < any_value(n) OR bool_or(rank = 0 AND cum > {BUDGET}) AS truncated FROM c_ WHERE cum <= {BUDGET} OR rank = 0 GROUP BY qid""")
 def contexts(spark, sf):
     p = _pages(spark, sf)
-    c = J.build_context(p, D.bm25_rank(p, X.doc_questions(spark, sf)), BUDGET)
+    c = J.build_context(p, D.top_pages(p, X.doc_questions(spark, sf), J.pages_within(BUDGET)), BUDGET)
     return c.select("qid", "context", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"), "truncated")
 
 

@@ -37,15 +37,6 @@ def bm25_rank(spark, sf):
     return D.bm25_rank(_pages(spark, sf), X.doc_questions(spark, sf)).withColumn("score", F.round("score", 4))
 
 
-@query("bm25_rank_sliced", f"WITH {_BM} SELECT qid, doc, page, round(score, 4) AS score, rank FROM rk")
-def bm25_rank_sliced(spark, sf):
-    """The ranking by counted scores on its own."""
-    p, q = _pages(spark, sf), X.doc_questions(spark, sf)
-    every = p.select("doc", "page").join(q.select("qid", "doc"), "doc")
-    full = every.join(D.bm25_scores(p, q), ["qid", "doc", "page"], "left").na.fill(0.0, ["score"])
-    return D.sliced_rank(full, ["qid", "doc"], "page").withColumn("score", F.round("score", 4))
-
-
 @query("selected_pages", f"WITH {_BM} SELECT qid, doc, page, round(score, 4) AS score, rank FROM rk WHERE rank < 6")
 def selected_pages(spark, sf):
     return D.top_pages(_pages(spark, sf), X.doc_questions(spark, sf), 6).withColumn("score", F.round("score", 4))
@@ -54,8 +45,7 @@ def selected_pages(spark, sf):
 @query("page_policy", f"""WITH {_BM}, n_ AS (SELECT doc, count(*) AS n FROM pages_ GROUP BY doc)
 SELECT qid, doc, page, n <= 6 OR rank < 6 AS vlm, n <= 6 OR rank < 6 AS ocr FROM rk JOIN n_ USING (doc)""")
 def page_policy(spark, sf):
-    p = _pages(spark, sf)
-    return D.page_policy(p.select("doc", "page"), D.bm25_rank(p, X.doc_questions(spark, sf)), False, 6, True)
+    return D.page_policy(_pages(spark, sf), X.doc_questions(spark, sf), False, 6, True)
 
 
 @query("lexical_answers", f"""WITH {Q.PAGES}, {Q.QUESTIONS}, ql AS (SELECT qid, doc,
