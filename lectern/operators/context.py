@@ -1,6 +1,7 @@
 """Preparing page text for inference: contexts, batches, chunks, merged parts, prompts."""
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from .ordering import positions, running
+from .staging import staged
 
 PAGES_PER_BLOCK = 4096
 HEADER_MIN = len("--- Page 1 ---\n\n")  # no page block is shorter than its header
@@ -58,7 +60,10 @@ def page_batches(pages: DataFrame, size: int, keys: list[str], page: str = "page
 # ------------------------------------------------------------------------------------------------ chunks
 # Packing pages greedily is sequential: where a chunk starts depends on all pages before it. What a block of pages does to
 # the chunk that is open when it begins depends only on the page at which that chunk first breaks, so each block is reduced
-# to a short table, the tables of a document are chained, and the blocks are then packed independently.
+# to a table: an open chunk of c characters breaks at the first i with c + breaks[i] > budget and leaves after[i] open at the
+# block's end; without a break it grows by total; where none is open, the block leaves ``empty``. Two tables in a row make one
+# table of the same form, no longer than the budget has page headers, so tables are composed in groups, level by level, until a
+# document has one. The open sizes then come back down the same groups, and the blocks are packed independently.
 def _walk(sizes, rests, longs, budget, cur, start=0):
     """Packs pages from ``start`` with an open chunk of ``cur`` characters (0: none). Returns which pages begin a chunk and
     the open chunk at the end."""
@@ -70,6 +75,25 @@ def _walk(sizes, rests, longs, budget, cur, start=0):
     return begins, cur
 
 
+def _left_open(table, budget: int, cur: int) -> int:
+    """The chunk that a table (breaks, after, total, empty) leaves open."""
+    breaks, after, total, empty = table
+    if cur == 0:
+        return int(empty)
+    hit = bisect.bisect_right(breaks, budget - cur)  # breaks grow
+    return int(after[hit]) if hit < len(breaks) else cur + int(total)
+
+
+def _composed(a, b, budget: int):
+    """What table ``b`` after table ``a`` does."""
+    breaks, after = list(a[0]), [_left_open(b, budget, int(x)) for x in a[1]]
+    if not breaks or breaks[-1] < budget:  # some open chunk still goes through ``a`` without a break
+        breaks += [int(a[2]) + int(x) for x in b[0]]
+        after += map(int, b[1])
+    kept = [i for i in range(len(breaks)) if i == 0 or breaks[i - 1] < budget]
+    return [breaks[i] for i in kept], [after[i] for i in kept], int(a[2]) + int(b[2]), _left_open(b, budget, int(a[3]))
+
+
 def _summary(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page")
@@ -104,21 +128,51 @@ def _summary(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _chain(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+TABLE = "doc string, block long, breaks array<long>, after array<long>, total long, empty long"
+TABLES_PER_GROUP = 256
+
+
+def _members(pdf: pd.DataFrame) -> list:
+    return list(zip(pdf["breaks"], pdf["after"], pdf["total"], pdf["empty"]))
+
+
+def _compose(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        cur, opens = 0, []
-        for breaks, after, total, empty in zip(pdf["breaks"], pdf["after"], pdf["total"], pdf["empty"]):
+        table, *others = _members(pdf)
+        for t in others:
+            table = _composed(table, t, budget)
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "block": [pdf["group"].iloc[0]], "breaks": [list(table[0])], "after": [list(table[1])],
+                             "total": [table[2]], "empty": [table[3]]})
+    return run
+
+
+def _pass_down(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        cur, opens = int(pdf["open"].iloc[0]), []
+        for t in _members(pdf):
             opens.append(cur)
-            if cur == 0:
-                cur = int(empty)
-                continue
-            hit = next((i for i, b in enumerate(breaks) if cur + b > budget), None)
-            cur = cur + int(total) if hit is None else int(after[hit])
+            cur = _left_open(t, budget, cur)
         return pd.DataFrame({"doc": pdf["doc"], "block": pdf["block"], "open": opens})
     return run
 
 
+def _opens(tables: DataFrame, budget: int, per_group: int) -> DataFrame:
+    """(doc, block, open): the characters of the chunk that is open where each block begins."""
+    levels, last = [], tables.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    while last > 0:
+        grouped = tables.withColumn("group", F.floor(F.col("block") / per_group).cast("long"))
+        levels.append(grouped)
+        tables = staged(grouped.groupBy("doc", "group").applyInPandas(_compose(budget), TABLE), "tables")
+        last //= per_group
+    opens = tables.select("doc", "block", F.lit(0).cast("long").alias("open"))
+    for grouped in reversed(levels):
+        begun = grouped.join(opens.select("doc", F.col("block").alias("group"), "open"), ["doc", "group"])
+        opens = begun.groupBy("doc", "group").applyInPandas(_pass_down(budget), "doc string, block long, open long")
+    return opens
+
+
 def _assign(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page")
@@ -128,9 +182,10 @@ def _assign(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def chunk_starts(pages: DataFrame, budget: int, doc: str = "doc", page: str = "page", text: str = "text",
-                 pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+                 pages_per_block: int = PAGES_PER_BLOCK, tables_per_group: int = TABLES_PER_GROUP) -> DataFrame:
     """(doc, page, pieces, chunk): the chunk that holds the end of each page, and how many full pieces a page longer than
-    the budget is cut into before that. Only lengths are shuffled."""
+    the budget is cut into before that. Only lengths are shuffled, and no task sees more than a block of pages or a group of
+    tables, however many pages a document has."""
     budget = max(budget, 200)
     head = F.length(F.concat(F.lit("--- Page "), (F.col(page) + 1).cast("string"), F.lit(" (continued) ---\n")))
     size = F.length(page_block(F.col(page), F.col(text)))
@@ -141,9 +196,7 @@ def chunk_starts(pages: DataFrame, budget: int, doc: str = "doc", page: str = "p
     p = p.withColumn("rest", F.when(F.col("long"), F.col("_h") + F.col("size") - budget - (F.col("pieces") - 1) * (budget - F.col("_h")))
                      .otherwise(F.col("size")).cast("long"))
     p = p.withColumn("block", F.floor(F.col("page") / pages_per_block)).drop("_h")
-    tables = p.groupBy("doc", "block").applyInPandas(
-        _summary(budget), "doc string, block long, breaks array<long>, after array<long>, total long, empty long")
-    opens = tables.groupBy("doc").applyInPandas(_chain(budget), "doc string, block long, open long")
+    opens = _opens(staged(p.groupBy("doc", "block").applyInPandas(_summary(budget), TABLE), "tables"), budget, tables_per_group)
     m = p.join(opens, ["doc", "block"]).groupBy("doc", "block").applyInPandas(
         _assign(budget), "doc string, page long, pieces long, begins boolean")
     new = F.col("pieces") + F.col("begins").cast("long")
@@ -152,10 +205,10 @@ def chunk_starts(pages: DataFrame, budget: int, doc: str = "doc", page: str = "p
 
 
 def text_chunks(pages: DataFrame, budget: int, doc: str = "doc", page: str = "page", text: str = "text",
-                pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+                pages_per_block: int = PAGES_PER_BLOCK, tables_per_group: int = TABLES_PER_GROUP) -> DataFrame:
     """All text of a document in page order, cut into chunks of at most ``budget`` characters: (doc, chunk, text, pages).
     Nothing is dropped; a page longer than the budget continues under a header of its own."""
-    starts = chunk_starts(pages, budget, doc, page, text, pages_per_block)
+    starts = chunk_starts(pages, budget, doc, page, text, pages_per_block, tables_per_group)
     budget = max(budget, 200)
     j = pages.select(doc, page, page_block(F.col(page), F.col(text)).alias("_b")).join(starts, [doc, page])
     again = F.concat(F.lit("--- Page "), (F.col(page) + 1).cast("string"), F.lit(" (continued) ---\n"))

@@ -41,13 +41,15 @@ x_ AS (SELECT *, CASE WHEN long THEN h + size - {BUDGET} - (pieces - 1) * ({BUDG
 w_ AS (SELECT doc, page, rest AS cur, pieces AS chunk, pieces FROM x_ WHERE page = 0
   UNION ALL SELECT x_.doc, x_.page, CASE WHEN x_.long OR w_.cur + 1 + x_.size > {BUDGET} THEN x_.rest ELSE w_.cur + 1 + x_.size END,
     w_.chunk + x_.pieces + CASE WHEN x_.long OR w_.cur + 1 + x_.size > {BUDGET} THEN 1 ELSE 0 END, x_.pieces FROM w_ JOIN x_ ON x_.doc = w_.doc AND x_.page = w_.page + 1),
-e_ AS (SELECT doc, page, chunk, CASE WHEN pieces = 0 THEN size ELSE rest END AS len FROM w_ JOIN x_ USING (doc, page, pieces)
-  UNION ALL SELECT doc, page, chunk - pieces + unnest(range(0, pieces)), {BUDGET} FROM w_ WHERE pieces > 0)
-SELECT doc, chunk::BIGINT AS chunk, (sum(len) + count(*) - 1)::BIGINT AS chars, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM e_ GROUP BY doc, chunk""")
+b_ AS (SELECT doc, page, {_BLOCK} AS b, '--- Page ' || (page + 1) || ' (continued) ---' || chr(10) AS head FROM pages_),
+e_ AS (SELECT doc, page, chunk, 0 AS i, CASE WHEN pieces = 0 THEN b ELSE head || substr(b, {BUDGET} + 1 + (pieces - 1) * ({BUDGET} - length(head))) END AS t
+    FROM w_ JOIN b_ USING (doc, page)
+  UNION ALL SELECT doc, page, chunk - pieces + k, k, CASE WHEN k = 0 THEN substr(b, 1, {BUDGET}) ELSE head || substr(b, {BUDGET} + 1 + (k - 1) * ({BUDGET} - length(head)), {BUDGET} - length(head)) END
+    FROM (SELECT doc, page, chunk, pieces, unnest(range(0, pieces)) AS k FROM w_ WHERE pieces > 0) JOIN b_ USING (doc, page))
+SELECT doc, chunk::BIGINT AS chunk, string_agg(t, chr(10) ORDER BY page) AS text, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM e_ GROUP BY doc, chunk""")
 def text_chunks(spark, sf):
     c = J.text_chunks(_pages(spark, sf), BUDGET)
-    return c.select("doc", "chunk", F.length("text").cast("long").alias("chars"),
-                    F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
+    return c.select("doc", "chunk", "text", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("merged_parts", f"""WITH {Q.QA}, p_ AS (SELECT qid, 0 AS part, vlm_pred AS answer FROM qa UNION ALL SELECT qid, 1, ocr_pred FROM qa
