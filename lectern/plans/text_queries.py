@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as T
 from . import fixtures as X
 from . import sqlparts as Q
@@ -102,3 +103,14 @@ def matching_lines(spark, sf):
     from ..operators.retrieval import matching_lines as op
     p = X.predictions(spark, sf).select("doc_id", F.col("vlm_pred").alias("answer"))
     return op(X.ocr_lines(spark, sf), p, ["doc_id"]).select("doc_id", "line_no", "chars", "words")
+
+
+@query("sql_functions", f"""SELECT doc_id, md5({Q.norm_text('text')}) AS norm_md5, len({Q.tokens('text')}) AS n_tokens, {_sqljoin(f"list_sort({Q.keys('text')})")} AS match_keys,
+  {Q.abstain('text')} AS abstains, round({Q.em("substr(text, 1, 40)", "['x', substr(text, 1, 40) || '.']")}, 6) AS em FROM documents""")
+def sql_functions(spark, sf):
+    """The functions by name in SQL."""
+    sql.register(spark)
+    X.table(spark, sf, "documents").select("doc_id", "text").createOrReplaceTempView("lectern_texts")
+    return spark.sql("""SELECT doc_id, md5(lectern_norm_text(text)) AS norm_md5, cast(size(lectern_tokens(text)) AS bigint) AS n_tokens,
+        array_join(array_sort(lectern_match_keys(text)), '|') AS match_keys, lectern_is_abstain(text) AS abstains,
+        lectern_score_item(substring(text, 1, 40), array('x', substring(text, 1, 40) || '.')).em AS em FROM lectern_texts""")
