@@ -73,15 +73,17 @@ def run_export(spark, sf):
     return back.select("exp_id", "items", F.round("metrics.vlm", 6).alias("vlm_anls"), F.round("metrics.ocr", 6).alias("ocr_anls"), F.col("config.mode").alias("mode"))
 
 
-@query("snapshot", """SELECT 'orders' AS name, count(*) AS n, count(*) AS same FROM orders UNION ALL SELECT 'customer', count(*), count(*) FROM customer
-UNION ALL SELECT 'conversations', count(*), count(*) FROM conversations""")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("snapshot", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, count(*) AS same FROM {t}" for t in _TABLES))
 def snapshot(spark, sf):
-    """Rows of the copies, and how many of them are rows of the tables."""
-    tables = {n: X.table(spark, sf, n) for n in ("orders", "customer", "conversations")}
-    root = exports.snapshot(tables, work_dir(spark, "copies"), "20260101")
+    """Rows of the copies of all tables, as read back by the manifest, and how many of them are rows of the tables."""
+    tables = {n: X.table(spark, sf, n) for n in _TABLES}
+    copies = exports.read_snapshot(spark, exports.snapshot(tables, work_dir(spark, "copies"), "20260101"))
     out = None
     for name, df in tables.items():
-        own, copy = (d.groupBy(F.xxhash64(*df.columns).alias(f"h{i}")).agg(F.count("*").alias(f"n{i}")) for i, d in enumerate((df, spark.read.parquet(f"{root}/{name}"))))
+        own, copy = (d.groupBy(F.xxhash64(*df.columns).alias(f"h{i}")).agg(F.count("*").alias(f"n{i}")) for i, d in enumerate((df, copies[name])))
         one = copy.join(own, F.col("h0") == F.col("h1"), "left").agg(F.sum("n1").alias("n"), F.sum(F.least("n1", F.coalesce("n0", F.lit(0)))).alias("same"))
         one = one.select(F.lit(name).alias("name"), "n", "same")
         out = one if out is None else out.union(one)

@@ -1,8 +1,12 @@
 """Writing results out."""
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CSV_COLUMNS = ("qid", "question", "gold", "vlm_pred", "ocr_pred", "vlm_em", "vlm_anls", "ocr_em", "ocr_anls", "vlm_ms", "ocr_ms",
                "answer_in_ocr", "pipelines_agree", "better", "vlm_cause", "ocr_cause", "answer_region", "why_vlm", "why_ocr")
@@ -42,9 +46,47 @@ def export_markdown(blocks: DataFrame, path: str, order: list[str], files: int |
     spread.sortWithinPartitions(*order).select(F.concat("block", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
+# ------------------------------------------------------------------------------------------------ snapshots
+MANIFEST = "manifest"
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    """(file, rows, checksum) of the files of a table just written: the checksum adds up a hash of every row."""
+    cols = [F.to_json(F.col(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema.fields]
+    rows = df.select(F.col("_metadata.file_name").alias("file"), F.xxhash64(*cols).cast("decimal(38,0)").alias("h"))
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.sum("h").alias("checksum"))
+
+
 def snapshot(tables: dict[str, DataFrame], path: str, stamp: str) -> str:
-    """A dated copy of all tables below ``path``; returns its folder."""
-    root = f"{path.rstrip('/')}/snapshot-{stamp}"
+    """A dated copy of all tables below ``path``; returns its folder. A manifest of files, row counts and checksums is written last,
+    as one file that appears whole or not at all; a copy without it is no snapshot (``read_snapshot``)."""
+    root, listed = f"{path.rstrip('/')}/snapshot-{stamp}", None
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{name}")
+        own = _digest(df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")).agg(F.collect_list(F.struct("file", "rows", "checksum")).alias("files")).select(
+            F.lit(name).alias("table"), F.lit(df.schema.json()).alias("schema"), "files")
+        listed = own if listed is None else listed.unionByName(own)
+    listed.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{MANIFEST}")
     return root
+
+
+def read_snapshot(spark: SparkSession, root: str, verify: bool = True) -> dict[str, DataFrame]:
+    """The tables of a complete snapshot: only files that the manifest lists are read. A copy whose manifest was never written is
+    refused, as is one whose files are gone, and with ``verify`` one whose files do not have the listed rows."""
+    try:
+        listed = spark.read.parquet(f"{root}/{MANIFEST}").collect()  # a row for each table, with the names of its files
+    except AnalysisException as e:
+        raise ValueError(f"{root} is not a complete snapshot") from e
+    out = {}
+    for r in listed:
+        schema = StructType.fromJson(json.loads(r["schema"]))
+        paths = [f"{root}/{r['table']}/{f['file']}" for f in r["files"]]
+        try:
+            df = out[r["table"]] = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        except AnalysisException as e:
+            raise ValueError(f"{root}: files of {r['table']} are gone") from e
+        if verify and paths:
+            found = {x["file"]: (x["rows"], x["checksum"]) for x in _digest(df).collect()}
+            if found != {f["file"]: (f["rows"], f["checksum"]) for f in r["files"]}:
+                raise ValueError(f"{root}: files of {r['table']} are not as listed")
+    return out
