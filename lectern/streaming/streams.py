@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.staging import work_dir  # noqa: F401
-from ..operators.tables import upsert_latest
+from ..sources.keyed import KeyedTable
 
 
 def read_folder(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -26,31 +26,49 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
+def marker(spark: SparkSession, folder: str, like: DataFrame, ts: str, at) -> None:
+    """Writes one row to ``folder``, all NULL but for the time ``ts``: read together with a stream (``with_markers``), it moves the
+    stream's watermark to ``at``, so that windows and sessions which ended before come out."""
+    row = spark.range(1).select(*[(F.lit(at) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+    row.write.mode("append").parquet(folder)
+
+
+def with_markers(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and the rows that ``marker`` writes to ``folder`` while it runs or afterwards."""
+    return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(folder))
+
+
+def run_closed(stream: DataFrame, process: Callable[[DataFrame], DataFrame], ts: str, last, folder: str) -> DataFrame:
+    """Runs ``process`` over all that ``stream`` has, then closes it: a marker far enough beyond ``last``, the last event's time, ends
+    every window and session. Returns what was written. Run again with the same folder, it writes nothing twice."""
+    spark = stream.sparkSession
+    marks = f"{folder}/markers"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(marks)
+    done = process(with_markers(stream, marks))
+    run_available(done, f"{folder}/out", f"{folder}/checkpoint")
+    marker(spark, marks, stream, ts, last)
+    run_available(done, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(done.schema).parquet(f"{folder}/out")
+
+
 # ------------------------------------------------------------------------------------------------ telemetry
-def telemetry_windows(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Per metric and window: n, mean, approximate p50 and p95. The watermark closes windows and drops later events; the
-    quantiles come from a sketch, so a window's state has a fixed size however many events fall into it."""
+def telemetry_windows(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes", accuracy: int = 10000) -> DataFrame:
+    """Per metric and window: n, mean, p50 and p95. The watermark closes windows and drops later events; the quantiles come from a
+    sketch that tasks merge, so a window's state has a fixed size however many events fall into it. They are values of events,
+    exact up to ``accuracy`` events in a window, beyond that within n / accuracy ranks."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     g = events.withWatermark("ts", late).groupBy(w, "metric").agg(
-        F.count("*").alias("n"), F.sum("value_ms").alias("total"), F.percentile_approx("value_ms", [0.5, 0.95], 10000).alias("_q"))
+        F.count("*").alias("n"), F.sum("value_ms").alias("total"), F.percentile_approx("value_ms", [0.5, 0.95], accuracy).alias("_q"))
     return g.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "metric", "n", (F.col("total") / F.col("n")).alias("mean"),
                     F.get("_q", F.lit(0)).alias("p50"), F.get("_q", F.lit(1)).alias("p95"))
 
 
 # ------------------------------------------------------------------------------------------------ resumable scoring
-def resumable_scoring(predictions: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Scores every batch of new predictions and appends it with its batch number. A restart continues after the last
-    finished batch; a batch that is run twice overwrites its own folder, so nothing is counted twice."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_scores(spark: SparkSession, out: str, keys: list[str], version: str) -> DataFrame:
-    """The newest score per item of everything ``resumable_scoring`` wrote."""
-    rows = spark.read.parquet(out).drop("batch")
-    return upsert_latest(rows, rows.limit(0), keys, version)
+def resumable_scoring(predictions: DataFrame, score: Callable[[DataFrame], DataFrame], scores: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Scores every batch of new predictions into a keyed table. A restart continues after the last finished batch; a batch that is
+    run twice changes nothing, and buckets without new scores are not rewritten."""
+    return predictions.writeStream.foreachBatch(lambda batch, _: scores.upsert(score(batch)) and None).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
 
 
 # ------------------------------------------------------------------------------------------------ arrivals and uploads
@@ -59,10 +77,21 @@ def page_arrivals(pages: DataFrame, late: str = "1 day") -> DataFrame:
     return pages.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["doc", "page", "engine"])
 
 
-def new_uploads(uploads: DataFrame, known: DataFrame) -> DataFrame:
-    """Uploads whose content is neither in the stored table nor earlier in the stream."""
-    return uploads.join(known.select("sha256").distinct().withColumn("_known", F.lit(True)), "sha256", "left").where(
-        "_known IS NULL").drop("_known").dropDuplicates(["sha256"])
+def new_uploads(uploads: DataFrame, known: KeyedTable, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes each upload (sha256 and more) whose content was never seen to ``out``, a folder per batch. What was seen is a table keyed by
+    content, of which a batch reads only the buckets of its own contents; the stream itself keeps no state, however long it runs.
+    A batch that is run twice overwrites its folder with the same contents: those that it made known itself do not count."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["sha256"])
+        seen = known.read(batch.sparkSession, known.touched(fresh))
+        if seen is not None:
+            fresh = fresh.join(seen.where(F.col(known.version) != -batch_id - 1).select(F.col("sha256").alias("_seen")), F.col("sha256").eqNullSafe(F.col("_seen")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written = batch.sparkSession.read.schema(fresh.schema).parquet(f"{out}/batch={batch_id}")
+        # Earlier batches have higher versions, so the first that brought a content keeps it.
+        known.upsert(written.select("sha256", F.lit(-batch_id - 1).cast("long").alias(known.version)))
+
+    return uploads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
