@@ -46,8 +46,8 @@ def expand_region(box: Column, pad: float = 0.02, min_w: float = 0.25, min_h: fl
     zero = F.lit(0.0)
     dx = F.greatest(zero, -x0) - F.greatest(zero, x1 - 1)
     dy = F.greatest(zero, -y0) - F.greatest(zero, y1 - 1)
-    return F.array(F.bround(F.greatest(zero, x0 + dx), 4), F.bround(F.greatest(zero, y0 + dy), 4),
-                   F.bround(F.least(F.lit(1.0), x1 + dx), 4), F.bround(F.least(F.lit(1.0), y1 + dy), 4))
+    sides = (F.greatest(zero, x0 + dx), F.greatest(zero, y0 + dy), F.least(F.lit(1.0), x1 + dx), F.least(F.lit(1.0), y1 + dy))
+    return F.array(*[F.bround(F.round(v, 8), 4) for v in sides])  # first what addition left at the far end: halves are common here
 
 
 def normalise_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:

@@ -17,8 +17,9 @@ def previous_answers(messages: DataFrame) -> DataFrame:
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """Questions with the assistant message right after them; an overtaken question stays unanswered."""
-    nxt = neighbour(messages, ["conv_id"], "turn", F.struct("role", "seq", "vlm_answer", "ocr_answer"), "_next", strict=True)
+    """Questions with the assistant message right after them, system messages aside; an overtaken question stays unanswered."""
+    said = F.when(F.col("role").isin("user", "assistant"), F.struct("role", "seq", "vlm_answer", "ocr_answer"))
+    nxt = neighbour(messages, ["conv_id"], "turn", said, "_next", strict=True)
     ok = F.col("_next.role") == "assistant"
     return nxt.where("role = 'user'").select(
         "conv_id", "sha256", "turn", "seq", "created_at", F.col("content").alias("question"), F.when(ok, F.col("_next.seq")).alias("answer_seq"),
@@ -49,8 +50,8 @@ def reusable_answers(messages: DataFrame, full: Column, legacy: Column) -> DataF
     sought = (F.col("role") == "user") & F.col("_opens")
     rows = q.where(sought | usable).select("sha256", "_q", "_full", "_legacy", "seq", sought.alias("_sought"), usable.alias("_usable"),
                                            F.col("config_recorded").alias("_rec"))
-    by_full = neighbour(rows, ["sha256", "_q", "_full"], "seq", F.when(F.col("_usable") & F.col("_rec"), F.col("seq")), "_a", forward=False, strict=True)
-    both = neighbour(by_full, ["sha256", "_q", "_legacy"], "seq", F.when(F.col("_usable") & ~F.col("_rec"), F.col("seq")), "_b", forward=False, strict=True)
+    by_full = neighbour(rows, ["sha256", "_q", "_full"], "seq", F.when(F.col("_usable") & F.col("_rec"), F.col("seq")), "_a", forward=False, strict=True, rows_per_slice=None)
+    both = neighbour(by_full, ["sha256", "_q", "_legacy"], "seq", F.when(F.col("_usable") & ~F.col("_rec"), F.col("seq")), "_b", forward=False, strict=True, rows_per_slice=None)
     return both.where("_sought").select("seq", "sha256", F.col("_q").alias("question"), F.greatest("_a", "_b").alias("reused_seq"))
 
 
@@ -98,7 +99,7 @@ def history_index(files: DataFrame, messages: DataFrame) -> DataFrame:
 
 def conversation_markdown(messages: DataFrame, convs: DataFrame) -> DataFrame:
     """A conversation's record as ordered blocks (conv_id, turn, block): the title, then one block per message."""
-    block = F.when(F.col("role") == "user", F.concat(F.lit("**You:** "), F.col("content"))).otherwise(F.concat(
+    block = F.when(F.col("role") == "user", F.concat(F.lit("**You:** "), F.col("content"))).when(F.col("role") == "system", F.concat(F.lit("**System:** "), F.col("content"))).otherwise(F.concat(
         F.lit("**Vision:** "), F.coalesce("vlm_answer", F.lit("None")), F.lit("\n**OCR:** "), F.coalesce("ocr_answer", F.lit("None"))))
     title = convs.select("conv_id", F.lit(-1).cast("long").alias("turn"), F.concat(F.lit("# "), "title").alias("block"))
     return title.unionByName(messages.select("conv_id", "turn", block.alias("block")))

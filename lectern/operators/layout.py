@@ -162,8 +162,8 @@ def _grams(word: Column) -> Column:
 
 def reference_evidence(asks: DataFrame, words: DataFrame, ask: list[str], doc: str, page: str, answer: str = "answer", limit: int = 4) -> DataFrame:
     """Where the reference prints an answer's words (anywhere inside a word, any case): the page with most distinct ones,
-    first on ties, how many are printed there, and its first hits: (ask, page, keys_printed, rank, line_no, key). Words that can contain a key are found
-    through the key's first letters, so keys are not compared with every word of the document."""
+    first on ties, how many are printed there, and its first hits with their boxes as fractions of the page: (ask, page, keys_printed, rank, line_no, key,
+    box). Words that can contain a key are found through the key's first letters, so keys are not compared with every word of the document."""
     k = asks.select(*ask, doc, F.posexplode(T.keys(F.col(answer))).alias("ord", "key")).where(F.length("key") >= 2)
     k = k.withColumn("_g", F.substring("key", 1, 3))
     raw = words.select(doc, page, "line_no", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)\s+"))).alias("word"))
@@ -177,8 +177,21 @@ def reference_evidence(asks: DataFrame, words: DataFrame, ask: list[str], doc: s
     there = hit.join(best, [*ask, page])
     printed = there.groupBy(*ask).agg(F.count_distinct("key").alias("keys_printed"))
     top = smallest(there, ask, F.struct("ord", "line_no", "key", page), limit, "line_no", salts=16).join(printed, ask)
-    return top.select(*ask, "keys_printed", F.posexplode("_best").alias("rank", "b")).select(
-        *ask, F.col(f"b.{page}").alias(page), "keys_printed", "rank", "b.line_no", "b.key")
+    hits = top.select(*ask, "keys_printed", F.posexplode("_best").alias("rank", "b")).select(
+        *ask, F.col(f"b.{page}").alias(page), "keys_printed", "rank", "b.line_no", "b.key").join(asks.select(*ask, doc), ask)
+    size = words.groupBy(doc, page).agg(F.greatest(F.max("x1"), F.lit(1.0)).alias("_w"), F.greatest(F.max("y1"), F.lit(1.0)).alias("_h"))
+    part = [F.bround(F.col(c) / F.col(s), 4) for c, s in (("x0", "_w"), ("y0", "_h"), ("x1", "_w"), ("y1", "_h"))]
+    return hits.join(words.select(doc, page, "line_no", "x0", "y0", "x1", "y1"), [doc, page, "line_no"]).join(size, [doc, page]).select(
+        *ask, page, "keys_printed", "rank", "line_no", "key", F.array(*part).alias("box"))
+
+
+def texts_without_evidence(evidence: DataFrame, asks: DataFrame, lines: DataFrame, pages: DataFrame, ask: list[str], doc: str, page: str, text: str = "text") -> DataFrame:
+    """(ask, page, text): the page that an answer's evidence (of ``ocr_evidence``) stands on, without the lines of the evidence."""
+    at = evidence.select(*ask, page, "rank", "line_no").join(asks.select(*ask, doc), ask)
+    said = at.join(lines.select(doc, page, "line_no", F.col("text").alias("_line")), [doc, page, "line_no"])
+    gone = said.groupBy(*ask, doc, page).agg(F.array_sort(F.collect_list(F.struct("rank", "_line"))).alias("_e"))
+    return gone.join(pages.select(doc, page, F.col(text).alias("_text")), [doc, page]).select(
+        *ask, page, remove_evidence(F.col("_text"), F.transform("_e", lambda x: x["_line"])).alias("text"))
 
 
 def same_place(asks: DataFrame, ask: list[str], a_page: str, a_box: str, others: DataFrame, b_page: str, b_box: str) -> DataFrame:

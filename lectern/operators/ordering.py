@@ -55,10 +55,12 @@ def positions(df: DataFrame, keys: list[str], order: str, name: str, rows_per_sl
 
 
 def neighbour(df: DataFrame, keys: list[str], order: str, value: Column, name: str, forward: bool = True, strict: bool = False,
-              rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+              rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Adds the nearest non-NULL ``value`` along ``order`` (an as-of join of a table with itself): at or after each row, at
-    or before it with ``forward=False``, leaving out the row itself with ``strict``."""
-    cut = df.withColumn("_slice", F.floor(F.col(order) / rows_per_slice)).withColumn("_v", value)
+    or before it with ``forward=False``, leaving out the row itself with ``strict``. Slices are stretches of ``rows_per_slice``
+    of an integer that has few gaps, or sampled ranges (None)."""
+    cut = df.withColumn("_v", value)
+    cut = ranges(cut, keys, [F.col(order)]) if rows_per_slice is None else cut.withColumn("_slice", F.floor(F.col(order) / rows_per_slice))
     part = [*keys, "_slice"]
     here = F.when(F.col("_v").isNotNull(), F.col(order))
     ends = cut.groupBy(*part).agg((F.min_by("_v", here) if forward else F.max_by("_v", here)).alias("_f"))

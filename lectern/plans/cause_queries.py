@@ -10,7 +10,8 @@ from ..operators import claims as C
 from ..operators import findings as N
 from ..operators import items as I
 from ..operators import support as P
-from ..operators.staging import staged
+from ..operators.staging import staged, work_dir
+from ..sources import exports
 from . import fixtures as X
 from . import sqlparts as Q
 from .claim_queries import claims_sql
@@ -137,6 +138,41 @@ def _diagnosed(spark, sf):
     return K.item_diagnosis(items, X.ocr_lines(spark, sf), ["idx"], PAGE)
 
 
+def _judged(spark, sf):
+    """Diagnosed items with the readers' agreement."""
+    items = C.agreement_flags(I.score_items(I.with_coverage(X.predictions(spark, sf))), ["idx"]).drop("layer_text")
+    return K.item_diagnosis(items, X.ocr_lines(spark, sf), ["idx"], PAGE)
+
+
+_JUDGED = f"{DIAG}, qa_asks AS (SELECT qid, vlm_pred AS vlm, ocr_pred AS ocr FROM qa), {claims_sql('qa_asks')}"
+
+
+@query("items_csv", f"""WITH RECURSIVE {_JUDGED} SELECT s.qid, question, CASE WHEN len(gold) = 2 THEN '["' || gold[1] || '","' || gold[2] || '"]' ELSE '["' || gold[1] || '"]' END AS gold,
+  vlm_pred, ocr_pred, vlm_em, round(vlm_anls, 6) AS vlm_anls, ocr_em, round(ocr_anls, 6) AS ocr_anls, vlm_ms, ocr_ms, answer_in_ocr, verdict = 'consistent' AS pipelines_agree, dg_.better,
+  dg_.vlm_cause, dg_.ocr_cause, bucket AS answer_region, dg_.vlm_cause AS why_vlm, dg_.ocr_cause AS why_ocr FROM scored s JOIN dg_ USING (idx) LEFT JOIN verdicts_ v ON v.qid = s.qid""")
+def items_csv(spark, sf):
+    """All columns, written as CSV and read back."""
+    folder = f"{work_dir(spark, 'csv')}/items"
+    exports.export_items_csv(_judged(spark, sf), folder)
+    return exports.read_items_csv(spark, folder).withColumns({"vlm_anls": F.round("vlm_anls", 6), "ocr_anls": F.round("ocr_anls", 6)})
+
+
+_PICKED = (("all", "misread"), ("vlm_only", "spacing"), ("ocr_only", "missed"), ("ocr_missing", "lost"), ("disagree", "wrong_value"))
+_MODES = {"all": "true", "disagree": "verdict <> 'consistent'", "vlm_only": "v AND NOT o", "ocr_only": "o AND NOT v", "ocr_missing": "NOT answer_in_ocr"}
+
+
+@query("items_by_cause", f"WITH RECURSIVE {_JUDGED}, fm_ AS (SELECT dg_.*, answer_in_ocr, verdict FROM dg_ JOIN scored s USING (idx) LEFT JOIN verdicts_ w ON w.qid = s.qid) " + " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, '{cause}' AS cause, idx FROM fm_ WHERE ({_MODES[mode]}) AND (vlm_cause = '{cause}' OR ocr_cause = '{cause}')" for mode, cause in _PICKED))
+def items_by_cause(spark, sf):
+    """The analyst's filters, each with a cause."""
+    d = staged(_judged(spark, sf).select("idx", "agree", "answer_in_ocr", "vlm_scores", "ocr_scores", "vlm_cause", "ocr_cause"), "judged")
+    parts = [I.filter_items(d, mode, cause).select(F.lit(mode).alias("mode"), F.lit(cause).alias("cause"), "idx") for mode, cause in _PICKED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("closest_golds", f"WITH RECURSIVE {DIAG} SELECT idx, g AS gold FROM bg_ WHERE side = 'ocr'")
 def closest_golds(spark, sf):
     p = X.predictions(spark, sf).where("ocr_pred IS NOT NULL")

@@ -64,7 +64,7 @@ def merged_parts(spark, sf):
 
 
 _TURNS = f"""n_ AS (SELECT *, lead(role) OVER w AS nrole, lead(seq) OVER w AS nseq, lead(vlm_answer) OVER w AS nv, lead(ocr_answer) OVER w AS nocr
-  FROM msgs WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  FROM msgs WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 turns_ AS (SELECT conv_id, sha256, turn, seq, content AS question, CASE WHEN nrole = 'assistant' THEN nseq END AS answer_seq,
   CASE WHEN nrole = 'assistant' THEN nv END AS vlm_answer, CASE WHEN nrole = 'assistant' THEN nocr END AS ocr_answer FROM n_ WHERE role = 'user')"""
 _RECENT = """side_ AS (SELECT conv_id, 'vlm' AS side, seq, question, vlm_answer AS answer FROM turns_ WHERE answer_seq IS NOT NULL
@@ -181,7 +181,7 @@ def history_index(spark, sf):
 
 
 @query("conversation_markdown", f"""WITH {Q.CONVS} SELECT conv_id, -1::BIGINT AS turn, '# ' || title AS block FROM convs UNION ALL
-  SELECT conv_id, turn, CASE WHEN role = 'user' THEN '**You:** ' || content ELSE '**Vision:** ' || coalesce(vlm_answer, 'None') || chr(10) || '**OCR:** ' || coalesce(ocr_answer, 'None') END FROM msgs""")
+  SELECT conv_id, turn, CASE WHEN role = 'user' THEN '**You:** ' || content WHEN role = 'system' THEN '**System:** ' || content ELSE '**Vision:** ' || coalesce(vlm_answer, 'None') || chr(10) || '**OCR:** ' || coalesce(ocr_answer, 'None') END FROM msgs""")
 def conversation_markdown(spark, sf):
     return H.conversation_markdown(X.messages(spark, sf), X.conversations(spark, sf))
 

@@ -1,7 +1,7 @@
 """Inputs of the engine derived from the driver tables: predictions, pages, OCR lines, messages, files, telemetry."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import positions
@@ -96,21 +96,26 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (x0 + 7.0 * F.length("text")).alias("x1"), (30.0 * F.col("pos") + 20.0).alias("y1"))
 
 
+def message_key() -> Column:
+    """One number for (conv_id, turn), in their order: turns take the lower 32 bits."""
+    return F.col("conv_id") * F.lit(1 << 32) + F.col("turn")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question and answer messages. Each conversation is about one of forty file contents."""
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    """All messages, system turns included. Each conversation is about one of forty file contents."""
+    c = table(spark, sf_dir, "conversations")
     item = (F.col("conv_id") * 3 + F.col("turn")) % 5
-    user = F.col("role") == "user"
-    seq = F.col("conv_id") * 1000 + F.col("turn")
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    about = F.col("conv_id") * 1000 + F.col("turn")  # only makes messages differ
     ocr_answer = (F.when(F.col("conv_id") % 6 == 0, F.lit(None).cast("string"))
                   .when(F.col("conv_id") % 6 == 1, NF).otherwise(F.col("text")))
     return c.select(
-        "conv_id", seq.alias("seq"), F.col("turn").cast("long").alias("turn"), "role",
+        "conv_id", message_key().alias("seq"), F.col("turn").cast("long").alias("turn"), "role",
         F.when(user, F.concat(F.lit("What is item "), item.cast("string"), F.lit("?"))).otherwise(F.col("text")).alias("content"),
         F.md5((F.col("conv_id") % 40).cast("string")).alias("sha256"),
-        F.timestamp_seconds(F.lit(1700000000) + seq).alias("created_at"),
-        F.when(~user, F.col("text")).alias("vlm_answer"), F.when(~user, ocr_answer).alias("ocr_answer"),
-        F.when(~user & (seq % 13 == 0), "timeout").alias("error"),
+        F.timestamp_seconds(F.lit(1700000000) + about).alias("created_at"),
+        F.when(assistant, F.col("text")).alias("vlm_answer"), F.when(assistant, ocr_answer).alias("ocr_answer"),
+        F.when(assistant & (about % 13 == 0), "timeout").alias("error"),
         F.when(F.col("conv_id") % 3 == 0, "both").otherwise("vlm").alias("mode"),
         (F.col("conv_id") % 2 == 0).alias("short"), (F.col("conv_id") % 4).cast("string").alias("prompt_version"),
         F.when(F.col("conv_id") % 7 == 0, 3).otherwise(6).alias("page_cap"))
@@ -155,15 +160,15 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longer two-sided answers: an assistant message read by two readers who differ in known ways."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    qid = F.col("conv_id") * 1000 + F.col("turn")
-    k = qid % 7
-    amount = (1000 + qid % 97).cast("string")
-    other = (2000 + qid % 89).cast("string")
-    a = F.concat(F.col("text"), F.lit(" The total is $1,"), F.lpad((qid % 1000).cast("string"), 3, "0"), F.lit(".50. It took "),
+    about = F.col("conv_id") * 1000 + F.col("turn")  # only makes asks differ
+    k = about % 7
+    amount = (1000 + about % 97).cast("string")
+    other = (2000 + about % 89).cast("string")
+    a = F.concat(F.col("text"), F.lit(" The total is $1,"), F.lpad((about % 1000).cast("string"), 3, "0"), F.lit(".50. It took "),
                  amount, F.lit(" days."))
     swapped = F.concat(F.translate(F.col("text"), "e", "c"), F.lit(" The total is "), F.lit("1"),
-                       F.lpad((qid % 1000).cast("string"), 3, "0"), F.lit(".5.\nIt took "), other, F.lit(" days."))
+                       F.lpad((about % 1000).cast("string"), 3, "0"), F.lit(".5.\nIt took "), other, F.lit(" days."))
     b = (F.when(k == 0, NF).when(k == 1, a).when(k == 2, swapped).when(k == 3, F.col("text"))
          .when(k == 4, F.concat(F.lit("1. "), F.lower(F.col("text")), F.lit("\n- Total: "), amount, F.lit("\n"), other))
          .when(k == 5, F.concat(F.lit("- "), amount)).otherwise(F.concat(F.reverse(F.col("text")), F.lit(" Done! 12%"))))
-    return c.select(qid.alias("qid"), F.when(qid % 10 == 0, NF).when(k == 5, other).otherwise(a).alias("vlm"), b.alias("ocr"))
+    return c.select(message_key().alias("qid"), F.when(about % 10 == 0, NF).when(k == 5, other).otherwise(a).alias("vlm"), b.alias("ocr"))

@@ -142,11 +142,15 @@ _CONTENT = Q.content_of(Q.tokens('vlm_pred'))
 rk_ AS (SELECT idx, doc, ltrim(t, '$') AS key, min(o) AS o FROM (SELECT idx, doc, unnest(c) AS t, generate_subscripts(c, 1) AS o FROM rc_) GROUP BY ALL),
 rh_ AS (SELECT DISTINCT idx, doc_id % 4 AS page, line_no, key, o FROM rk_ JOIN lines_ ON doc_id // 4 = doc AND length(key) >= 2 AND contains(lower(text), key)),
 rp_ AS (SELECT idx, page, count(DISTINCT key) AS n FROM rh_ GROUP BY ALL),
-rb_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, page) AS rn FROM rp_) WHERE rn = 1)
-SELECT * FROM (SELECT idx, page, n AS keys_printed, (row_number() OVER (PARTITION BY idx ORDER BY o, line_no, key) - 1)::INT AS rank, line_no, key
-  FROM rb_ JOIN rh_ USING (idx, page)) WHERE rank < 4""")
+rb_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, page) AS rn FROM rp_) WHERE rn = 1),
+rt_ AS (SELECT * FROM (SELECT idx, page, n AS keys_printed, (row_number() OVER (PARTITION BY idx ORDER BY o, line_no, key) - 1)::INT AS rank, line_no, key
+  FROM rb_ JOIN rh_ USING (idx, page)) WHERE rank < 4),
+rz_ AS (SELECT doc_id, greatest(max(x1), 1.0e0) AS w, greatest(max(y1), 1.0e0) AS h FROM lines_ GROUP BY doc_id)
+SELECT idx, rt_.page, keys_printed, rank, rt_.line_no, key, {_sqlbox([f'round_even({c} / {s}, 4)' for c, s in (('x0', 'w'), ('y0', 'h'), ('x1', 'w'), ('y1', 'h'))])} AS box
+FROM rt_ JOIN qa USING (idx) JOIN lines_ l ON l.doc_id = qa.doc_id // 4 * 4 + rt_.page AND l.line_no = rt_.line_no JOIN rz_ ON rz_.doc_id = l.doc_id""")
 def reference_evidence(spark, sf):
-    return L.reference_evidence(_binder_asks(spark, sf), _binder(spark, sf), ["idx"], "doc", "page")
+    e = L.reference_evidence(_binder_asks(spark, sf), _binder(spark, sf), ["idx"], "doc", "page")
+    return e.withColumn("box", _box(F.col("box")))
 
 
 _OVERLAP = f"""{LAYOUT}, bx_ AS (SELECT doc_id, line_no, bx0 AS a0, by0 AS a1, bx1 AS a2, by1 AS a3, bx0 + (line_no % 7) / 50.0e0 AS b0, by0 + (doc_id % 5) / 60.0e0 AS b1,
@@ -191,16 +195,21 @@ def _grow(lo, hi, least):
             f"CASE WHEN {hi} - {lo} + 0.04e0 < {least} THEN ({lo} + {hi}) / 2 + {least} / 2 ELSE {hi} + 0.02e0 END")
 
 
+def _r4(x):
+    """Four places, halves to even, in whole numbers: halves are common here."""
+    n = f"round(({x}) * 100000000.0e0, 0)::BIGINT"
+    return f"({n} // 10000 + CASE WHEN {n} % 10000 > 5000 OR ({n} % 10000 = 5000 AND {n} // 10000 % 2 = 1) THEN 1 ELSE 0 END) / 10000.0e0"
+
+
 _GX, _GY = _grow("bx0", "bx1", "0.25e0"), _grow("by0", "by1", "0.05e0")
 
 
-@query("expanded_regions", f"""WITH {LAYOUT}, b_ AS (SELECT doc_id, line_no, {', '.join(f'floor({c} * 1000 + 0.25e0) / 1000.0e0 AS {c}' for c in _LBOX)} FROM lay_),
+@query("expanded_regions", f"""WITH {LAYOUT}, b_ AS (SELECT doc_id, line_no, {', '.join(_LBOX)} FROM lay_),
 e_ AS (SELECT doc_id, line_no, {_GX[0]} AS x0, {_GX[1]} AS x1, {_GY[0]} AS y0, {_GY[1]} AS y1 FROM b_),
 d_ AS (SELECT *, greatest(0.0e0, -x0) - greatest(0.0e0, x1 - 1) AS dx, greatest(0.0e0, -y0) - greatest(0.0e0, y1 - 1) AS dy FROM e_)
-SELECT doc_id, line_no, round(greatest(0.0e0, x0 + dx), 4) AS x0, round(greatest(0.0e0, y0 + dy), 4) AS y0, round(least(1.0e0, x1 + dx), 4) AS x1, round(least(1.0e0, y1 + dy), 4) AS y1 FROM d_""")
+SELECT doc_id, line_no, {_r4('greatest(0.0e0, x0 + dx)')} AS x0, {_r4('greatest(0.0e0, y0 + dy)')} AS y0, {_r4('least(1.0e0, x1 + dx)')} AS x1, {_r4('least(1.0e0, y1 + dy)')} AS y1 FROM d_""")
 def expanded_regions(spark, sf):
-    whole = F.transform("box", lambda v: F.floor(v * 1000 + 0.25) / 1000.0)
-    r = L.with_layout(X.ocr_lines(spark, sf), PAGE).select("doc_id", "line_no", G.expand_region(whole).alias("r"))
+    r = L.with_layout(X.ocr_lines(spark, sf), PAGE).select("doc_id", "line_no", G.expand_region(F.col("box")).alias("r"))
     return r.select("doc_id", "line_no", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
@@ -225,16 +234,18 @@ def surviving_answers(spark, sf):
     return X.predictions(spark, sf).select("idx", P.survives(F.col("gold")[0], F.col("ocr_pred")).alias("survived"))
 
 
-@query("texts_without_evidence", f"""WITH {Q.LINES}, e_ AS (SELECT doc_id, list(text ORDER BY line_no) AS ls FROM lines_ WHERE line_no IN (0, 6, 12) AND length(text) > 0 GROUP BY doc_id)
-SELECT doc_id, md5(replace(replace(replace({Q.DOCS_MISREAD}, coalesce(ls[1], chr(7)), ''), coalesce(ls[2], chr(7)), ''), coalesce(ls[3], chr(7)), '')) AS text_md5
-FROM documents LEFT JOIN e_ USING (doc_id)""")
+@query("texts_without_evidence", f"""WITH {_EVID}, et_ AS (SELECT er_.idx, page, qa.doc_id // 4 * 4 + page AS src, l.text,
+    row_number() OVER (PARTITION BY er_.idx ORDER BY hits DESC, er_.score DESC, er_.line_no) AS rank
+  FROM er_ JOIN qa USING (idx) JOIN lines_ l ON l.doc_id = qa.doc_id // 4 * 4 + page AND l.line_no = er_.line_no WHERE page = best),
+e_ AS (SELECT idx, page, src, list(text ORDER BY rank) AS ls FROM et_ WHERE rank <= 3 GROUP BY ALL)
+SELECT idx, page, md5(replace(replace(replace({Q.DOCS_MISREAD}, ls[1], ''), coalesce(ls[2], chr(7)), ''), coalesce(ls[3], chr(7)), '')) AS text_md5
+FROM e_ JOIN documents ON doc_id = src""")
 def texts_without_evidence(spark, sf):
-    d = X.table(spark, sf, "documents").select("doc_id", X.ocr_text(F.col("doc_id"), F.col("text")).alias("text"))
-    l = X.ocr_lines(spark, sf).where("line_no IN (0, 6, 12) AND length(text) > 0")
-    e = l.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("e"))
-    j = d.join(e, "doc_id", "left")
-    ev = F.coalesce(F.transform("e", lambda x: x["text"]), F.array().cast("array<string>"))
-    return j.select("doc_id", F.md5(L.remove_evidence(F.col("text"), ev)).alias("text_md5"))
+    asks, lines = _binder_asks(spark, sf), _binder(spark, sf)
+    pages = X.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc"), (F.col("doc_id") % 4).alias("page"),
+                                                   X.ocr_text(F.col("doc_id"), F.col("text")).alias("text"))
+    found = L.ocr_evidence(asks, lines, ["idx"], "doc", "page")
+    return L.texts_without_evidence(found, asks, lines, pages, ["idx"], "doc", "page").select("idx", "page", F.md5("text").alias("text_md5"))
 
 
 TRUST_IN = f"""{CARD}, qa_asks AS (SELECT qid, vlm_pred AS vlm, ocr_pred AS ocr FROM qa), {claims_sql('qa_asks')},
@@ -260,10 +271,16 @@ def trust_inputs(spark, sf):
         "vlm_survived": F.when(i % 4 < 2, i % 4 == 0), "ocr_survived": F.when(i % 6 < 3, i % 6 == 1)})
 
 
-@query("trust", f"""WITH {Q.QA}, {TRUST_IN} SELECT idx, rec AS recommended, round(trust, 2) AS trust,
-  CASE WHEN trust IS NULL THEN 'unknown' WHEN trust >= 0.75e0 THEN 'high' WHEN trust >= 0.5e0 THEN 'medium' ELSE 'low' END AS trust_level FROM tt_""")
+_WHY = """array_to_string(list_filter([CASE WHEN verdict IN ('consistent', 'partial') THEN '+verdict' WHEN verdict IS NOT NULL THEN '-verdict' END,
+  CASE WHEN has_ref AND sup IS NOT NULL THEN CASE WHEN round_even(0.25e0 * sup - 0.1e0, 3) >= 0 THEN '+support' ELSE '-support' END END,
+  CASE place WHEN 'same place' THEN '+place' WHEN 'different pages' THEN '-place' END, CASE WHEN closer = rec THEN '+closer look' WHEN closer <> rec THEN '-closer look' END,
+  CASE WHEN surv THEN '-ablation' WHEN NOT surv THEN '+ablation' END], lambda x: x IS NOT NULL), '|')"""
+
+
+@query("trust", f"""WITH {Q.QA}, {TRUST_IN} SELECT idx, rec AS recommended, trust, CASE WHEN trust IS NULL THEN 'unknown' WHEN trust >= 0.75e0 THEN 'high' WHEN trust >= 0.5e0 THEN 'medium' ELSE 'low' END AS trust_level,
+  CASE WHEN trust IS NULL THEN 'unsettled' ELSE {_WHY} END AS reasons FROM tt_""")
 def trust(spark, sf):
-    return L.trust(trust_inputs(spark, sf)).select("idx", "recommended", F.round("trust", 2).alias("trust"), "trust_level")
+    return L.trust(trust_inputs(spark, sf)).select("idx", "recommended", "trust", "trust_level", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("not_rated", f"WITH {Q.ASKS} SELECT qid, NOT ({Q.short('vlm')} OR {Q.short('ocr')}) AS not_rated FROM asks_")

@@ -37,6 +37,14 @@ def bm25_rank(spark, sf):
     return D.bm25_rank(_pages(spark, sf), X.doc_questions(spark, sf)).withColumn("score", F.round("score", 4))
 
 
+@query("bm25_rank_sliced", f"WITH {_BM} SELECT qid, doc, page, round(score, 4) AS score, rank FROM rk")
+def bm25_rank_sliced(spark, sf):
+    """The ranking by counted scores on its own."""
+    p, q = _pages(spark, sf), X.doc_questions(spark, sf)
+    full = p.select("doc", "page").join(q.select("qid", "doc"), "doc").join(D.bm25_scores(p, q), ["qid", "doc", "page"], "left").na.fill(0.0, ["score"])
+    return D.sliced_rank(full, ["qid", "doc"], "page").withColumn("score", F.round("score", 4))
+
+
 @query("selected_pages", f"WITH {_BM} SELECT qid, doc, page, round(score, 4) AS score, rank FROM rk WHERE rank < 6")
 def selected_pages(spark, sf):
     return D.top_pages(_pages(spark, sf), X.doc_questions(spark, sf), 6).withColumn("score", F.round("score", 4))

@@ -184,10 +184,10 @@ def coverage_rates(spark, sf):
     return E.coverage_rates(_full(spark, sf), RUN).select("exp_id", *_r("answer_coverage", "disagreement_rate"), "loss_cases")
 
 
-@query("by_type", f"""WITH {Q.SCORED} SELECT type, count(*) AS n, round_even(avg(vlm_anls), 4) AS vlm_anls, round_even(avg(ocr_anls), 4) AS ocr_anls
-  FROM (SELECT unnest(types) AS type, vlm_anls, ocr_anls FROM scored) GROUP BY type""")
+@query("by_type", f"""WITH {Q.SCORED} SELECT exp_id, type, count(*) AS n, round_even(avg(vlm_anls), 4) AS vlm_anls, round_even(avg(ocr_anls), 4) AS ocr_anls
+  FROM (SELECT exp_id, unnest(types) AS type, vlm_anls, ocr_anls FROM scored) GROUP BY exp_id, type""")
 def by_type(spark, sf):
-    return E.by_type(_scored(spark, sf), [])
+    return E.by_type(_scored(spark, sf), RUN)
 
 
 _AUROC = """SELECT exp_id, CASE WHEN count(*) FILTER (ok) > 0 AND count(*) FILTER (NOT ok) > 0 THEN

@@ -62,15 +62,23 @@ def dataset_catalog(spark, sf):
     return questions.dataset_catalog(spark, _question_files(spark, sf), "part-*").select(*_place(), "n")
 
 
-@query("run_export", f"""WITH {Q.SCORED} SELECT exp_id, count(*) AS items, round(avg(vlm_anls), 6) AS vlm_anls, round(avg(ocr_anls), 6) AS ocr_anls, 'both' AS mode FROM scored GROUP BY exp_id""")
+@query("run_export", f"""WITH {Q.SCORED}, r_ AS (SELECT exp_id, count(*) AS items, round(avg(vlm_anls), 6) AS vlm_mean, round(avg(ocr_anls), 6) AS ocr_mean FROM scored GROUP BY exp_id)
+SELECT exp_id, items, vlm_mean, ocr_mean, CASE WHEN exp_id < 'EXP-0003' THEN 'both' ELSE 'vlm' END AS mode, CASE WHEN exp_id = 'EXP-0001' THEN 3 ELSE 6 END::BIGINT AS page_cap, qid, question,
+  array_to_string(gold, '|') AS gold, vlm_pred, ocr_pred, round(vlm_anls, 6) AS vlm_anls, round(ocr_anls, 6) AS ocr_anls, vlm_ms FROM scored JOIN r_ USING (exp_id)""")
 def run_export(spark, sf):
+    """Every item of the export, read back with its run's config and metrics."""
     items = I.score_items(I.with_coverage(X.predictions(spark, sf)))
     wide = E.side_summary(items, ["exp_id"]).groupBy("exp_id").pivot("side", ["vlm", "ocr"]).agg(F.max("anls"))
-    runs = wide.select("exp_id", F.struct(F.lit("both").alias("mode")).alias("config"), F.struct("vlm", "ocr").alias("metrics"))
+    counts = items.groupBy("exp_id").agg(F.count("*").alias("items"))
+    config = F.struct(F.when(F.col("exp_id") < "EXP-0003", "both").otherwise("vlm").alias("mode"), F.when(F.col("exp_id") == "EXP-0001", 3).otherwise(6).alias("page_cap"))
+    runs = wide.join(counts, "exp_id").select("exp_id", config.alias("config"), F.struct("items", "vlm", "ocr").alias("metrics"))
     folder = f"{work_dir(spark, 'runs')}/json"
-    exports.export_run_json(items.select("exp_id", "qid", "vlm_pred", "ocr_pred", "gold"), runs, folder)
-    back = exports.read_run_json(spark, folder)
-    return back.select("exp_id", "items", F.round("metrics.vlm", 6).alias("vlm_anls"), F.round("metrics.ocr", 6).alias("ocr_anls"), F.col("config.mode").alias("mode"))
+    given = items.select("exp_id", "qid", "question", "gold", "vlm_pred", "ocr_pred", F.col("vlm_scores.anls").alias("vlm_anls"), F.col("ocr_scores.anls").alias("ocr_anls"), "vlm_ms")
+    exports.export_run_json(given, runs, folder)
+    schema = "qid string, question string, gold array<string>, vlm_pred string, ocr_pred string, vlm_anls double, ocr_anls double, vlm_ms double"
+    back = exports.read_run_items(spark, folder, schema)
+    return back.select("exp_id", "metrics.items", F.round("metrics.vlm", 6).alias("vlm_mean"), F.round("metrics.ocr", 6).alias("ocr_mean"), "config.mode", F.col("config.page_cap").cast("long").alias("page_cap"),
+                       "qid", "question", F.array_join("gold", "|").alias("gold"), "vlm_pred", "ocr_pred", F.round("vlm_anls", 6).alias("vlm_anls"), F.round("ocr_anls", 6).alias("ocr_anls"), "vlm_ms")
 
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -156,15 +156,15 @@ lines_ AS (
   WHERE cell = 0 OR (doc_id + pos) % 5 = 0)"""
 
 MSGS = f"""msgs AS (
-  SELECT conv_id, conv_id * 1000 + turn AS seq, turn::BIGINT AS turn, role,
+  SELECT conv_id, conv_id * 4294967296 + turn AS seq, turn::BIGINT AS turn, role,
     CASE WHEN role = 'user' THEN 'What is item ' || ((conv_id * 3 + turn) % 5) || '?' ELSE text END AS content,
     md5((conv_id % 40)::VARCHAR) AS sha256, 1700000000 + conv_id * 1000 + turn AS created_s,
-    CASE WHEN role <> 'user' THEN text END AS vlm_answer,
-    CASE WHEN role <> 'user' THEN CASE WHEN conv_id % 6 = 0 THEN NULL WHEN conv_id % 6 = 1 THEN '{NF}' ELSE text END END AS ocr_answer,
-    CASE WHEN role <> 'user' AND (conv_id * 1000 + turn) % 13 = 0 THEN 'timeout' END AS error,
+    CASE WHEN role = 'assistant' THEN text END AS vlm_answer,
+    CASE WHEN role = 'assistant' THEN CASE WHEN conv_id % 6 = 0 THEN NULL WHEN conv_id % 6 = 1 THEN '{NF}' ELSE text END END AS ocr_answer,
+    CASE WHEN role = 'assistant' AND (conv_id * 1000 + turn) % 13 = 0 THEN 'timeout' END AS error,
     CASE WHEN conv_id % 3 = 0 THEN 'both' ELSE 'vlm' END AS mode, conv_id % 2 = 0 AS short,
     (conv_id % 4)::VARCHAR AS prompt_version, CASE WHEN conv_id % 7 = 0 THEN 3 ELSE 6 END AS page_cap
-  FROM conversations WHERE role <> 'system')"""
+  FROM conversations)"""
 
 CONVS = MSGS + """,
 convs AS (
@@ -183,12 +183,12 @@ RATED = """rated_ AS (
     CASE WHEN doc_id % 8 <> 0 THEN quality = 1 END AS recommended_correct, toxic = 0 AS agree FROM labels)"""
 
 ASKS = f"""asks_ AS (
-  SELECT qid, CASE WHEN qid % 10 = 0 THEN '{NF}' WHEN k = 5 THEN other ELSE a END AS vlm,
+  SELECT qid, CASE WHEN about % 10 = 0 THEN '{NF}' WHEN k = 5 THEN other ELSE a END AS vlm,
     CASE WHEN k = 0 THEN '{NF}' WHEN k = 1 THEN a WHEN k = 2 THEN translate(text, 'e', 'c') || ' The total is 1' || n3 ||
         '.5.' || chr(10) || 'It took ' || other || ' days.' WHEN k = 3 THEN text
       WHEN k = 4 THEN '1. ' || lower(text) || chr(10) || '- Total: ' || amount || chr(10) || other
       WHEN k = 5 THEN '- ' || amount ELSE reverse(text) || ' Done! 12%' END AS ocr
   FROM (SELECT *, text || ' The total is $1,' || n3 || '.50. It took ' || amount || ' days.' AS a FROM (
-    SELECT conv_id * 1000 + turn AS qid, text, (conv_id * 1000 + turn) % 7 AS k, (1000 + (conv_id * 1000 + turn) % 97)::VARCHAR AS amount,
+    SELECT conv_id * 4294967296 + turn AS qid, conv_id * 1000 + turn AS about, text, (conv_id * 1000 + turn) % 7 AS k, (1000 + (conv_id * 1000 + turn) % 97)::VARCHAR AS amount,
       (2000 + (conv_id * 1000 + turn) % 89)::VARCHAR AS other, lpad(((conv_id * 1000 + turn) % 1000)::VARCHAR, 3, '0') AS n3
     FROM conversations WHERE role = 'assistant')))"""

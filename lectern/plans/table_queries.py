@@ -4,10 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import items as I
 from ..operators import tables as A
 from ..operators.staging import work_dir
-from ..sources import exports, questions
+from ..sources import questions
 from ..sources.keyed import KeyedTable
 from . import fixtures as X
 from . import sqlparts as Q
@@ -93,14 +92,6 @@ def seeded_sample(spark, sf):
     return questions.seeded_sample(X.predictions(spark, sf).select("idx", "qid"), "idx", 50, 7)
 
 
-@query("items_csv", f"""WITH {Q.SCORED} SELECT qid, question, CASE WHEN len(gold) = 2 THEN '["' || gold[1] || '","' || gold[2] || '"]' ELSE '["' || gold[1] || '"]' END AS gold,
-  vlm_pred, ocr_pred, vlm_em, round(vlm_anls, 6) AS vlm_anls, ocr_em, round(ocr_anls, 6) AS ocr_anls, vlm_ms, ocr_ms, answer_in_ocr FROM scored""")
-def items_csv(spark, sf):
-    p = I.score_items(I.with_coverage(X.predictions(spark, sf))).withColumn("agree", F.lit(None).cast("boolean"))
-    c = exports.csv_projection(p).withColumns({"vlm_anls": F.round("vlm_anls", 6), "ocr_anls": F.round("ocr_anls", 6)})
-    return c.select("qid", "question", "gold", "vlm_pred", "ocr_pred", "vlm_em", "vlm_anls", "ocr_em", "ocr_anls", "vlm_ms", "ocr_ms", "answer_in_ocr")
-
-
 @query("run_index", f"""WITH {Q.QA} SELECT exp_id, count(*) AS total, count(vlm_pred) AS done, '| ' || exp_id || ' | ' || count(vlm_pred) || '/' || count(*) || ' |' AS line FROM qa GROUP BY exp_id""")
 def run_index(spark, sf):
     return A.run_index(X.predictions(spark, sf), ["exp_id"], F.col("vlm_pred").isNotNull())

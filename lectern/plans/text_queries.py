@@ -70,13 +70,16 @@ def normalized_questions(spark, sf):
     return X.messages(spark, sf).where("role = 'user'").select("seq", T.normalize_question(F.col("content")).alias("question"))
 
 
-@query("written_forms", f"""WITH {Q.QA} SELECT idx, lower(w[2]) AS word, w[2] AS written FROM (
-  SELECT doc_id AS idx, w FROM qa_gold) """)
+_RAW = "list_filter(list_transform(string_split(trim(regexp_replace(layer_text, '\\s+', ' ', 'g')), ' '), lambda w: trim(w, '.,:;!?\"''()[]{}“”‘’')), lambda w: w <> '')"
+
+
+@query("written_forms", f"""WITH {Q.QA}, wf_ AS (SELECT idx, lower(coalesce(string_split(gold[1], ' ')[2], '')) AS word, {_RAW} AS ws FROM qa)
+SELECT idx, word, coalesce(ltrim(list_filter(ws, lambda w_: ltrim(({Q.tokens('w_')})[1], '$') = word)[1], '$'), word) AS written FROM wf_""")
 def written_forms(spark, sf):
+    """The second word of an answer as the document writes it."""
     p = X.predictions(spark, sf)
-    second = F.coalesce(F.get(F.split(F.col("gold")[0], " "), F.lit(1)), F.lit(""))
-    return p.select("idx", F.lower(second).alias("word"),
-                    T.as_written(F.lower(second), F.concat(F.lit("zz ("), second, F.lit(", zz)"))).alias("written"))
+    word = F.lower(F.coalesce(F.get(F.split(F.col("gold")[0], " "), F.lit(1)), F.lit("")))
+    return p.select("idx", word.alias("word"), T.as_written(word, F.col("layer_text")).alias("written"))
 
 
 @query("split_claims", f"""WITH {Q.ASKS}, parts AS (

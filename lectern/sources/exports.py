@@ -28,12 +28,26 @@ def export_items_csv(items: DataFrame, path: str) -> None:
     csv_projection(items).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
+def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``export_items_csv`` wrote; an empty text is a quoted one, NULL is nothing between two commas."""
+    numbers = {"vlm_em", "vlm_anls", "ocr_em", "ocr_anls", "vlm_ms", "ocr_ms"}
+    kind = lambda c: "double" if c in numbers else "boolean" if c in ("answer_in_ocr", "pipelines_agree") else "string"
+    schema = ", ".join(f"{c} {kind(c)}" for c in CSV_COLUMNS)
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').option("multiLine", "true").option("nullValue", "\u0000").csv(path)
+
+
 def export_run_json(items: DataFrame, runs: DataFrame, path: str, run: str = "exp_id") -> None:
     """Per run, JSON lines of its items in its own folder, and one record with its config and metrics; no run is gathered."""
     items.write.mode("overwrite").partitionBy(run).json(f"{path}/items")
     runs.write.mode("overwrite").json(f"{path}/runs")
 
 
+def read_run_items(spark: SparkSession, path: str, schema: str, run: str = "exp_id") -> DataFrame:
+    """Every exported item, with its run's config and metrics."""
+    items = spark.read.schema(f"{schema}, {run} string").json(f"{path}/items")
+    return items.join(F.broadcast(spark.read.json(f"{path}/runs")), run, "left")  # one record per run
+
+
 def read_run_json(spark: SparkSession, path: str, run: str = "exp_id") -> DataFrame:
     """The run records with the number of their exported items."""
     counts = spark.read.json(f"{path}/items").groupBy(run).agg(F.count("*").alias("items"))
