@@ -143,20 +143,24 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_line_dedup", sql=r"""
 WITH l AS (SELECT doc_id, text AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
       FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, whole, pos, list_transform(regexp_extract_all(line, '[^\x09-\x0D\x20]+'),
-      lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
-h AS (SELECT *, len(tok) AS n, 3 + CAST(ceil((len(tok) - 3) / 2) AS BIGINT) AS m FROM t WHERE len(tok) > 0),
-k AS (SELECT doc_id, whole, pos, '0 ' || array_to_string(tok, ' ') AS key FROM h
-      UNION ALL SELECT doc_id, whole, pos, '1 ' || n || ' ' || array_to_string(tok[1:m], ' ') FROM h WHERE n >= 6
-      UNION ALL SELECT doc_id, whole, pos, '2 ' || n || ' ' || array_to_string(tok[1:3], ' ') || '  ' || array_to_string(tok[m + 1:], ' ') FROM h WHERE n >= 6),
-c AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT whole) >= 10),
-x AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN c ON k.key = c.key WHERE k.doc_id IS DISTINCT FROM c.first),
-r AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS text
-      FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, r.text FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
+t AS (SELECT doc_id, whole, pos, line, regexp_extract_all(line, '[^\x09-\x0D\x20]+') AS raw FROM l),
+h AS (SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok, len(raw) AS n,
+      3 + CAST(ceil((len(raw) - 3) / 2) AS BIGINT) AS m FROM t),
+k AS (SELECT doc_id, whole, pos, 0 AS kind, '0 ' || array_to_string(tok, ' ') AS key, len(list_filter(tok, lambda x: x <> '<*>')) AS kept FROM h WHERE len(list_filter(tok, lambda x: x <> '<*>')) >= 2
+      UNION ALL SELECT doc_id, whole, pos, 1, '1 ' || n || ' ' || array_to_string(tok[1:m], ' '), 0 FROM h WHERE n >= 6 AND len(list_filter(tok[1:m], lambda x: x <> '<*>')) >= 4
+      UNION ALL SELECT doc_id, whole, pos, 2, '2 ' || n || ' ' || array_to_string(tok[1:3], ' ') || '  ' || array_to_string(tok[m + 1:], ' '), 0 FROM h
+        WHERE n >= 6 AND len(list_filter(tok[1:3] || tok[m + 1:], lambda x: x <> '<*>')) >= 4),
+c AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT whole) >= CASE WHEN max(kept) >= 20 THEN 2 ELSE 10 END),
+x AS (SELECT k.doc_id, k.whole, k.pos, bool_or(kind = 0 AND NOT own) AS gone, bool_or(kind = 0 AND own) AS stays, bool_or(kind = 1 AND NOT own) AS one, bool_or(kind = 2 AND NOT own) AS two
+      FROM (SELECT k.*, k.doc_id IS NOT DISTINCT FROM c.first AS own FROM k JOIN c ON k.key = c.key) k GROUP BY ALL),
+y AS (SELECT doc_id, whole, pos, gone OR one AS one, gone OR two AS two FROM x WHERE NOT stays AND (gone OR one OR two)),
+z AS (SELECT h.doc_id, h.whole, h.pos, one AND two AS out, one <> two AS cut, CASE WHEN y.pos IS NULL THEN line WHEN one AND two THEN NULL WHEN one THEN array_to_string(raw[m + 1:], ' ') ELSE array_to_string(raw[4:m], ' ') END AS left_
+      FROM h LEFT JOIN y ON h.doc_id = y.doc_id AND h.whole = y.whole AND h.pos = y.pos),
+r AS (SELECT doc_id, whole, count(*) AS n_lines, count(*) FILTER (out) AS n_dropped, count(*) FILTER (cut) AS n_cut, coalesce(string_agg(left_, chr(10) ORDER BY pos), '') AS text FROM z GROUP BY doc_id, whole)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_cut, 0) AS n_cut, r.text FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND d.text = r.whole""")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.drop_recurring(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+    return linededup.drop_recurring(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__cut").alias("n_cut"), "text")
 
 
 @query("op2_hmm_scores")
