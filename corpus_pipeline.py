@@ -24,15 +24,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, remainder(4) != 2)
     # Under other names, so that columns of the prediction's names stay.
     given = {c: f"given_{i}" for i, c in enumerate(docs.columns)}
-    found = langid.predict(docs.withColumnsRenamed(given), model, text=given["text"])
+    found = langid.predict(docs.toDF(*given.values()), model, text=given["text"])
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*[F.col(g).alias(c) for c, g in given.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of texts, long ones from the second text on; every document stays. n_chars follows the text."""
-    out = linededup.drop_recurring(docs, passage=linededup.PASSAGE)
+    """Takes recurring lines and halves of lines out of texts; every document stays. n_chars follows the text."""
+    out = linededup.drop_recurring(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__dropped") + F.col("__cut") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
