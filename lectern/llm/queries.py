@@ -113,12 +113,15 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 p AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(role) + 24 AS len,
       len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')) + 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM c),
-q AS (SELECT *, first_value(role) OVER o = 'system' AS led, first_value(tok) OVER o AS t0, first_value(len) OVER o AS l0, sum(tok) OVER o - tok AS before
+q AS (SELECT *, first_value(role) OVER o = 'system' AND first_value(tok) OVER o <= 512 AS led, first_value(tok) OVER o AS t0, first_value(len) OVER o AS l0, sum(tok) OVER o - tok AS before
       FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
-r AS (SELECT *, greatest(768 - CASE WHEN led THEN t0 ELSE 0 END, 256) AS step, greatest(before - CASE WHEN led THEN t0 ELSE 0 END, 0) AS begins, led AND pos = 1 AS lead FROM q),
-w AS (SELECT *, CAST(floor(begins / step) AS BIGINT) AS win FROM r),
-e AS (SELECT *, max(begins + CASE WHEN lead THEN 0 ELSE tok END) OVER (PARTITION BY conv_id, win) - begins <= 256 AND NOT lead
-             AND win < max(win) OVER (PARTITION BY conv_id) AS again FROM w)
+r AS (SELECT *, CASE WHEN led THEN t0 ELSE 0 END AS lt, 768 - CASE WHEN led THEN t0 ELSE 0 END AS step, greatest(before - CASE WHEN led THEN t0 ELSE 0 END, 0) AS begins, led AND pos = 1 AS lead_ FROM q),
+s AS (SELECT *, CAST(floor(begins / step) AS BIGINT) AS slot, CASE WHEN lead_ THEN 0 ELSE tok END AS own FROM r),
+v AS (SELECT *, max(begins + own) OVER g > (slot + 1) * step AND count(*) FILTER (NOT lead_) OVER g > 1 AND pos = max(pos) OVER g AS alone FROM s WINDOW g AS (PARTITION BY conv_id, slot)),
+w AS (SELECT *, 2 * slot + CASE WHEN alone THEN 1 ELSE 0 END AS win FROM v),
+n AS (SELECT conv_id, win, min(begins) FILTER (NOT lead_) AS starts, sum(own) AS total FROM w GROUP BY conv_id, win),
+f AS (SELECT *, lead(starts) OVER o AS next_starts, lead(total) OVER o AS next_total FROM n WINDOW o AS (PARTITION BY conv_id ORDER BY win)),
+e AS (SELECT w.*, coalesce(next_starts - begins <= least(256, 1024 - lt - next_total) AND NOT lead_, false) AS again FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.win = f.win)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,

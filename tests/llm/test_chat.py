@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import chat
 
@@ -43,12 +45,38 @@ def test_round_trip(spark, budget, history):
 
 def test_windows_keep_system_and_history(spark):
     rows = [(1, 0, "system", "be kind"), *((1, t, "user" if t % 2 else "assistant", f"t{t} " + "w " * 40) for t in range(1, 40))]
-    found = sorted(chat.windows(make(spark, rows), budget=300, history=100).collect(), key=lambda r: r["window"])
+    found = sorted(chat.windows(make(spark, rows), budget=400, history=100).collect(), key=lambda r: r["window"])
     assert len(found) > 3
     for i, r in enumerate(found):
         assert r["formatted"].startswith("<|im_start|>system\nbe kind<|im_end|>\n")
-        assert r["repeated"] == (0 if i == 0 else 3)  # the system turn and two turns of 45 tokens
-        assert len(r["formatted"].split()) < 300 + 60
+        assert i == 0 or r["repeated"] in (1, 2, 3)  # the system turn and turns of 45 tokens, as the budget has room
+
+
+def tokens(turn):
+    return len(re.findall(r"\S+", turn[1])) + chat.OVERHEAD
+
+
+@pytest.mark.parametrize("budget,history", [(1024, 256), (200, 50), (60, 0)])
+def test_no_window_passes_the_budget(spark, budget, history):
+    """But for a single own turn that is too large with the system turn; turns of any size, system turns from small to above the budget."""
+    rng = random.Random(budget + 1)
+    rows = []
+    for c in range(40):
+        for t in range(rng.choice([1, 3, 12, 40])):
+            n = rng.choice([0, 1, budget // 20, budget // 4, budget // 2, int(budget * .58), budget - 5, budget, 2 * budget])
+            rows.append((c, t, "system" if t == 0 and c % 3 else rng.choice(["user", "assistant"]), "w " * n))
+    found = chat.windows(make(spark, rows), budget, history)
+    whole = chat.read_back(found.withColumn("repeated", F.lit(0))).select("conv_id", "window", F.col("turns").alias("given"))
+    seen = history_seen = 0
+    for r in found.join(whole, ["conv_id", "window"]).collect():
+        given = [(t["role"], t["text"]) for t in r["given"]]
+        sizes = [tokens(t) for t in given]
+        system = given[0][0] == "system"
+        own = [t for i, t in enumerate(given) if i >= r["repeated"] and not (system and i == 0)]
+        assert sum(sizes) <= budget or (len(own) == (not (system and len(given) == 1)) and r["repeated"] <= (1 if system else 0)), (sizes, r["repeated"])
+        seen += sum(sizes) > budget
+        history_seen += r["repeated"] > (1 if system else 0)
+    assert seen and bool(history_seen) == bool(history)
 
 
 def test_nulls_ties_repeats_and_order(spark):
