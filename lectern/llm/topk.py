@@ -1,13 +1,13 @@
 """Operator 7: exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
 Vectors become sparse integer rows (dimension, weight). Queries and candidates are dealt into blocks of bounded expected size
-by a hash of their id; each pair of a query block and a candidate block is one group of rows. In a group, the candidates'
+by a hash of their number; each pair of a query block and a candidate block is one group of rows. In a group, the candidates'
 postings are built per dimension, every query's weights scatter weighted postings into dense score arrays, and the best k of
 each query are selected by partition; the lists of all candidate blocks are then merged: per query within salted parts first,
 so that no group holds more than ``MERGE`` lists. Every query meets every candidate once and nothing is broadcast.
 
-Vectors that are null or hold null or non-finite components, and rows without id, take no part. Of rows with one id the
-smallest vector counts. Missing dimensions count as 0. Sums outside 64 bits are cut to its range. Empty tables give no rows.
+Vectors that are null or hold null or non-finite components, and rows without id, take no part. Rows that share an id are rows of
+their own: each is a query if its id is one, and a candidate of all others, those with its id included. Missing dimensions count as 0. Sums outside 64 bits are cut to its range. Empty tables give no rows.
 """
 from __future__ import annotations
 
@@ -18,19 +18,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import written
+
 CANDIDATES = 1 << 14
-QUERIES = 1 << 9
+QUERIES = 1 << 11
 AT_ONCE = 64  # queries whose dense scores are held at a time
 MERGE = 256
 LIMIT = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component, as double; one row per id."""
+    """(row, vec_id, v): a number of its own for every row, and floor(scale * x) of every component, as double. Written once, so that
+    a row keeps its number."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite).groupBy(F.col(vec_id).alias("vec_id")).agg(
-        F.min(embedding).alias("e"))
-    return rows.select("vec_id", F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"))
+    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite).select(
+        F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"),
+        F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"))
+    return written(rows, "vectors")[0]
 
 
 def matrix(rows: list[np.ndarray]) -> np.ndarray:
@@ -82,31 +86,32 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     c_blocks, q_blocks = max(1, -(-n["n"] // CANDIDATES)), max(1, -(-n["q"] // QUERIES))
     queries = rows.where(is_query).select(
-        "vec_id", "v", F.lit(True).alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb"),
+        "row", "vec_id", "v", F.lit(True).alias("query"), F.pmod(F.xxhash64("row"), F.lit(q_blocks)).alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"))
     candidates = rows.select(
-        "vec_id", "v", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).alias("cb"))
+        "row", "vec_id", "v", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
+        F.pmod(F.xxhash64("row"), F.lit(c_blocks)).alias("cb"))
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks, others = rows[rows["query"]], rows[~rows["query"]]
         q_ids, ids = asks["vec_id"].to_numpy(np.int64), others["vec_id"].to_numpy(np.int64)
+        q_rows, own_rows = asks["row"].to_numpy(np.int64), others["row"].to_numpy(np.int64)
         out, at = [], 0
         for scores in accumulate(matrix(list(asks["v"])), matrix(list(others["v"]))):
             for own in scores:
                 top = best(own, ids, k + 1)  # its own row may be among them
-                top = top[ids[top] != q_ids[at]][:k]
+                top = top[own_rows[top] != q_rows[at]][:k]
                 values = [max(-LIMIT - 1, min(LIMIT, int(x))) for x in own[top]]
-                out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[top], "score": np.array(values, np.int64), "cb": key[1]}))
+                out.append(pd.DataFrame({"query": q_rows[at], "query_id": q_ids[at], "vec_id": ids[top], "score": np.array(values, np.int64), "cb": key[1]}))
                 at += 1
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "cb": []}).astype(np.int64)
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": [], "cb": []}).astype(np.int64)
 
-    found = queries.union(candidates).groupBy("qb", "cb").applyInPandas(group, "query_id long, vec_id long, score long, cb long")
+    found = queries.union(candidates).groupBy("qb", "cb").applyInPandas(group, "query long, query_id long, vec_id long, score long, cb long")
     order = [F.desc("score"), "vec_id"]
     while c_blocks > MERGE:
         c_blocks = -(-c_blocks // MERGE)
         found = found.withColumn("cb", F.pmod("cb", F.lit(c_blocks)))
-        own = Window.partitionBy("query_id", "cb").orderBy(*order)
+        own = Window.partitionBy("query", "cb").orderBy(*order)
         found = found.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k).drop("r")
-    own = Window.partitionBy("query_id").orderBy(*order)
+    own = Window.partitionBy("query").orderBy(*order)
     return found.select("query_id", F.row_number().over(own).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -8,15 +8,12 @@ from lectern.llm import topk
 
 
 def brute(rows, k):
-    best = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            best[i] = min(best.get(i, v), v)
-    ints = {i: [math.floor(64 * x) for x in v] for i, v in best.items()}
+    """Every row by itself, whatever its id."""
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ints:
+    for at, (q, own) in enumerate(ints):
         if q % 20 == 0:
-            found = sorted((-max(-1 << 63, min((1 << 63) - 1, sum(a * b for a, b in zip(ints[q], w)))), i) for i, w in ints.items() if i != q)
+            found = sorted((-max(-1 << 63, min((1 << 63) - 1, sum(a * b for a, b in zip(own, w)))), i) for other, (i, w) in enumerate(ints) if other != at)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
