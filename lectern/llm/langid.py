@@ -34,9 +34,10 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def hashed(text: str) -> np.ndarray:
-    """Bins of all n-grams of one piece of text; empty if it holds no letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def hashed(text: str, seen: int = 0) -> np.ndarray:
+    """Bins of all n-grams of one piece of lower-cased text that do not lie within its first ``seen`` characters; empty if it holds
+    no letter."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     if not letter.any():
         return np.zeros(0, np.int64)
@@ -51,14 +52,18 @@ def hashed(text: str) -> np.ndarray:
             h = (h ^ codes[i:i + size]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             any_letter |= letter[i:i + size]
-        out.append((h & np.uint64(BINS - 1)).astype(np.int64)[any_letter])
+        new = max(0, seen + 1 - n)
+        out.append((h & np.uint64(BINS - 1)).astype(np.int64)[new:][any_letter[new:]])
     return np.concatenate(out)
 
 
-def pieces(text: str) -> Iterator[str]:
-    """Parts of a long text, so that memory stays bounded; the few n-grams over a cut are left out, in training as in use."""
+def pieces(text: str) -> Iterator[tuple[str, int]]:
+    """Parts of a lower-cased text, so that memory stays bounded, and how many characters of each the part before had too: enough for
+    the n-grams over the cut, so all n-grams of the text are in exactly one part."""
+    text, overlap = text.lower(), max(ORDERS) - 1
     for start in range(0, len(text), CHARS_AT_ONCE):
-        yield text[start:start + CHARS_AT_ONCE]
+        before = min(start, overlap)
+        yield text[start - before:start + CHARS_AT_ONCE], before
 
 
 @dataclass
@@ -69,8 +74,8 @@ class Model:
 
     def score(self, text: str | None) -> tuple[str, float]:
         total, seen = np.zeros(len(self.languages)), False
-        for piece in pieces(text or ""):
-            bins = hashed(piece)
+        for piece, before in pieces(text or ""):
+            bins = hashed(piece, before)
             if len(bins) and self.languages:
                 seen = True
                 total += self.weights.take(bins, axis=0).sum(axis=0, dtype=np.float64)
@@ -87,8 +92,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = counts.setdefault(lang, np.zeros(BINS, np.int64))
-            for piece in pieces(text):
-                own += np.bincount(hashed(piece), minlength=BINS)
+            for piece, before in pieces(text):
+                own += np.bincount(hashed(piece, before), minlength=BINS)
     for lang, own in counts.items():
         bins = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(own[bins])],
