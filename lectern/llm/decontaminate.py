@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import ascii_lower, same
 
 WINDOW = 10
-BITMAP_BITS = 1 << 18
+LEAST_BITS, MOST_BITS, BITS_PER_WINDOW = 1 << 18, 1 << 23, 16  # of the bitmap of window hashes
 BROADCAST_WINDOWS = 500_000
 
 
@@ -43,16 +43,24 @@ def _bit(index: str) -> str:
     return f"shiftleft(1L, cast({index} & 63 as int))"
 
 
-FIRST, SECOND = f"(x.h & {BITMAP_BITS - 1})", f"(shiftrightunsigned(x.h, 32) & {BITMAP_BITS - 1})"
 HASH = "xxhash64(slice(w, {i}, {n}))"
 
 
-def _bitmap(wins: DataFrame) -> Column:
-    """Two bits per window; a literal of fixed size."""
+def bitmap_bits(windows: int) -> int:
+    """At least sixteen bits for each window, so that few others pass; a power of two between fixed ends."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_PER_WINDOW * windows):
+        bits *= 2
+    return bits
+
+
+def _bitmap(wins: DataFrame, size: int) -> Column:
+    """Two bits per window; a literal of ``size`` bits."""
     hashed = wins.select(F.explode(F.array(F.struct(F.xxhash64(F.split("win", " ")).alias("h")))).alias("x"))
-    bits = hashed.select(F.explode(F.array(F.expr(FIRST), F.expr(SECOND))).alias("b"))
+    first, second = f"(x.h & {size - 1})", f"(shiftrightunsigned(x.h, 32) & {size - 1})"
+    bits = hashed.select(F.explode(F.array(F.expr(first), F.expr(second))).alias("b"))
     found = bits.groupBy(F.shiftright("b", 6).alias("slot")).agg(F.bit_or(F.expr(_bit("b"))).alias("v")).collect()
-    slots = [0] * (BITMAP_BITS // 64)
+    slots = [0] * (size // 64)
     for r in found:
         slots[r["slot"]] = r["v"]
     return F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
@@ -60,25 +68,27 @@ def _bitmap(wins: DataFrame) -> Column:
 
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` plus n_words, hit_words (array of word positions from 1 that any occurrence covers) and
-    hit_items (array of item ids, sorted as strings). One row per row."""
+    hit_items (array of item ids, sorted as strings). One row per row. Columns of these names are replaced, others may have any."""
     wins = windows(items, size)
     lengths = {r["len"]: r["n"] for r in wins.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = [c for c in docs.columns if c != text]
-    row = F.struct(F.lit(1).alias("one"), *keep).alias("row")
+    keep = [c for c in docs.columns if c not in (text, "n_words", "hit_words", "hit_items")]
+    row = F.struct(F.lit(1).alias("one"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row")
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)]
     cut = _with_words(docs, text, F.monotonically_increasing_id().alias("rid"), row)
     seen = [F.expr(f"if(size(w) >= {n}, transform(sequence(1, size(w) - {n - 1}), "
                    f"i -> struct(i as at, {n} as n, {HASH.format(i='i', n=n)} as h)), array())") for n in sorted(lengths)]
     if not seen:
-        return cut.select("row.*", F.size("w").cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hit_words"),
-                          F.expr("cast(array() as array<string>)").alias("hit_items")).drop("one")
-    bitmap = _bitmap(wins)
+        return cut.select(*own, F.size("w").cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hit_words"),
+                          F.expr("cast(array() as array<string>)").alias("hit_items"))
+    size_of = bitmap_bits(sum(lengths.values()))
+    bitmap = _bitmap(wins, size_of)
 
     def may_hit(x: Column) -> Column:
         def bit(index: Column) -> Column:
             slot = F.get(bitmap, F.shiftright(index, 6).cast("int"))
             return slot.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), index.bitwiseAND(F.lit(63)).cast("int"))) != 0
         h = x["h"]
-        last = F.lit(BITMAP_BITS - 1)
+        last = F.lit(size_of - 1)
         return bit(h.bitwiseAND(last)) & bit(F.shiftrightunsigned(h, 32).bitwiseAND(last))
 
     maybe = F.concat(*[F.filter(s, may_hit) for s in seen])
@@ -92,12 +102,15 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "tex
         F.collect_list(F.when(F.col("items").isNotNull(), F.struct("at", "n"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("hit_items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    return per.select("row.*", F.col("n_words").cast("long").alias("n_words"), covered.alias("hit_words"), "hit_items").drop("one")
+    return per.select(*own, F.col("n_words").cast("long").alias("n_words"), covered.alias("hit_words"), "hit_items")
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without the documents in which a window of an item occurs. Rows are told apart by doc_id and text."""
     keys = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.octet_length("text").alias("k3"), "text")
     bad = hits(keys, items, size).where(F.size("hit_words") > 0).select("k1", "k2", "k3").distinct()
-    marked = docs.withColumns({"__h": F.xxhash64("text"), "__n": F.octet_length("text")})
-    return marked.join(bad, same(marked, bad, {"doc_id": "k1", "__h": "k2", "__n": "k3"}), "left_anti").drop("__h", "__n")
+    given = {c: f"given_{i}" for i, c in enumerate(docs.columns)}
+    text, doc_id = F.col(given["text"]), F.col(given["doc_id"])
+    marked = docs.toDF(*given.values()).withColumns({"id": doc_id, "h": F.xxhash64(text), "n": F.octet_length(text)})
+    left = marked.join(bad, same(marked, bad, {"id": "k1", "h": "k2", "n": "k3"}), "left_anti")
+    return left.select(*[F.col(g).alias(c) for c, g in given.items()])

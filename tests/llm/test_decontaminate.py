@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from lectern.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,3 +60,16 @@ def test_clean_keeps_the_rest(spark, docs_of, messy):
     assert decontaminate.clean(messy, nothing).count() == messy.count()
     assert decontaminate.clean(messy.limit(0), table(spark, ITEMS)).count() == 0
     assert decontaminate.hits(messy, table(spark, ITEMS)).count() == messy.count()
+
+
+def test_clashing_columns_and_bitmap_sizes(spark, docs_of):
+    docs = docs_of([(1, "one two three four five six seven eight nine ten eleven")])
+    for c in ("one", "n_words", "hit_words", "row", "c0", "w", "len", "win", "items", "k1", "__h"):
+        docs = docs.withColumn(c, F.lit("x"))
+    items = spark.createDataFrame([(5, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    r = decontaminate.hits(docs, items).first()
+    assert (r["n_words"], len(r["hit_words"]), r["hit_items"], r["one"], r["c0"], r["row"]) == (11, 10, ["5"], "x", "x", "x")
+    assert decontaminate.hits(docs, items.limit(0)).first()["one"] == "x"
+    kept = decontaminate.clean(docs, items.limit(0))
+    assert kept.columns == docs.columns and kept.count() == 1 and decontaminate.clean(docs, items).count() == 0
+    assert [decontaminate.bitmap_bits(n) for n in (0, 1 << 14, (1 << 14) + 1, 500_000, 1 << 40)] == [1 << 18, 1 << 18, 1 << 19, 1 << 23, 1 << 23]
