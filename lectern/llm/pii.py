@@ -163,7 +163,8 @@ def calendar(y: int, m: int, d: int) -> date | None:
 
 
 def dated(m: re.Match, key: bytes) -> str | None:
-    """Year first, or day and month first; with slashes the month leads where that is a date. Two-digit parts stay so."""
+    """Year first, or day and month first; with slashes the month leads where that is a date. Days and months are written
+    with two digits, or as short as they are if one of the given ones has a single digit."""
     if m[1]:
         order, parts = "ymd", (m[1], m[3], m[4])
     else:
@@ -179,7 +180,8 @@ def dated(m: re.Match, key: bytes) -> str | None:
     n = day.toordinal() - first.toordinal()
     out = walk([n // side, n % side], [side, side], key, f"date{first.year}", lambda v: v[0] * side + v[1] < span)
     new = date.fromordinal(first.toordinal() + out[0] * side + out[1])
-    wide = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    digits = 1 if any(len(x) == 1 for k, x in zip(order, parts, strict=True) if k != "y") else 2
+    wide = {"y": f"{new.year:04d}", "m": f"{new.month:0{digits}d}", "d": f"{new.day:0{digits}d}"}
     mark = m[2] or m[6]
     return mark.join(wide[k] for k in order)
 
