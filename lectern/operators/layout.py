@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from .ordering import smallest
+from .staging import staged
 from .support import NEAREST, cover, near_pairs, survives  # noqa: F401
 
 LOW_CONFIDENCE = 0.9
@@ -101,9 +102,9 @@ def search_keys(answer: Column) -> Column:
 
 def key_hits(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[str], terms: str = "terms") -> DataFrame:
     """(ask, keys, line_no, ord, term, exact, read_as): lines that hold a term of the ask as written, or a likely
-    misreading of it. Both ways are equality joins on tokens of the page."""
+    misreading of it. Both ways are equality joins on tokens of the page; lines are cut into tokens once."""
     q = asks.select(*ask, *keys, F.posexplode(terms).alias("ord", "term"))
-    lt = line_tokens(lines, keys)
+    lt = staged(line_tokens(lines, keys), "line_tokens")
     wanted = q.select(*keys, F.col("term").alias("token")).distinct()
     pairs = near_pairs(wanted, lt.join(wanted.select(*keys).distinct(), keys, "left_semi"), keys, same=True)
     read = pairs.join(lt.withColumnRenamed("token", "b"), [*keys, "b"]).groupBy(*keys, "line_no", "a").agg(F.min(F.expr(NEAREST)).alias("m"))

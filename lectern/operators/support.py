@@ -14,26 +14,32 @@ RARE_CODES = "".join(chr(ord("A") + i) for i in range(len(RARE_FIRST)))  # sorts
 
 
 # ------------------------------------------------------------------------------------------ one answer, one page
+def _share(keys: Column, seen: Column) -> Column:
+    return F.when(F.size(keys) > 0, F.bround(F.size(F.filter(keys, lambda t: F.array_contains(seen, t))) / F.size(keys), 3))
+
+
+def _unseen(tokens: Column, seen: Column) -> Column:
+    return F.filter(tokens, lambda t: ~F.array_contains(seen, F.ltrim(t, F.lit("$"))))
+
+
+def _says(answer: Column) -> Column:
+    return answer.isNotNull() & ~T.is_not_found(answer)
+
+
 def reference_support(answer: Column, reference: Column) -> Column:
     """Share of the answer's content tokens printed in the reference; NULL for no answer or nothing to check."""
-    def share(k: Column, v: Column) -> Column:
-        return F.when(F.size(k) > 0, F.bround(F.size(F.filter(k, lambda t: F.array_contains(v, t))) / F.size(k), 3))
-
-    return F.when(answer.isNotNull() & ~T.is_not_found(answer), T.bind_all(share, T.keys(answer), T.vocab(reference)))
+    return F.when(_says(answer), T.bind_all(_share, T.keys(answer), T.vocab(reference)))
 
 
 def missing_from_reference(answer: Column, reference: Column) -> Column:
     """Content tokens (as in the answer, currency sign kept) that the reference does not have."""
     none = F.array().cast("array<string>")
-    gone = T.bind_all(lambda k, v: F.filter(k, lambda t: ~F.array_contains(v, F.ltrim(t, F.lit("$")))),
-                      T.content_tokens(answer), T.vocab(reference))
-    return F.when(answer.isNotNull() & ~T.is_not_found(answer), gone).otherwise(none)
+    return F.when(_says(answer), T.bind_all(_unseen, T.content_tokens(answer), T.vocab(reference))).otherwise(none)
 
 
 def cover(answer: Column, text: Column) -> Column:
     """Like ``reference_support`` without the not-found rule."""
-    return T.bind_all(lambda k, v: F.when(F.size(k) > 0, F.bround(
-        F.size(F.filter(k, lambda t: F.array_contains(v, t))) / F.size(k), 3)), T.keys(answer), T.vocab(text))
+    return T.bind_all(_share, T.keys(answer), T.vocab(text))
 
 
 def survives(original: Column, again: Column) -> Column:
@@ -152,15 +158,17 @@ def read_accuracy(similarity: DataFrame, keys: list[str]) -> DataFrame:
 def scorecard(asks: DataFrame, margin: float = 0.1) -> DataFrame:
     """Which answer the reference supports. Needs vlm_answer, ocr_answer, vlm_error, ocr_error, vlm_ms, ocr_ms, reference
     and vlm_ran, ocr_ran; adds the sides' support and missing words, the faster side and the winner."""
-    out = asks
     has_ref = F.coalesce(F.col("reference"), F.lit("")) != ""
+    # The reference's words are taken once, by a generator, and looked up for both sides.
+    out = asks.withColumn("_seen", F.explode(F.array(F.when(has_ref, T.vocab(F.col("reference"))))))
+    none = F.array().cast("array<string>")
     for s in ("vlm", "ocr"):
         ans, err = F.col(f"{s}_answer"), F.coalesce(F.col(f"{s}_error"), F.lit("")) != ""
         answered = ans.isNotNull() & ~err & ~T.is_not_found(ans)
         out = out.withColumn(f"{s}_answered", F.coalesce(answered, F.lit(False)))
-        out = out.withColumn(f"{s}_support", F.when(F.col(f"{s}_answered") & has_ref, reference_support(ans, F.col("reference"))))
-        out = out.withColumn(f"{s}_missing", F.when(F.col(f"{s}_answered") & has_ref, missing_from_reference(ans, F.col("reference")))
-                             .otherwise(F.array().cast("array<string>")))
+        checked = F.col(f"{s}_answered") & has_ref
+        out = out.withColumn(f"{s}_support", F.when(checked, T.bind(T.keys(ans), lambda k: _share(k, F.col("_seen")))))
+        out = out.withColumn(f"{s}_missing", F.when(checked, _unseen(T.content_tokens(ans), F.col("_seen"))).otherwise(none))
     a, b = F.col("vlm_support"), F.col("ocr_support")
     no_err = ((F.coalesce("vlm_error", F.lit("")) == "") & (F.coalesce("ocr_error", F.lit("")) == ""))
     timed = (F.coalesce("vlm_ms", F.lit(0.0)) != 0) & (F.coalesce("ocr_ms", F.lit(0.0)) != 0)
@@ -170,4 +178,4 @@ def scorecard(asks: DataFrame, margin: float = 0.1) -> DataFrame:
     winner = (F.when(~ran, F.lit(None).cast("string")).when(~has_ref, "unknown").when(a.isNull() & b.isNull(), "tie")
               .when(yes(b.isNull() & (a >= 0.5)) | yes(a - b >= margin), "vlm")
               .when(yes(a.isNull() & (b >= 0.5)) | yes(b - a >= margin), "ocr").otherwise("tie"))
-    return out.withColumn("faster", faster).withColumn("winner", winner)
+    return out.drop("_seen").withColumn("faster", faster).withColumn("winner", winner)
