@@ -222,7 +222,7 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
     # The sample is that of the lowest hashes; rows whose hash cannot be among them are left out first, and copies of a text are one, so the
     # driver gets about three times the sample at most, however many tasks there are. Only the start of the training depends on it.
     short = texts.where(F.octet_length("ids") <= 2 * SAMPLE_TOKENS).select("ids", F.xxhash64("ids").alias("h"))
-    share = min(1.0, 3 * SAMPLE / max(1, short.count()))
+    share = min(1.0, 3 * SAMPLE / max(1, int(lex.counts[lex.end])))  # one end for each training text
     drawn = short if share == 1.0 else short.where(F.col("h") < int(-(1 << 63) + share * (1 << 64)))
     sample = drawn.groupBy("h").agg(F.first("ids").alias("ids")).orderBy("h").limit(SAMPLE).collect()
     m = first_model(lex, [np.frombuffer(r["ids"], np.uint16) for r in sample])
