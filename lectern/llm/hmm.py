@@ -126,15 +126,16 @@ def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     return Lexicon(known, int(sizes.sum()), int(kinds.sum()), sizes, kinds)
 
 
-def batches_of(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(positions in the list, classes by step and sequence, sequences alive at each step), longest first."""
+def batches_of(sequences: list[np.ndarray], pad: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(positions in the list, classes by step and sequence, sequences alive at each step), longest first; ``pad`` is the class
+    of the cells behind a sequence's end."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest = len(sequences[order[at]])
         take = order[at:at + max(1, CELLS // max(1, longest))]
         at += len(take)
-        ids = np.zeros((longest, len(take)), np.int64)
+        ids = np.full((longest, len(take)), pad, np.int64)
         lengths = np.array([len(sequences[i]) for i in take])
         for column, i in enumerate(take):
             ids[:lengths[column], column] = sequences[i]
@@ -142,51 +143,63 @@ def batches_of(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndar
         yield take, ids, alive
 
 
-def forward(m: Model, ids: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list, list]:
-    """log10 likelihood of each sequence; the scaled forward values and scales of each step if they are to be kept."""
-    logs, alphas, scales = np.zeros(ids.shape[1]), [], []
-    alpha = np.broadcast_to(m.start, (ids.shape[1], len(m.start)))
-    for t in range(len(ids)):
-        n = alive[t]
-        alpha = (alpha[:n] @ m.move if t else alpha[:n]) * m.emit[ids[t, :n]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        logs[:n] += np.log10(scale)
-        if keep:
-            alphas.append(alpha)
-            scales.append(scale)
-    return logs, alphas, scales
+def emissions(m: Model) -> np.ndarray:
+    """P(class | state) by state and class, with a last class that no state emits, for the cells behind a sequence's end."""
+    return np.ascontiguousarray(np.concatenate([m.emit, np.zeros((1, len(m.start)))]).T)
+
+
+def forward(m: Model, emitting: np.ndarray, alive: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values (states x steps x sequences) and scales (steps x sequences) for the emission probabilities of some
+    steps; ``before`` are the values of the step before the first one, none at the start of the sequences."""
+    alphas, scales = np.zeros_like(emitting), np.ones(emitting.shape[1:])
+    move = np.ascontiguousarray(m.move.T)
+    for t, n in enumerate(alive):
+        now, scale = alphas[:, t, :n], scales[t, :n]
+        if before is None:
+            np.multiply(m.start[:, None], emitting[:, t, :n], out=now)
+        else:
+            np.matmul(move, before[:, :n], out=now)
+            now *= emitting[:, t, :n]
+        np.add.reduce(now, axis=0, out=scale)
+        now /= scale
+        before = now
+    return alphas, scales
 
 
 def likelihoods(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(sequences))
-    for take, ids, alive in batches_of(sequences):
-        out[take] = forward(m, ids, alive)[0]
+    """log10 likelihood of each sequence."""
+    out, table = np.zeros(len(sequences)), emissions(m)
+    for take, ids, alive in batches_of(sequences, len(m.emit)):
+        before, steps = None, max(1, CELLS // len(take))  # a long text is walked in pieces that hand their last values on
+        for at in range(0, len(ids), steps):
+            alphas, scales = forward(m, np.take(table, ids[at:at + steps], axis=1), alive[at:at + steps], before)
+            out[take] += np.log10(scales).sum(axis=0)
+            before = alphas[:, -1].copy()
     return out
 
 
 def expected(m: Model, sequences: list[np.ndarray], emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
     """Adds the expected counts of the sequences to the three arrays."""
     cut = [s[i:i + LONGEST] for s in sequences for i in range(0, len(s), LONGEST)]
-    for _, ids, alive in batches_of(cut):
-        _, alphas, scales = forward(m, ids, alive, keep=True)
-        gammas, ahead, behind = [], [], []
-        beta = np.ones((alive[-1], len(m.start)))
+    table, states = emissions(m), len(m.start)
+    for _, ids, alive in batches_of(cut, len(m.emit)):
+        width = ids.shape[1]
+        into = np.take(table, ids, axis=1)
+        alphas, scales = forward(m, into, alive)
+        into /= scales
+        gammas, beta = np.zeros_like(alphas), np.ones((states, width))
         for t in range(len(ids) - 1, -1, -1):
-            gammas.append(alphas[t] * beta)
+            n = alive[t]
+            np.multiply(alphas[:, t, :n], beta[:, :n], out=gammas[:, t, :n])
             if t:
-                into = m.emit[ids[t, :alive[t]]] * beta / scales[t][:, None]
-                ahead.append(into)
-                behind.append(alphas[t - 1][:alive[t]])
-                beta = np.ones((alive[t - 1], len(m.start)))
-                beta[:alive[t]] = into @ m.move.T
-        started += gammas[-1].sum(axis=0)
-        if ahead:
-            moved += (np.concatenate(behind).T @ np.concatenate(ahead)) * m.move
-        gamma = np.concatenate(gammas)
-        seen = np.concatenate([ids[t, :alive[t]] for t in range(len(ids) - 1, -1, -1)])
-        for k in range(len(m.start)):
-            emitted[:, k] += np.bincount(seen, gamma[:, k], minlength=len(emitted))
+                ahead = into[:, t, :n]
+                ahead *= beta[:, :n]
+                np.matmul(m.move, ahead, out=beta[:, :n])
+        started += gammas[:, 0].sum(axis=1)
+        moved += (alphas.reshape(states, -1)[:, :-width] @ into.reshape(states, -1)[:, width:].T) * m.move
+        seen = ids.ravel()
+        for k in range(states):
+            emitted[:, k] += np.bincount(seen, gammas[k].ravel(), minlength=len(emitted) + 1)[:-1]
 
 
 def renewed(lex: Lexicon, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> Model:
