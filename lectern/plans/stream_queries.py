@@ -12,7 +12,8 @@ from .registry import query
 
 
 def _stream(spark, sf, name):
-    return M.read_folder(spark, sf, X.table(spark, sf, name).schema, f"{name}.parquet")
+    """A table as a stream, be it one file or a folder of files: a pattern that only its own name fits finds both."""
+    return M.read_folder(spark, f"{sf}/{name}[.]parquet", X.table(spark, sf, name).schema)
 
 
 def _events(spark, sf):

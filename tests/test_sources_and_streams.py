@@ -160,6 +160,23 @@ def test_markers_close_windows_and_sessions(spark, tmp_path):
     assert sorted((r.user_id, r.n) for r in s.collect()) == [(1, 1), (1, 6), (2, 6)]
 
 
+def _folder_table(spark, tmp_path):
+    """Documents as a folder of two files, as large tables are."""
+    rows = [(i, t, "en", "s%d" % (i % 2), len(t)) for i, t in enumerate(["a b c", "b c d", "a b c", "c d e", "d e f", "a b c", "x y z"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def test_uploads_of_a_table_in_several_files(spark, tmp_path):
+    import hashlib
+
+    from lectern.plans import stream_queries as Z
+    sf, rows = _folder_table(spark, tmp_path)
+    known = {t for i, t, *_ in rows if i % 5 == 0}
+    want = {hashlib.sha256(t.encode()).hexdigest() for _, t, *_ in rows if t not in known}
+    assert sorted(r.sha256 for r in Z.new_uploads(spark, sf).collect()) == sorted(want)
+
+
 def test_functions_in_sql_equal_their_columns(spark):
     odd = [None, "", " \n ", "Not found in  document!", "1. Paid $1,234.50 (5%)\n- on 2019-03-04; the 'big' ship\u2019s o.k.", "\ufb01ne\u00a0\uff11\u00b2 \u00c9T\u00c9 \u2026", "a/b\\c'd"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in odd], "text string"))
