@@ -183,6 +183,13 @@ def test_scoring_of_a_table_in_several_files(spark, tmp_path):
     assert sorted(r.idx for r in Z.resumable_scoring(spark, sf).collect()) == [i for i, *_ in rows]
 
 
+def test_arrivals_of_a_table_in_several_files(spark, tmp_path):
+    from lectern.plans import stream_queries as Z
+    sf, rows = _folder_table(spark, tmp_path)
+    want = {(source, i // 20 % 50, "careful" if i % 2 else "fast") for i, _, _, source, _ in rows}
+    assert sorted(tuple(r) for r in Z.page_arrivals(spark, sf).collect()) == sorted(want)
+
+
 def test_functions_in_sql_equal_their_columns(spark):
     odd = [None, "", " \n ", "Not found in  document!", "1. Paid $1,234.50 (5%)\n- on 2019-03-04; the 'big' ship\u2019s o.k.", "\ufb01ne\u00a0\uff11\u00b2 \u00c9T\u00c9 \u2026", "a/b\\c'd"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in odd], "text string"))
