@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from .staging import staged
 
 
 def _comparable(asks: DataFrame, a: str, b: str) -> DataFrame:
@@ -103,7 +104,8 @@ def claim_pairs(asks: DataFrame, key: str = "qid", a: str = "vlm", b: str = "ocr
 def verdicts(asks: DataFrame, key: str = "qid", a: str = "vlm", b: str = "ocr") -> DataFrame:
     """Verdict and agreement per question: consistent, partial, conflict or disagree; NULL-sided questions have none. Also
     the number of claims only one side makes. Only label counts are needed, so claim texts never leave the scan."""
-    both = _comparable(asks, a, b).select(
+    asks = staged(_comparable(asks, a, b).select(key, a, b), "answers")  # read several times below, and what makes them may cost much
+    both = asks.select(
         key, T.is_not_found(F.col(a)).alias("_na"), T.is_not_found(F.col(b)).alias("_nb"),
         F.size(T.split_claims(F.col(a))).alias("_ca"), F.size(T.split_claims(F.col(b))).alias("_cb"))
     picks = best_matches(asks, key, a, b).groupBy(key).agg(
