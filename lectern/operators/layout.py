@@ -13,7 +13,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from .ordering import smallest
 from .staging import staged
-from .support import NEAREST, cover, near_pairs, survives  # noqa: F401
+from .support import NEAREST, cover, near_words, survives  # noqa: F401
 
 LOW_CONFIDENCE = 0.9
 
@@ -102,12 +102,11 @@ def search_keys(answer: Column) -> Column:
 
 def key_hits(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[str], terms: str = "terms") -> DataFrame:
     """(ask, keys, line_no, ord, term, exact, read_as): lines that hold a term of the ask as written, or a likely
-    misreading of it. Both ways are equality joins on tokens of the page; lines are cut into tokens once."""
+    misreading of it. A line meets the words asked of its page before it is cut into tokens; only hits are shuffled after that."""
     q = asks.select(*ask, *keys, F.posexplode(terms).alias("ord", "term"))
-    lt = staged(line_tokens(lines, keys), "line_tokens")
-    wanted = q.select(*keys, F.col("term").alias("token")).distinct()
-    pairs = near_pairs(wanted, lt.join(wanted.select(*keys).distinct(), keys, "left_semi"), keys, same=True)
-    read = pairs.join(lt.withColumnRenamed("token", "b"), [*keys, "b"]).groupBy(*keys, "line_no", "a").agg(F.min(F.expr(NEAREST)).alias("m"))
+    wanted = q.groupBy(*keys).agg(F.collect_set("term").alias("_terms")).hint("shuffle_hash")
+    words = lines.select(*keys, "line_no", "text").join(wanted, keys).select(*keys, "line_no", "_terms", T.vocab(F.col("text")).alias("_words"))
+    read = near_words(words, [*keys, "line_no"], "_terms", "_words", same=True).groupBy(*keys, "line_no", "a").agg(F.min(F.expr(NEAREST)).alias("m"))
     read = read.select(*keys, "line_no", F.col("a").alias("term"), (F.col("m.k") == -2).alias("exact"), F.when(F.col("m.k") > -2, F.col("m.b")).alias("read_as"))
     return q.join(read, [*keys, "term"]).select(*ask, *keys, "line_no", "ord", "term", "exact", "read_as")
 
@@ -116,7 +115,7 @@ def locate_answer(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[
     """The line of the page that holds most of an answer: words as written count 1, likely misreadings 0.75. When no line
     holds half of them, the first line that contains the answer with its spaces lost. One row per located answer:
     (ask, keys, line_no, text, conf, layout, small, misreads, merged, box)."""
-    q = asks.select(*ask, *keys, F.col(answer).alias("_a"), search_keys(F.col(answer)).alias("terms"))
+    q = staged(asks.select(*ask, *keys, F.col(answer).alias("_a"), search_keys(F.col(answer)).alias("terms")), "searched")
     hits = key_hits(q.where(F.size("terms") > 0), lines, ask, keys)
     per_line = hits.groupBy(*ask, *keys, "line_no").agg(
         F.sum(F.when(F.col("exact"), 1.0).otherwise(0.75)).alias("hits"),
@@ -125,12 +124,12 @@ def locate_answer(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[
     cand = per_line.join(lines.select(*keys, "line_no", "score"), [*keys, "line_no"])
     best = cand.groupBy(*ask, *keys).agg(F.max_by(
         F.struct("line_no", "hits", "_m"), F.struct("hits", "score", (-F.col("line_no")).alias("o"))).alias("m"))
-    located = q.join(best, [*ask, *keys], "left")
+    located = staged(q.join(best, [*ask, *keys], "left"), "located")
     good = F.coalesce(F.col("m.hits") / F.size("terms") >= 0.5, F.lit(False))
     located = located.withColumn("_ok", good)
     lost = located.where(~F.col("_ok") & (F.size("terms") > 0)).select(*ask, *keys, T.alnum(F.col("_a")).alias("_flat")).where(F.length("_flat") >= 4)
-    glued = lost.join(lines.select(*keys, "line_no", T.alnum(F.col("text")).alias("_lt")), keys).where(
-        F.contains("_lt", F.col("_flat"))).groupBy(*ask, *keys).agg(F.min("line_no").alias("_glued"))
+    glued = lines.select(*keys, "line_no", "text").join(lost.hint("shuffle_hash"), keys).where(
+        F.contains(T.alnum(F.col("text")), F.col("_flat"))).groupBy(*ask, *keys).agg(F.min("line_no").alias("_glued"))
     none = F.array().cast("array<string>")
     picked = located.join(glued, [*ask, *keys], "left").select(
         *ask, *keys, F.when(F.col("_ok"), F.col("m.line_no")).otherwise(F.col("_glued")).alias("line_no"),
