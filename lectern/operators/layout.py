@@ -64,6 +64,12 @@ def mean_confidence(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ layout
+def _four_places(x: Column) -> Column:
+    """Four places, halves to even, all in doubles as the SQL has it: a half is what the multiplication makes one, whatever the shortest
+    decimal form of ``x`` says."""
+    return F.rint(x * 10000.0) / 10000.0
+
+
 def with_layout(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Adds med_h, width, height, layout, small and the normalised box. Centres are measured in median heights, so
     neighbours on the same and on nearby lines are range frames along the page, not a join of the page with itself."""
@@ -75,7 +81,7 @@ def with_layout(lines: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("_band", F.count("*").over(along.rangeBetween(-599999, 599999)))
     out = out.withColumn("_near", F.count("*").over(along.rangeBetween(-2999999, 2999999)))
     layout = F.when((F.col("_band") >= 3) & (F.col("_near") - F.col("_band") >= 3), "table").when(F.col("_band") >= 2, "form").otherwise("text")
-    frac = [F.bround(F.col(c) / F.col(s), 4) for c, s in (("x0", "width"), ("y0", "height"), ("x1", "width"), ("y1", "height"))]
+    frac = [_four_places(F.col(c) / F.col(s)) for c, s in (("x0", "width"), ("y0", "height"), ("x1", "width"), ("y1", "height"))]
     return out.select(*lines.columns, "med_h", "width", "height", layout.alias("layout"),
                       (F.col("y1") - F.col("y0") < 0.75 * F.col("med_h")).alias("small"), F.array(*frac).alias("box"))
 
@@ -180,7 +186,7 @@ def reference_evidence(asks: DataFrame, words: DataFrame, ask: list[str], doc: s
     hits = top.select(*ask, "keys_printed", F.posexplode("_best").alias("rank", "b")).select(
         *ask, F.col(f"b.{page}").alias(page), "keys_printed", "rank", "b.line_no", "b.key").join(asks.select(*ask, doc), ask)
     size = words.groupBy(doc, page).agg(F.greatest(F.max("x1"), F.lit(1.0)).alias("_w"), F.greatest(F.max("y1"), F.lit(1.0)).alias("_h"))
-    part = [F.bround(F.col(c) / F.col(s), 4) for c, s in (("x0", "_w"), ("y0", "_h"), ("x1", "_w"), ("y1", "_h"))]
+    part = [_four_places(F.col(c) / F.col(s)) for c, s in (("x0", "_w"), ("y0", "_h"), ("x1", "_w"), ("y1", "_h"))]
     return hits.join(words.select(doc, page, "line_no", "x0", "y0", "x1", "y1"), [doc, page, "line_no"]).join(size, [doc, page]).select(
         *ask, page, "keys_printed", "rank", "line_no", "key", F.array(*part).alias("box"))
 
