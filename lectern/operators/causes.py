@@ -51,9 +51,23 @@ def _n_words(s: Column) -> Column:
     return F.size(F.array_remove(F.split(F.btrim(F.regexp_replace(s, r"(?U)\s+", " ")), " "), ""))
 
 
+def _unsettled(side: str) -> Column:
+    p, sc = F.col(f"{side}_pred"), F.col(f"{side}_scores")
+    return ~S.is_right(sc) & (sc["abstain"] == 0) & (sc["error"] == 0) & p.isNotNull()
+
+
+def printed(side: str) -> Column:
+    """Whether the text has every word of a wrong answer; NULL where no rule asks for it."""
+    def all_there(words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.when(T.may_hold(F.col("ocr_text"), words), F.size(F.array_except(words, T.vocab(F.col("ocr_text")))) == 0).otherwise(False))
+
+    return F.when(_unsettled(side), T.bind(F.array_distinct(T.keys(F.col(f"{side}_pred"))), all_there))
+
+
 def side_cause(items: DataFrame, side: str) -> DataFrame:
-    """Adds ``<side>_cause``. Items carry gold, <side>_pred, <side>_scores, ocr_text, answer_in_ocr, and the place of the
-    answer: located, misreads, merged. The rules are ordered; what they look at is computed once per item."""
+    """Adds ``<side>_cause``. Items carry gold, <side>_pred, <side>_scores, answer_in_ocr, ocr_text (or what ``printed`` makes of it, as
+    ``_<side>_printed``), and the place of the answer: located, misreads, merged. The rules are ordered; what they look at is computed once
+    per item."""
     p, sc = F.col(f"{side}_pred"), F.col(f"{side}_scores")
     in_ocr = F.coalesce("answer_in_ocr", F.lit(False))
     trouble = (F.size(F.coalesce("misreads", _none())) > 0) | F.coalesce("merged", F.lit(False))
@@ -66,14 +80,14 @@ def side_cause(items: DataFrame, side: str) -> DataFrame:
         "_same": F.exists("gold", lambda g: T.alnum(g) == F.col("_pa")), "_nw": _n_words(p), "_gw": _n_words(F.col("_g")),
         "_np": F.array_sort(F.array_distinct(T.numeric_strings(p))), "_ng": F.array_sort(F.array_distinct(T.numeric_strings(F.col("_g"))))})
     # Expensive looks are taken only where the rules before them can still fall through.
-    wrong = ~S.is_right(sc) & (sc["abstain"] == 0) & (sc["error"] == 0) & p.isNotNull()
+    wrong = _unsettled(side)
     same_length = F.length("_fg") == F.length("_fp")
     edited = F.when(same_length, 2 * F.size(M.char_pairs(F.col("_fg"), F.col("_fp")))).otherwise(
         F.length("_fg") + F.length("_fp") - 2 * M.lcs_length(F.col("_fg"), F.col("_fp")))
     d = d.withColumns({
         "_look": F.when(wrong, M.is_lookalike(F.col("_fg"), F.col("_fp"))),
         "_edited": F.when(wrong & (F.lit(side) == "vlm") & (sc["anls"] > 0), edited),
-        "_printed": F.when(wrong & (F.size("_pk") > 0), F.size(F.array_except("_pk", T.vocab(F.col("ocr_text")))) == 0)})
+        "_printed": F.col(f"_{side}_printed") if f"_{side}_printed" in items.columns else printed(side)})
     is_ocr, is_vlm = F.lit(side == "ocr"), F.lit(side == "vlm")
     absent, garbled = F.col("_absent"), F.col("_garbled")
     reread = F.when(F.coalesce("merged", F.lit(False)), "spacing").otherwise("misread")
@@ -97,7 +111,7 @@ def side_cause(items: DataFrame, side: str) -> DataFrame:
 
 def item_diagnosis(items: DataFrame, lines: DataFrame, keys: list[str], page: list[str]) -> DataFrame:
     """Adds located, conf, layout, small, misreads, merged, bucket, vlm_cause, ocr_cause, better to scored items. Every gold
-    is looked up on the item's page; the first one that stands there as written is taken, else the last gold's place."""
+    is looked up on the item's page; the first one that stands there as written is taken, else the last gold's place. ``ocr_text`` is left out."""
     golds = items.select(*keys, *page, F.size("gold").alias("_ng"), F.posexplode("gold").alias("_no", "answer"))
     loc = locate_answer(golds, lines, [*keys, "_no", "_ng"], page)
     place = F.struct("conf", "layout", "small", "misreads", "merged")
@@ -105,11 +119,13 @@ def item_diagnosis(items: DataFrame, lines: DataFrame, keys: list[str], page: li
     last = F.when(F.col("_no") == F.col("_ng") - 1, place)
     pick = loc.groupBy(*keys).agg(F.min_by(place, clean).alias("_c"), F.min(clean).alias("_any"), F.max(last).alias("_l"))
     pick = pick.select(*keys, F.when(F.col("_any").isNotNull(), F.col("_c")).otherwise(F.col("_l")).alias("_p"))
-    out = items.join(pick, keys, "left").select(*items.columns, F.col("_p").isNotNull().alias("located"), "_p.*")
+    # Texts stay where they are read: only what the rules want to know of them goes through the join.
+    slim = items.withColumns({f"_{s}_printed": printed(s) for s in ("vlm", "ocr")}).drop("ocr_text")
+    out = slim.join(pick, keys, "left").select(*slim.columns, F.col("_p").isNotNull().alias("located"), "_p.*")
     out = out.withColumn("bucket", reading_bucket(F.col("located"), F.col("misreads"), F.col("merged"), F.col("conf"), F.col("answer_in_ocr")))
     v, o = S.is_right(F.col("vlm_scores")), S.is_right(F.col("ocr_scores"))
     out = side_cause(side_cause(out, "vlm"), "ocr")
-    return out.withColumn("better", F.when(v & o, "both").when(v, "vlm").when(o, "ocr").otherwise("neither"))
+    return out.drop("_vlm_printed", "_ocr_printed").withColumn("better", F.when(v & o, "both").when(v, "vlm").when(o, "ocr").otherwise("neither"))
 
 
 # ------------------------------------------------------------------------------------------------ runs

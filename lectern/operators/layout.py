@@ -122,14 +122,22 @@ def locate_answer(asks: DataFrame, lines: DataFrame, ask: list[str], keys: list[
     holds half of them, the first line that contains the answer with its spaces lost. One row per located answer:
     (ask, keys, line_no, text, conf, layout, small, misreads, merged, box)."""
     q = staged(asks.select(*ask, *keys, F.col(answer).alias("_a"), search_keys(F.col(answer)).alias("terms")), "searched")
-    hits = key_hits(q.where(F.size("terms") > 0), lines, ask, keys)
+    # A line that has all words as written cannot be beaten, and to find it no line without them has to be cut into tokens. Misreadings
+    # are looked for only where there is none.
+    asked = q.where(F.size("terms") > 0).select(*ask, *keys, "terms")
+    there = lines.select(*keys, "line_no", "text", "score").join(asked.hint("shuffle_hash"), keys).where(T.may_hold(F.col("text"), F.col("terms")))
+    there = there.where(F.size(F.array_except("terms", T.vocab(F.col("text")))) == 0)
+    reads = F.array().cast("array<struct<ord:int,r:string>>")
+    whole = staged(there.groupBy(*ask, *keys).agg(F.max_by(
+        F.struct("line_no", F.size("terms").cast("double").alias("hits"), reads.alias("_m")), F.struct("score", (-F.col("line_no")).alias("o"))).alias("m")), "whole")
+    hits = key_hits(asked.join(whole.select(*ask, *keys), [*ask, *keys], "left_anti"), lines, ask, keys)
     per_line = hits.groupBy(*ask, *keys, "line_no").agg(
         F.sum(F.when(F.col("exact"), 1.0).otherwise(0.75)).alias("hits"),
         F.array_sort(F.collect_list(F.when(~F.col("exact"), F.struct("ord", F.concat_ws(">", "term", "read_as").alias("r"))))).alias("_m"))
     laid = with_layout(lines, keys)
     cand = per_line.join(lines.select(*keys, "line_no", "score"), [*keys, "line_no"])
     best = cand.groupBy(*ask, *keys).agg(F.max_by(
-        F.struct("line_no", "hits", "_m"), F.struct("hits", "score", (-F.col("line_no")).alias("o"))).alias("m"))
+        F.struct("line_no", "hits", "_m"), F.struct("hits", "score", (-F.col("line_no")).alias("o"))).alias("m")).unionByName(whole)
     located = staged(q.join(best, [*ask, *keys], "left"), "located")
     good = F.coalesce(F.col("m.hits") / F.size("terms") >= 0.5, F.lit(False))
     located = located.withColumn("_ok", good)
