@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from ..functions import text as T
 from .joins import join_few
 from .ordering import running, smallest
@@ -74,8 +75,10 @@ def _weighted(pages: DataFrame, queries: DataFrame, doc: str, page: str, text: s
 
 
 def _summed(parts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Scores, rounded so that copies of a page tie whatever order their terms were added in."""
-    return parts.groupBy(*keys).agg(F.round(F.sum(F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 10).alias(name))
+    """Scores, rounded so that copies of a page tie. Terms are added as decimals, since a sum of doubles depends on the order in which a
+    shuffle delivers them, and near a rounding edge the copies of a page would fall apart."""
+    part = (F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))).cast("decimal(28,18)")
+    return parts.groupBy(*keys).agg(S.rounded(F.sum(part).cast("double"), 10).alias(name))
 
 
 def bm25_scores(pages: DataFrame, queries: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
