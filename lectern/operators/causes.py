@@ -109,18 +109,24 @@ def side_cause(items: DataFrame, side: str) -> DataFrame:
     return d.withColumn(f"{side}_cause", cause).select(*items.columns, f"{side}_cause")
 
 
+def without_texts(items: DataFrame) -> DataFrame:
+    """Scored items, stored once, with what the rules want to know of ``ocr_text`` in its place: no later step reads the texts again, and none
+    shuffles them."""
+    return staged(items.withColumns({f"_{s}_printed": printed(s) for s in ("vlm", "ocr")}).drop("ocr_text"), "items")
+
+
 def item_diagnosis(items: DataFrame, lines: DataFrame, keys: list[str], page: list[str]) -> DataFrame:
     """Adds located, conf, layout, small, misreads, merged, bucket, vlm_cause, ocr_cause, better to scored items. Every gold
-    is looked up on the item's page; the first one that stands there as written is taken, else the last gold's place. ``ocr_text`` is left out."""
-    golds = items.select(*keys, *page, F.size("gold").alias("_ng"), F.posexplode("gold").alias("_no", "answer"))
+    is looked up on the item's page; the first one that stands there as written is taken, else the last gold's place. ``ocr_text`` is left out;
+    items may have gone through ``without_texts``."""
+    slim = without_texts(items) if "ocr_text" in items.columns else items
+    golds = slim.select(*keys, *page, F.size("gold").alias("_ng"), F.posexplode("gold").alias("_no", "answer"))
     loc = locate_answer(golds, lines, [*keys, "_no", "_ng"], page)
     place = F.struct("conf", "layout", "small", "misreads", "merged")
     clean = F.when(F.size("misreads") == 0, F.col("_no"))
     last = F.when(F.col("_no") == F.col("_ng") - 1, place)
     pick = loc.groupBy(*keys).agg(F.min_by(place, clean).alias("_c"), F.min(clean).alias("_any"), F.max(last).alias("_l"))
     pick = pick.select(*keys, F.when(F.col("_any").isNotNull(), F.col("_c")).otherwise(F.col("_l")).alias("_p"))
-    # Texts stay where they are read: only what the rules want to know of them goes through the join.
-    slim = items.withColumns({f"_{s}_printed": printed(s) for s in ("vlm", "ocr")}).drop("ocr_text")
     out = slim.join(pick, keys, "left").select(*slim.columns, F.col("_p").isNotNull().alias("located"), "_p.*")
     out = out.withColumn("bucket", reading_bucket(F.col("located"), F.col("misreads"), F.col("merged"), F.col("conf"), F.col("answer_in_ocr")))
     v, o = S.is_right(F.col("vlm_scores")), S.is_right(F.col("ocr_scores"))

@@ -140,8 +140,8 @@ def _diagnosed(spark, sf):
 
 def _judged(spark, sf):
     """Diagnosed items with the readers' agreement."""
-    items = C.agreement_flags(I.score_items(I.with_coverage(X.predictions(spark, sf))), ["idx"]).drop("layer_text")
-    return K.item_diagnosis(items, X.ocr_lines(spark, sf), ["idx"], PAGE)
+    items = K.without_texts(I.score_items(I.with_coverage(X.predictions(spark, sf))).drop("layer_text"))
+    return K.item_diagnosis(C.agreement_flags(items, ["idx"]), X.ocr_lines(spark, sf), ["idx"], PAGE)
 
 
 _JUDGED = f"{DIAG}, qa_asks AS (SELECT qid, vlm_pred AS vlm, ocr_pred AS ocr FROM qa), {claims_sql('qa_asks')}"
