@@ -225,6 +225,23 @@ def prepare_asks(asks: DataFrame) -> DataFrame:
     return d
 
 
+def asked_words(prepared: DataFrame) -> DataFrame:
+    """Asks that went through ``prepare_asks``, with short columns in place of the texts. The rules look up words of the two answers only, and
+    readings of those that a text does not have, so of ``judge_vocab`` and ``ocr_vocab`` these words stay; ``judge_text`` is empty where
+    there is one. Rows are then as long as the answers, whatever is stored or shuffled of them."""
+    asked = F.array_union("kv", "ko")
+
+    def kept(vocab: str, read: Column) -> Column:
+        readings = F.transform(F.array_except(asked, F.col(vocab)), lambda k: M.near(k, F.col(vocab)))
+        both = F.array_union(F.array_intersect(asked, F.col(vocab)), F.array_compact(F.when(read, readings).otherwise(_none())))
+        return F.when(F.col(vocab).isNotNull(), both)
+
+    # The second reader's text is searched for readings only where an answer is missing.
+    missing = F.col("vlm_nf") | F.col("ocr_nf")
+    return prepared.withColumns({"judge_vocab": kept("judge_vocab", F.lit(True)), "ocr_vocab": kept("ocr_vocab", missing), "judge_text": F.when(F.col("judge_text").isNotNull(), "")}).drop(
+        "reference", "closer_text", "ocr_text")
+
+
 def better_reader(prepared: DataFrame) -> DataFrame:
     """Adds ``better``: vlm, ocr, same or undecided."""
     a, b = F.col("vlm_backing"), F.col("ocr_backing")
@@ -289,7 +306,7 @@ def answer_regions(asks: DataFrame, lines: DataFrame, ask: list[str], page: list
 
 def ask_causes(asks: DataFrame, regions: DataFrame, ask: list[str]) -> DataFrame:
     """(ask, rank, who, cause) for questions without known answers, the losing side first. ``asks`` went through
-    ``better_reader``; ``regions`` are their ``answer_regions`` with line text words in ``line_words``."""
+    ``better_reader``, and may have gone through ``asked_words``; ``regions`` are their ``answer_regions`` with line text words in ``line_words``."""
     near_lines = regions.groupBy(*ask).agg(F.array_distinct(F.flatten(F.collect_list("line_words"))).alias("_lines"))  # at most three lines
     d = asks.join(near_lines, ask, "left").withColumn("_lines", F.coalesce("_lines", _none()))
     judged, better = F.col("judge_text").isNotNull(), F.col("better")
