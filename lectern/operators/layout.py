@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .joins import join_few
 from .ordering import smallest
 from .staging import staged
 from .support import NEAREST, cover, near_words, survives  # noqa: F401
@@ -164,6 +165,9 @@ def ocr_evidence(asks: DataFrame, lines: DataFrame, ask: list[str], doc: str, pa
         *ask, F.col(f"b.{page}").alias(page), "rank", "b.line_no", (-F.col("b.h")).alias("hits"), F.bround(-F.col("b.s"), 3).alias("score"))
 
 
+KEYS_AT_ONCE = 64  # a document's lines are searched for so many keys one by one; of more, only those that a word's letters can begin
+
+
 def _grams(word: Column) -> Column:
     n = F.length(word)
 
@@ -174,18 +178,33 @@ def _grams(word: Column) -> Column:
     return F.array_distinct(F.concat(runs(2), runs(3)))
 
 
+def printed_keys(keys: DataFrame, words: DataFrame, doc: str, page: str, most: int = KEYS_AT_ONCE) -> DataFrame:
+    """(doc, page, line_no, key) of the lines in which a key of their document (``keys``: doc, key) is printed. Keys go to the lines, so
+    texts and their words are not shuffled while the keys can be broadcast. A document of more than ``most`` keys has each word looked up
+    by its letters, so that its keys are not all compared with every line."""
+    keys = staged(keys.where(F.length("key") >= 2).distinct(), "keys")
+    many = staged(keys.groupBy(doc).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(doc), "many")
+    at = [doc, page, "line_no"]
+    low = words.select(*at, F.lower("text").alias("_t"))
+    listed = join_few(keys, many, [doc], "left_anti", ["key"]).groupBy(doc).agg(F.collect_list("key").alias("_ks"))
+    found = join_few(low, listed, [doc], salt=[page, "line_no"]).select(*at, F.explode(F.filter("_ks", lambda key: F.contains("_t", key))).alias("key"))
+    if many.isEmpty():
+        return found
+    begun = join_few(keys, many, [doc], "left_semi", ["key"]).withColumn("_g", F.substring("key", 1, 3))
+    word = join_few(low, many, [doc], "left_semi", [page, "line_no"]).select(*at, F.explode(F.array_distinct(F.split("_t", r"(?U)\s+"))).alias("word"))
+    grams = word.where("word <> ''").select(*at, "word", F.explode(_grams(F.col("word"))).alias("_g"))
+    looked_up = join_few(grams, begun, [doc, "_g"], salt=[page, "line_no"]).where(F.contains("word", F.col("key")))
+    return found.unionByName(looked_up.select(*at, "key"))
+
+
 def reference_evidence(asks: DataFrame, words: DataFrame, ask: list[str], doc: str, page: str, answer: str = "answer", limit: int = 4) -> DataFrame:
     """Where the reference prints an answer's words (anywhere inside a word, any case): the page with most distinct ones,
     first on ties, how many are printed there, and its first hits with their boxes as fractions of the page: (ask, page, keys_printed, rank, line_no, key,
-    box). Words that can contain a key are found through the key's first letters, so keys are not compared with every word of the document."""
-    k = asks.select(*ask, doc, F.posexplode(T.keys(F.col(answer))).alias("ord", "key")).where(F.length("key") >= 2)
-    k = k.withColumn("_g", F.substring("key", 1, 3))
-    raw = words.select(doc, page, "line_no", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)\s+"))).alias("word"))
-    vocab = raw.select(doc, "word").where("word <> ''").distinct()
-    holding = vocab.select(doc, "word", F.explode(_grams(F.col("word"))).alias("_g")).join(
-        k.select(doc, "key", "_g").distinct(), [doc, "_g"]).where(F.contains("word", F.col("key"))).select(doc, "word", "key")
-    at = raw.join(holding, [doc, "word"]).select(doc, page, "line_no", "key").distinct()
-    hit = k.select(*ask, doc, "ord", "key").join(at, [doc, "key"])
+    box). Of a key on a page only the first ``limit`` lines can be among the first hits, so no others leave the task that reads them."""
+    k = staged(asks.select(*ask, doc, F.posexplode(T.keys(F.col(answer))).alias("ord", "key")).where(F.length("key") >= 2), "asked")
+    first = Window.partitionBy(doc, page, "key").orderBy("line_no")
+    at = printed_keys(k.select(doc, "key"), words, doc, page).withColumn("_n", F.dense_rank().over(first)).where(F.col("_n") <= limit).drop("_n").distinct()
+    hit = staged(k.join(at, [doc, "key"]).drop(doc), "hits")
     best = hit.groupBy(*ask, page).agg(F.count_distinct("key").alias("n")).groupBy(*ask).agg(
         F.min(F.struct((-F.col("n")).alias("n"), page)).alias("_t")).select(*ask, F.col(f"_t.{page}").alias(page))
     there = hit.join(best, [*ask, page])
