@@ -1,12 +1,12 @@
 """Page ranking and selection."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from .joins import join_few
+from .joins import FEW, join_few
 from .ordering import running, smallest
 from .staging import staged
 
@@ -52,13 +52,50 @@ def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.when(dl > 0, dl).otherwise(1) / F.when(avgdl > 0, avgdl).otherwise(1.0)))
 
 
-def bm25_index(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, page, term) with tf, dl, df, idf, n_pages, avgdl. Term counts are combined before each shuffle; a frequent term of a
-    large document is spread over tasks by page."""
-    posted = postings(pages, None, doc, page, text)
-    terms = posted.where(F.col("term") != EVERY)
-    weighted = join_few(terms.groupBy(doc, "term").agg(F.count("*").alias("df")), bm25_stats(posted, doc), [doc], salt=["term"])
-    return join_few(terms, weighted, [doc, "term"], salt=[page]).select(
+def counted(tokens: Column) -> Column:
+    """The distinct tokens of an array with their counts, as an array of (term, tf): tokens are sorted, and each ends where the next differs."""
+    def runs(t: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: (i == F.size(t)) | (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return T.bind(ends, lambda e: F.transform(F.slice(e, 2, F.size(t)), lambda end, k: F.struct(
+            F.get(t, end - 1).alias("term"), (end - F.get(e, k)).cast("long").alias("tf"))))
+
+    return T.bind(F.sort_array(tokens), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")))
+
+
+def page_terms(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc, page, dl, term, tf) and (doc, page, dl): the terms of every page, and the pages. Terms are counted inside the row and stay in it
+    until they are read; only rows that share page and length are added up, as one page."""
+    t = pages.select(doc, page, T.bm25_tokens(F.col(text)).alias("_t")).select(doc, page, F.size("_t").alias("dl"), counted(F.col("_t")).alias("_c"))
+    t = staged(t.withColumn("_h", F.xxhash64(doc, page, "dl")), "page_terms")
+    again = staged(t.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"), "again")
+    rows = lambda x: x.select(doc, page, "dl", F.inline("_c"))
+    if again.isEmpty():
+        return rows(t), t.select(doc, page, "dl")
+    one, more = join_few(t, again, ["_h"], "left_anti", [page]), join_few(t, again, ["_h"], "left_semi", [page])
+    return (rows(one).unionByName(rows(more).groupBy(doc, page, "dl", "term").agg(F.sum("tf").alias("tf"))),
+            t.select(doc, page, "dl").distinct())
+
+
+def bm25_index(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text", few: int = FEW) -> DataFrame:
+    """(doc, page, term) with tf, dl, df, idf, n_pages, avgdl. The ``few`` terms on most pages of their document, which make up most of
+    the rows, are sent to the rows with their df; the rows of the others are shuffled once and counted by term. None of those terms is
+    on many pages, so no task is crowded."""
+    terms, own = page_terms(pages, doc, page, text)
+    stats = own.groupBy(doc).agg(F.count("*").alias("n_pages"), F.avg("dl").alias("avgdl"))
+    level = F.floor(4 * F.log2("df"))
+    df = staged(terms.groupBy(doc, "term").agg(F.count("*").alias("df")), "df")
+    cut, total = None, 0
+    for r in sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r.n
+        if total > few:
+            break
+        cut = r.level
+    often = df.where(F.lit(False) if cut is None else level >= cut)
+    found = terms.join(F.broadcast(often), [doc, "term"])
+    if total > few:
+        rare = terms.join(F.broadcast(often), [doc, "term"], "left_anti")
+        found = found.unionByName(rare.withColumn("df", F.count("*").over(Window.partitionBy(doc, "term"))))
+    return join_few(found, stats, [doc], salt=[page, "term"]).select(
         doc, page, "term", "tf", F.col("dl").cast("long").alias("dl"), "df", "n_pages", "avgdl", idf(F.col("n_pages"), F.col("df")).alias("idf"))
 
 
